@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("records", "labs")
+MODULES = ("records", "labs", "scores")
 
 
 def load() -> None:

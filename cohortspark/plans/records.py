@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.dates import age_on, birth_date, date_at, parse_day_month_year
 from cohortspark.functions.nulls import blank_to_null, ifelse
-from cohortspark.operators.keys import first_per_key
 from cohortspark.sources.wide import first_occurrences, long_fields, paired_fields, raw_columns, row_min
 
 # --- fixed values: field numbers of the raw table -------------------------------------
@@ -247,12 +246,16 @@ def prefix_join(diagnosis: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def disease_onset(diagnosis: DataFrame, dictionary: DataFrame, cancer_codes: DataFrame | None = None) -> DataFrame:
-    """Earliest age and date per patient and cohort."""
+    """Earliest age and date per patient and cohort.
+
+    Of two events the one with the smaller age has the earlier date (one is computed from
+    the other), so the two minima belong to the same event.
+    """
     if cancer_codes is not None:
         dictionary = dictionary.unionByName(
             cancer_codes.select("icd", F.lit(0).alias("subs"), F.lit("disease.CANCER").alias("cohort"), "icd_version"))
-    hits = match_codes(diagnosis, dictionary).select("id", "cohort", "age", "date")
-    return first_per_key(hits, ["id", "cohort"], ["age", "date"])
+    hits = match_codes(diagnosis, dictionary)
+    return hits.groupBy("id", "cohort").agg(F.min("age").alias("age"), F.min("date").alias("date"))
 
 
 def chronic_onset(diagnosis: DataFrame, chronic_codes: DataFrame, cancer_ages: DataFrame | None = None) -> DataFrame:
