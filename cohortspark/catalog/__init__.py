@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("records", "labs", "scores")
+MODULES = ("records", "labs", "scores", "survival")
 
 
 def load() -> None:

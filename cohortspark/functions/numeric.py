@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: Wichura (1988), algorithm AS 241, normal quantile ------------------
 AS241_CENTRE_NUM = (
@@ -144,7 +145,8 @@ def interpolate(x: Column, knots: Column) -> Column:
     n = F.size(left)
     a = F.element_at(knots, F.greatest(n, F.lit(1)))
     b = F.try_element_at(knots, n + 1)
-    line = a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / (b["x"] - a["x"])
+    span = F.nullif(b["x"] - a["x"], F.lit(0.0))
+    line = a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / span
     return F.when(x.isNull() | (n == 0), F.lit(None)).when(b.isNull(), F.when(x == a["x"], a["y"])).otherwise(line)
 
 
@@ -233,11 +235,11 @@ def chisq_tail(x: np.ndarray, df: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_log10_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(log10_t_tail(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chisq_pvalue(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(chisq_tail(x.to_numpy(float), df.to_numpy(float)))

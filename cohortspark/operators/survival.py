@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortspark.functions.numeric import chisq_pvalue, log_erfc
 from cohortspark.operators.keys import natural_join
@@ -130,7 +131,7 @@ def _pair_terms(a: int, b: int) -> tuple[Column, Column]:
     return diff, var
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _quadratic_form(diff: pd.Series, cov: pd.Series) -> pd.Series:
     out = []
     for u, v in zip(diff, cov):

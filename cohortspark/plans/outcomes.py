@@ -35,7 +35,7 @@ def patient_survival(patients: DataFrame, demog: DataFrame, death_censor: Column
 
     def mean(field: str) -> Column:
         total = F.aggregate("_near", F.lit(0.0), lambda acc, v: acc + v[field])
-        return total / F.size("_near")
+        return total / F.nullif(F.size("_near"), F.lit(0))  # the filter may be evaluated later
 
     end = F.unix_date(F.coalesce("dod", death_censor))
     return rows.select(
