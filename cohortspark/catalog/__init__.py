@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("records", "labs", "scores", "survival", "intervals", "association")
+MODULES = ("records", "labs", "scores", "survival", "intervals", "association", "trajectories")
 
 
 def load() -> None:
