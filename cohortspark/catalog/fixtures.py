@@ -295,13 +295,12 @@ def with_views(sql: str, dialect: str = "duckdb") -> str:
     return _expand(sql, dialect)
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    sources = {s: spark.read.parquet(f"{folder}/{s}.parquet") for s in SOURCES}
+def table(spark: SparkSession, name: str, source) -> DataFrame:
+    """The named view as a DataFrame; ``source(name)`` gives the given tables it reads."""
     text = with_views(f"SELECT * FROM fx_{name}", "spark")
     used = {}
-    for s, df in sources.items():
-        pattern = rf"\b(FROM|JOIN)\s+{s}\b"
-        if re.search(pattern, text):
-            text = re.sub(pattern, rf"\1 {{{s}}}", text)
-            used[s] = df
+    for s in SOURCES:
+        text, hits = re.subn(rf"\b(FROM|JOIN)\s+{s}\b", rf"\1 {{{s}}}", text)
+        if hits:
+            used[s] = source(s)
     return spark.sql(text, **used) if used else spark.sql(text)

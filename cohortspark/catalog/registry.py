@@ -15,16 +15,36 @@ ORACLES: dict[str, str] = {}
 
 
 class Inputs:
-    """Derived input tables by name: ``fx("patient")`` is the DataFrame of that view."""
+    """Derived input tables by name: ``fx("patient")`` is the DataFrame of that view.
+
+    Only plans are remembered (a file's schema is read once), never rows.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._plans: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
-        return fixtures.table(self.spark, self.folder, name)
+        if name not in self._plans:
+            self._plans[name] = fixtures.table(self.spark, name, self.source)
+        return self._plans[name]
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        key = f"source {name}"
+        if key not in self._plans:
+            self._plans[key] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._plans[key]
+
+
+_OPEN: dict[tuple[int, str], Inputs] = {}
+
+
+def _inputs(spark: SparkSession, folder: str) -> Inputs:
+    """One set of plans per session and folder."""
+    found = _OPEN.get((id(spark), folder))
+    if found is None or found.spark is not spark:
+        found = _OPEN[id(spark), folder] = Inputs(spark, folder)
+    return found
 
 
 def query(name: str, sql: str | None = None):
@@ -32,7 +52,7 @@ def query(name: str, sql: str | None = None):
 
     def add(fn: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(Inputs(tune(spark), folder))
+            return fn(_inputs(tune(spark), folder))
 
         run.__name__ = name
         QUERIES[name] = run

@@ -8,6 +8,7 @@ from cohortspark.catalog import sqltext
 from cohortspark.catalog.registry import query
 from cohortspark.functions.nulls import rounded
 from cohortspark.plans import records, scores
+from cohortspark.sources.stored import settle
 
 DISEASES = scores.DISEASES
 _LIST = ", ".join(DISEASES)
@@ -23,8 +24,10 @@ def onsets(fx):
     return records.disease_onset(fx("diagnosis"), fx("disease_dict"))
 
 
-def population(fx):
-    return scores.score_table(fx("score"), onsets(fx))
+def population(fx, stored=True):
+    """The score table, written once for the queries that read it several times."""
+    table = scores.score_table(fx("score"), onsets(fx))
+    return settle(table, "population") if stored else table
 
 
 @query("fold_mean", """
@@ -39,7 +42,7 @@ def fold_mean(fx):
 
 @query("score_table", f"WITH {POP} SELECT id, sex, age, longevity, round(longevity_q, 6) AS longevity_q, {_LIST} FROM pop")
 def score_table(fx):
-    return population(fx).withColumn("longevity_q", rounded(F.col("longevity_q")))
+    return population(fx, stored=False).withColumn("longevity_q", rounded(F.col("longevity_q")))
 
 
 @query("longevity_q", """
@@ -97,7 +100,7 @@ _FIT = " + ".join(f"(SELECT SUM(longevity_q * {q}) / SUM({q} * {q}) FROM g7) * {
 @query("score_residual", f"""WITH {POP}, filled AS (SELECT id, age, sex, longevity_q, {", ".join(f"COALESCE({d}, 1e0) AS {d}" for d in DISEASES)} FROM pop WHERE longevity_q IS NOT NULL),
 {", ".join(_CTES)} SELECT id, age, round({_FIT}, 6) AS prediction, round(longevity_q - ({_FIT}), 6) AS residual_q FROM g7""")
 def score_residual(fx):
-    rows = scores.score_residual(population(fx))
+    rows = scores.score_residual(population(fx))  # one pass for the sums, one for the residuals
     return rows.select("id", "age", rounded(F.col("prediction")).alias("prediction"), rounded(F.col("residual_q")).alias("residual_q"))
 
 

@@ -40,7 +40,7 @@ def _vital(fx):
 
 
 def mortality(fx):
-    return trajectories.mortality_transitions(population(fx), _vital(fx), STEP)
+    return trajectories.mortality_transitions(population(fx, stored=False), _vital(fx), STEP)
 
 
 @query("markov_transition", f"WITH {MORTALITY} SELECT sex, age, sbin, next, CAST(n AS BIGINT) AS n, round(p, 6) AS p FROM tr")
@@ -50,7 +50,7 @@ def markov_transition(fx):
 
 def _diabetes(fx):
     onset = onsets(fx).filter("cohort = 'diabetes'").select("id", F.col("age").alias("onset_age"))
-    return trajectories.disease_transitions(population(fx), _vital(fx), onset, STEP, "diabetes")
+    return trajectories.disease_transitions(population(fx, stored=False), _vital(fx), onset, STEP, "diabetes")
 
 
 _STATES = [*map(str, range(1, 11)), "no_score", "death", "disease", "disease_death"]

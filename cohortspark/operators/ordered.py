@@ -159,10 +159,29 @@ def with_ranks(
 ) -> DataFrame:
     """Attach expressions over the rank columns (n, upto, total, w, w_upto, w_total).
 
-    Rows with a null value get nulls.
+    Rows with a null value get nulls. A table that fits one slice takes a single window;
+    a larger one goes through the counts of its distinct values and a join back.
     """
-    table = ranked(df, keys, value, weight, slices).select(*keys, value, *[e.alias(n) for n, e in outputs.items()])
-    return natural_join(df, table, "left", on=[*keys, value]).select(*df.columns, *outputs)
+    slices = slice_count(df) if slices is None else slices
+    if slices > 1:
+        table = ranked(df, keys, value, weight, slices).select(*keys, value, *[e.alias(n) for n, e in outputs.items()])
+        return natural_join(df, table, "left", on=[*keys, value]).select(*df.columns, *outputs)
+    known = F.col(value).isNotNull()
+    group = Window.partitionBy(*keys, known)
+    order = group.orderBy(value)
+    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    peers = order.rangeBetween(Window.currentRow, Window.currentRow)
+    one = F.lit(1).cast("long")
+    mass = F.col(weight) if weight else one
+    ranks = {
+        "n": F.count(one).over(peers), "upto": F.count(one).over(upto), "total": F.count(one).over(group),
+        "w": F.sum(mass).over(peers), "w_upto": F.sum(mass).over(upto), "w_total": F.sum(mass).over(group),
+    }
+    taken = set(ranks) & set(df.columns)
+    if taken:
+        raise ValueError(f"rename columns {sorted(taken)}")
+    rows = df.withColumns(ranks)
+    return rows.select(*df.columns, *[F.when(known, e).alias(n) for n, e in outputs.items()])
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], slices: int | None = None) -> DataFrame:

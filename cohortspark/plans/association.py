@@ -29,7 +29,8 @@ class People:
     """The people side of a scan: rows, an orthonormal covariate basis and its totals."""
 
     def __init__(self, table: DataFrame, keys: Sequence[str], target: str, covariates: Sequence[str]):
-        rows = table.dropna("any", subset=[target, *covariates])
+        rows = table.select(*keys, target, *covariates).dropna("any", subset=[target, *covariates])
+        rows = settle(rows, "people")  # read for the sums below and by each scan
         design = [F.lit(1.0), *[F.col(c).cast("double") for c in covariates]]
         y = F.col(target).cast("double")
         m = gram(rows, [*design, y])
