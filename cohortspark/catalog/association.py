@@ -8,6 +8,7 @@ from cohortspark.catalog import sqltext
 from cohortspark.catalog.registry import query
 from cohortspark.catalog.scores import DISEASE, DISEASES, LONGEVITY
 from cohortspark.functions.nulls import rounded
+from cohortspark.operators.sampling import row_numbers
 from cohortspark.plans import association, scores
 
 
@@ -42,13 +43,25 @@ def _base(fx):
     return pop, phenotype, fx("covar").select("id", "pc1", "pc2")
 
 
-@query("gwas_linear", f"WITH {LONGEVITY}, {_scan_sql('ppl AS (SELECT lp.id, lp.score AS y, lp.age, lp.sex, c.pc1, c.pc2 FROM lp JOIN fx_covar c ON c.id = lp.id)', ['pc1', 'pc2', 'age', 'sex'])} {_OUT}")
+_LINEAR = f"WITH {LONGEVITY}, {_scan_sql('ppl AS (SELECT lp.id, lp.score AS y, lp.age, lp.sex, c.pc1, c.pc2 FROM lp JOIN fx_covar c ON c.id = lp.id)', ['pc1', 'pc2', 'age', 'sex'])} {_OUT}"
+
+
+@query("gwas_linear", _LINEAR)
 def gwas_linear(fx):
     _, phenotype, pcs = _base(fx)
     covar = pcs.join(phenotype.select("id", "age", "sex"), "id")
     return _tidy(association.linear(fx("dosage"), phenotype, covar, ["pc1", "pc2", "age", "sex"]))
 
 
+@query("gwas_linear_packed", _LINEAR)
+def gwas_linear_packed(fx):
+    _, phenotype, pcs = _base(fx)
+    covar = pcs.join(phenotype.select("id", "age", "sex"), "id")
+    samples = row_numbers(fx("patient").select("id"), F.col("id").cast("double"), ["id"], name="i").select("id", "i")
+    packed = association.pack_dosages(fx("dosage"), samples)
+    return _tidy(association.linear_packed(packed, samples, phenotype, covar, ["pc1", "pc2", "age", "sex"]))
+
+
 _WITH_DISEASE = f"""ppl AS (SELECT * FROM (SELECT lp.id, lp.score AS y, lp.age, lp.sex, c.pc1, c.pc2, {", ".join(f"MAX(CASE WHEN dp.disease = '{d}' THEN dp.score_norm END) AS {d}" for d in DISEASES)}
   FROM lp JOIN fx_covar c ON c.id = lp.id LEFT JOIN dp ON dp.id = lp.id AND dp.age = lp.age GROUP BY ALL) w WHERE {" AND ".join(f"{d} IS NOT NULL" for d in DISEASES)})"""
 _NAMES = ["pc1", "pc2", "age", "sex", *DISEASES]

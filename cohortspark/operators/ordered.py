@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.keys import natural_join
 from cohortspark.session import estimated_bytes
+from cohortspark.sources.stored import settle
 
 SLICE_BYTES = 64 << 20  # source bytes per slice
 MAX_SLICES = 4096
@@ -29,12 +30,15 @@ def slice_count(df: DataFrame) -> int:
 def quantile_slices(df: DataFrame, column: str, slices: int | None = None) -> tuple[DataFrame, str | None]:
     """Add a slice number that grows with ``column``, from approximate quantiles of the table.
 
-    The cut points are fixed numbers in the plan: an executor that recomputes its part
-    assigns the same slices. A table small enough for one slice is returned as it is.
+    A table small enough for one slice is returned as it is. A larger one is written first,
+    since the cut points, the slice totals and the rows themselves all read it. The cut
+    points are fixed numbers in the plan: an executor that recomputes its part assigns the
+    same slices.
     """
     n = slice_count(df) if slices is None else slices
     if n <= 1:
         return df, None
+    df = settle(df, "slices")
     probs = [i / n for i in range(1, n)]
     value = F.col(column).cast("double")
     found = df.select(F.percentile_approx(value, probs, max(10_000, 4 * n)).alias("q")).first()["q"]

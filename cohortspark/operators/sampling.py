@@ -15,8 +15,6 @@ def row_numbers(df: DataFrame, position: Column, tie: Sequence[str], name: str =
     """Number all rows by a numeric position and tie-breaking columns; also the row count."""
     placed = df.withColumns({"_pos": position, "_one": F.lit(1).cast("long")})
     placed, slice_col = quantile_slices(placed, "_pos", slices)
-    if slice_col is None:
-        placed, slice_col = placed.withColumn("_slice", F.lit(0)), "_slice"
     order = [F.col("_pos"), *[F.col(c) for c in tie]]
     out = running(placed, [], order, {name: ("sum", "_one")}, slice_col, totals={total: "_one"})
     return out.select(*df.columns, name, total)

@@ -25,6 +25,9 @@ from cohortspark.sources.stored import settle
 BROADCAST_BYTES = 256 << 20  # people tables up to this size are sent to every executor
 
 
+BLOCK = 4096  # samples per packed row
+
+
 class People:
     """The people side of a scan: rows, an orthonormal covariate basis and its totals."""
 
@@ -66,14 +69,63 @@ def _basis(m: np.ndarray) -> np.ndarray:
     return (vectors[:, keep] * scale[:, None]) / np.sqrt(values[keep])
 
 
-def _marker_sums(dosages: DataFrame, people: People) -> DataFrame:
-    """Per marker over all people (missing dosages at the mean): n, freq, gg, gy, g0.. (g times basis)."""
+def _sum_names(people: People) -> list[str]:
+    return ["n", "sg", "sgg", "sgy", "sy", *[f"{p}_{c}" for c in people.columns for p in ("sg", "s")]]
+
+
+def _long_sums(dosages: DataFrame, people: People) -> DataFrame:
+    """Sums over the known dosages of each marker, from (marker_id, id, dosage) rows."""
     g, y = F.col("dosage"), F.col("y")
     joined = dosages.filter(g.isNotNull()).select("marker_id", "id", "dosage").join(people.for_join(), "id")
     sums = [F.count(F.lit(1)).alias("n"), F.sum(g).alias("sg"), F.sum(g * g).alias("sgg"), F.sum(g * y).alias("sgy"), F.sum(y).alias("sy")]
     for c in people.columns:
         sums += [F.sum(g * F.col(c)).alias(f"sg_{c}"), F.sum(c).alias(f"s_{c}")]
-    per_marker = joined.groupBy("marker_id").agg(*sums)
+    return joined.groupBy("marker_id").agg(*sums)
+
+
+def _packed_sums(packed: DataFrame, samples: DataFrame, people: People) -> DataFrame:
+    """The same sums from packed rows, as matrix products.
+
+    The people matrix goes to every executor while its size, known exactly, is under the
+    bound; beyond that the blocks are unpacked and joined like any other dosages.
+    """
+    if people.n * (people.rank + 3) * 16 > BROADCAST_BYTES:
+        rows = packed.select("marker_id", "block", F.inline(F.arrays_zip("positions", "dosages")).alias("at", "dosage"))
+        rows = rows.withColumn("i", F.col("block") * BLOCK + F.col("at") + 1)
+        return _long_sums(rows.join(samples, "i").select("marker_id", "id", "dosage"), people)
+    table = people.rows.join(samples, "id").select("i", "y", *people.columns).toPandas().sort_values("i")
+    place = table["i"].to_numpy() - 1
+    matrix = table[["y", *people.columns]].to_numpy(float)
+    sent = packed.sparkSession.sparkContext.broadcast((place, matrix))
+    names, kind = _sum_names(people), packed.schema["marker_id"].dataType.simpleString()
+
+    def products(batches):
+        place, matrix = sent.value
+        for pdf in batches:
+            for block, part in pdf.groupby("block"):
+                g = np.full((len(part), BLOCK), np.nan)
+                for row, (at, dosage) in enumerate(zip(part["positions"], part["dosages"])):
+                    g[row, at] = dosage
+                lo, hi = np.searchsorted(place, [block * BLOCK, (block + 1) * BLOCK])
+                g, x = g[:, place[lo:hi] - block * BLOCK], matrix[lo:hi]
+                known = ~np.isnan(g)
+                g = np.where(known, g, 0.0)
+                gx, sx = g @ x, known @ x
+                cols = [known.sum(axis=1), g.sum(axis=1), (g * g).sum(axis=1), gx[:, 0], sx[:, 0]]
+                for j in range(1, x.shape[1]):
+                    cols += [gx[:, j], sx[:, j]]
+                out = pd.DataFrame(dict(zip(names, [np.asarray(c, float) for c in cols])))
+                out.insert(0, "marker_id", part["marker_id"].to_numpy())
+                yield out
+
+    schema = f"marker_id {kind}, " + ", ".join(f"{c} double" for c in names)
+    parts = packed.select("marker_id", "block", "positions", "dosages").mapInPandas(products, schema)
+    sums = parts.groupBy("marker_id").agg(*[F.sum(c).alias(c) for c in names])
+    return sums.withColumn("n", F.col("n").cast("long")).filter("n > 0")
+
+
+def _complete(per_marker: DataFrame, people: People) -> DataFrame:
+    """Per marker over all people (missing dosages at the mean): n, freq, gg, gy, g0.. (g times basis)."""
     mean, missing = F.col("sg") / F.col("n"), F.lit(people.n) - F.col("n")
     filled = per_marker.select(
         "marker_id", "n", (mean / 2).alias("freq"), mean.alias("_mean"),
@@ -93,11 +145,39 @@ def linear(dosages: DataFrame, phenotype: DataFrame, covariates: DataFrame, name
     are left out. Output: marker_id, n, freq, estim, std_err, score. Variants without
     variation beyond the covariates have no row.
     """
+    people = _scan_people(phenotype, covariates, names, cohort, target)
+    return _estimates(_complete(_long_sums(dosages, people), people), people)
+
+
+def linear_packed(packed: DataFrame, samples: DataFrame, phenotype: DataFrame, covariates: DataFrame, names: Sequence[str],
+                  cohort: DataFrame | None = None, target: str = "score") -> DataFrame:
+    """The same scan over packed dosages; samples: id, i (position from 1)."""
+    people = _scan_people(phenotype, covariates, names, cohort, target)
+    return _estimates(_complete(_packed_sums(packed, samples, people), people), people)
+
+
+def pack_dosages(dosages: DataFrame, samples: DataFrame) -> DataFrame:
+    """Rows (marker_id, block, positions ARRAY<INT>, dosages ARRAY<FLOAT>) of known dosages.
+
+    The layout to store a large matrix in: a few bytes per dosage and no join in a scan. A
+    group is one block of one variant, so it never holds more than BLOCK values. samples:
+    id, i (position from 1).
+    """
+    at = F.col("i") - 1
+    cell = F.struct((at % BLOCK).cast("int").alias("at"), F.col("dosage").cast("float").alias("d"))
+    cells = dosages.filter(F.col("dosage").isNotNull()).join(samples.select("id", "i"), "id").groupBy(
+        "marker_id", F.floor(at / BLOCK).cast("int").alias("block")).agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    return cells.select("marker_id", "block", F.col("c.at").alias("positions"), F.col("c.d").alias("dosages"))
+
+
+def _scan_people(phenotype, covariates, names, cohort, target) -> People:
     if cohort is not None:
         phenotype = phenotype.join(cohort.select("id"), "id", "left_semi")
     table = phenotype.select("id", target).join(covariates.select("id", *names), "id")
-    people = People(table, ["id"], target, names).residual()
-    per_marker = _marker_sums(dosages, people)
+    return People(table, ["id"], target, names).residual()
+
+
+def _estimates(per_marker: DataFrame, people: People) -> DataFrame:
     df = people.n - people.rank - 1
     estim = F.col("gy") / F.col("rest")
     rss = F.greatest(F.lit(people.yy) - estim * F.col("gy"), F.lit(0.0))
@@ -253,7 +333,7 @@ def cox(dosages: DataFrame, null: CoxNull, keys: Sequence[str] = ("id",), saddle
     ``null`` may hold several rows per id (two parents of one genotype).
     """
     people = People(null.residuals, list(keys), "resid", null.names)
-    per_marker = _marker_sums(dosages, people)
+    per_marker = _complete(_long_sums(dosages, people), people)
     covered = sum((F.col(f"g{i}") * F.lit(float(t)) for i, t in enumerate(people.q_target)), F.lit(0.0))
     variance = (people.yy - people.y_total ** 2 / people.n) / (people.n - 1)
     rows = per_marker.withColumn("stat", F.col("gy") - covered)

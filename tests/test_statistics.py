@@ -308,3 +308,17 @@ def test_stitched_training(spark):
     c = models.contributions(bundle[65, 0], f.filter("age = 65"), ["a", "b"]).toPandas()
     size = c.assign(m=c.contribution.abs()).groupby("feature").m.mean()
     assert size["a"] > 10 * size["b"]
+
+
+@pytest.mark.parametrize("limit", [1 << 28, 0])
+def test_packed_scan_is_the_same(people, dosages, limit, monkeypatch):
+    monkeypatch.setattr(association, "BLOCK", 128)
+    pheno, covar = people.select("id", F.col("time").alias("score")), people.select("id", "x1", "x2")
+    samples = people.select("id", (F.col("id") + 1).alias("i"))
+    packed = association.pack_dosages(dosages, samples).cache()
+    assert packed.selectExpr("max(size(dosages))").first()[0] <= 128
+    want = association.linear(dosages, pheno, covar, ["x1", "x2"]).toPandas().sort_values("marker_id")
+    monkeypatch.setattr(association, "BROADCAST_BYTES", limit)
+    got = association.linear_packed(packed, samples, pheno, covar, ["x1", "x2"]).toPandas().sort_values("marker_id")
+    for c in ("n", "freq", "estim", "std_err", "score"):
+        assert got[c].to_numpy() == pytest.approx(want[c].to_numpy(), rel=1e-9)
