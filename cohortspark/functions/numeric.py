@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,12 +81,14 @@ def polynomial(x: Column, coefficients: Sequence[float]) -> Column:
     return reduce(lambda acc, c: acc * x + F.lit(c), reversed(coefficients[:-1]), F.lit(coefficients[-1]))
 
 
-def qnorm(p: Column) -> Column:
-    """Standard normal quantile; null outside (0, 1)."""
+def _qnorm_tail(p: Column) -> Column:
+    return F.sqrt(-F.log(F.when(p < 0.5, p).otherwise(F.lit(1.0) - p)))
+
+
+def _qnorm_from(p: Column, tail: Column) -> Column:
     q = p - F.lit(0.5)
     r0 = F.lit(0.180625) - q * q
     centre = q * polynomial(r0, AS241_CENTRE_NUM) / polynomial(r0, AS241_CENTRE_DEN)
-    tail = F.sqrt(-F.log(F.when(q < 0, p).otherwise(F.lit(1.0) - p)))
     rm, rf = tail - F.lit(1.6), tail - F.lit(5.0)
     size = F.when(
         tail <= 5, polynomial(rm, AS241_MIDDLE_NUM) / polynomial(rm, AS241_MIDDLE_DEN)
@@ -95,6 +97,20 @@ def qnorm(p: Column) -> Column:
     return F.when((p > 0) & (p < 1), value)
 
 
+def qnorm(p: Column) -> Column:
+    """Standard normal quantile; null outside (0, 1)."""
+    return _qnorm_from(p, _qnorm_tail(p))
+
+
+def with_qnorm(df: DataFrame, p: str, output: str) -> DataFrame:
+    """Replace a probability column by its normal quantile.
+
+    In two projections, so that the polynomials refer to columns and the plan stays small.
+    """
+    out = df.withColumn("_tail", _qnorm_tail(F.col(p))).withColumn(output, _qnorm_from(F.col(p), F.col("_tail")))
+    return out.drop("_tail", *([p] if p != output else []))
+
+
 def log_erfc(x: Column) -> Column:
     """Natural log of erfc for x >= 0, finite far beyond where erfc underflows."""
     y = x * x

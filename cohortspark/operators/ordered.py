@@ -207,3 +207,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
         x = F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at - F.floor(at))
         rows.append(F.struct(F.lit(float(p)).alias("p"), x.alias(value)))
     return wide.select(*keys, "n", F.inline(F.array(*rows)))
+
+
+def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, output: str, width: int = 2) -> DataFrame:
+    """Mean of each full run of ``width`` neighbouring rows, as at its first row; null at the end."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, width - 1)
+    full = F.count(F.lit(1)).over(w) == width
+    return df.withColumn(output, F.when(full, F.avg(value).over(w)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.linear import combine, ols_coefficients
-from cohortspark.functions.numeric import interpolate, qnorm
+from cohortspark.functions.numeric import interpolate, with_qnorm
 from cohortspark.operators.keys import assert_unique, first_per_key
 from cohortspark.operators.ordered import with_ranks
 
@@ -51,8 +51,8 @@ def score_table(scores: DataFrame, onsets: DataFrame, diseases: Sequence[str] =
 def rank_norm(df: DataFrame, keys: Sequence[str], value: str, output: str, slices: int | None = None) -> DataFrame:
     """Rank-based inverse normal: quantile of (mean rank - 3/8) / (n + 1/4) within the keys."""
     rank = F.col("upto") - (F.col("n") - 1) / F.lit(2.0)
-    z = qnorm((rank - F.lit(0.375)) / (F.col("total") + F.lit(0.25)))
-    return with_ranks(df, keys, value, {output: z}, slices=slices)
+    p = (rank - F.lit(0.375)) / (F.col("total") + F.lit(0.25))
+    return with_qnorm(with_ranks(df, keys, value, {"_p": p}, slices=slices), "_p", output)
 
 
 def closest_age(df: DataFrame, keys: Sequence[str], target: int = TARGET_AGE) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import dates, nulls, numeric
 from cohortspark.operators.keys import assert_unique, exclude, first_per_key, natural_join
-from cohortspark.operators.ordered import quantiles, ranked, running, with_ranks
+from cohortspark.operators.ordered import quantiles, ranked, rolling_mean, running, with_ranks
 from cohortspark.operators.sampling import ntile, row_numbers, stratified_sample
 from cohortspark.plans import clusters, labs, outcomes, records, scores
 from cohortspark.sources import stored, wide
@@ -184,3 +184,13 @@ def test_sample_is_the_same_for_any_spread(spark):
     df = spark.range(500).select("id", (F.col("id") % 2).alias("g"))
     pick = lambda s, d: rows(stratified_sample(d, ["g"], ["id"], 40, "s", s), "g", "id")
     assert pick(1, df) == pick(16, df.repartition(7)) and len(pick(4, df)) == 80
+
+
+def test_rolling_pair_mean(spark):
+    df = spark.createDataFrame([(35,), (40,), (45,)], "b int")
+    assert rows(rolling_mean(df, [], [F.col("b")], "b", "c"), "b", "c") == [(35, 37.5), (40, 42.5), (45, None)]
+
+
+def test_level_codes(spark):
+    df = spark.createDataFrame([("male",), ("female",), ("other",), (None,)], "s string")
+    assert [r[0] for r in df.select(numeric.level_code(F.col("s"), ["male", "female"])).collect()] == [1, 2, None, None]
