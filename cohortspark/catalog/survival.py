@@ -177,7 +177,7 @@ def cluster_profile(fx):
     return tidy(clusters.profile(assigned_50(fx), SCORES), *SCORES, "p")
 
 
-@query("cluster_risk", f"""WITH {CLUSTERS} SELECT clust, CASE WHEN COUNT(risk) = COUNT(*) THEN round_even(AVG(1 - risk) * 100, 0) END AS risk FROM cl GROUP BY clust""")
+@query("cluster_risk", f"""WITH {CLUSTERS} SELECT clust, CASE WHEN COUNT(risk) = COUNT(*) THEN round_even(round(AVG(1 - risk) * 100, 9), 0) END AS risk FROM cl GROUP BY clust""")
 def cluster_risk(fx):
     scored = scored_50(fx)
     assigned = clusters.nearest_centroid(scored, fx("centers"), SCORES)

@@ -42,7 +42,7 @@ def nearest_centroid(df: DataFrame, centres: DataFrame, coordinates: Sequence[st
 def profile(assigned: DataFrame, scores: Sequence[str], label: str = "clust") -> DataFrame:
     """Per cluster: n, percent of all, mean of each score, a size label such as 12k."""
     agg = assigned.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in scores])
-    share = F.col("n") / F.sum("n").over(Window.partitionBy()) * 100  # one row per cluster
+    share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())  # one row per cluster
     size = F.when(F.col("n") > 10000, F.concat(F.bround(F.col("n") / 1000).cast("long").cast("string"), F.lit("k")))
     with_share = agg.withColumn("p", share)
     title = F.concat(
@@ -53,10 +53,11 @@ def profile(assigned: DataFrame, scores: Sequence[str], label: str = "clust") ->
 def survival_chance(assigned: DataFrame, risks: DataFrame, label: str = "clust") -> DataFrame:
     """Rounded mean percent of surviving per cluster; null when a member has no risk.
 
-    Members without a cluster form a group of their own.
+    Members without a cluster form a group of their own. Halves go to the even percent, so
+    the noise of summing is rounded away before.
     """
     joined = assigned.select("id", "age", label).distinct().join(risks.select("id", "age", "risk"), ["id", "age"], "full")
-    return joined.groupBy(label).agg(F.bround(mean_strict(1 - F.col("risk")) * 100).alias("risk"))
+    return joined.groupBy(label).agg(F.bround(F.round(mean_strict(1 - F.col("risk")) * 100, 9)).alias("risk"))
 
 
 def regroup(assigned: DataFrame, merged: Mapping[str, tuple[int, int]], keep: Sequence[int], label: str = "clust") -> DataFrame:
