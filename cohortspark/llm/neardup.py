@@ -3,7 +3,8 @@
 A document's set holds its distinct word shingles. Equal sets collapse into classes first.
 Then several independent trees branch the classes: at each level a class follows its
 minwise token under that level's hash. Nodes that hold a single class, or one component of
-links found so far, end; small nodes are compared exhaustively on their minwise signatures,
+links found so far, end (first every node's smallest class is compared with one class of each
+other component, so that groups of copies become one component); small nodes are compared exhaustively on their minwise signatures,
 and nodes still large at the last level in tiles. Every pair that looks possible is
 confirmed on the full sets. Two sets of similarity s share a node of depth d in one tree
 with probability s**d, so 16 trees of up to 5 levels find a pair of similarity 0.75 with
@@ -24,6 +25,7 @@ from cohortspark.llm.textops import U64, arrow_limits, binary_rows, column_bytes
 from cohortspark.sources.stored import settle
 
 TREES, LEVELS = 16, 5
+STAR_TREES = 2  # trees whose nodes are tried first, smallest class against the others
 SMALL = 64  # classes in a node that is compared exhaustively
 TILE = 256  # rows of a tile in a node that stays large
 
@@ -163,11 +165,14 @@ def _likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percen
     return fits
 
 
-def _stars(reps: DataFrame, trees: int, levels: int, percent: int) -> DataFrame:
-    """Possible pairs of each first-level node's smallest class with its other classes."""
-    paths = _paths(reps, trees, levels, "id").select("id", "tree", _token(0).alias("token"))
-    low = paths.groupBy("tree", "token").agg(F.min("id").alias("a"), F.count("*").alias("size")).filter("size > 1")
-    pairs = paths.join(low, ["tree", "token"]).filter("id > a").select("a", F.col("id").alias("b")).distinct()
+def _stars(paths: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs of each node's smallest class with one class of every other component.
+
+    ``paths`` are rows (node, id, comp); nodes of one component make no pairs.
+    """
+    nodes = paths.groupBy("node").agg(F.min("id").alias("a"), F.min_by("comp", "id").alias("ac"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    firsts = paths.groupBy("node", "comp").agg(F.min("id").alias("b"))
+    pairs = firsts.join(nodes, "node").filter("comp <> ac").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = reps.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
     right = reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
 
@@ -261,21 +266,29 @@ def near_duplicates(
     table = settle(sketch(docs, id_col, text_col, width, trees * levels), "sketches")
     reps = (table.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles")
             .agg(F.min_by(F.struct("id", "sig"), "id").alias("r")).select("f1", "f2", "n_shingles", "r.id", "r.sig"))
-    reps = settle(reps, "classes")
-    stars = settle(_stars(reps, trees, levels, percent), "stars")
-    # full sets of the classes that any tree puts beside another one
-    paths = _paths(reps, trees, levels, "id").select("id", "tree", _token(0).alias("token"))
-    shared = paths.groupBy("tree", "token").agg(F.count("*").alias("size")).filter("size > 1")
-    beside = paths.join(shared, ["tree", "token"]).select("id").distinct()
+    classes = settle(reps, "classes")
+    reps = classes.select("id", "n_shingles", "sig")
+    # full sets of the classes that stand beside another one in several trees: a pair of
+    # similarity 0.75 misses a quarter of 16 trees with probability 4e-6
+    paths = _paths(reps, trees, levels, "id").select("id", F.xxhash64("tree", _token(0)).alias("node"), "tree")
+    shared = paths.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+    beside = paths.join(shared, "node").groupBy("id").agg(F.count("*").alias("trees")).filter(F.col("trees") >= max(1, trees // 4)).select("id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = settle(_set_rows(texts.join(beside, "id", "left_semi"), width), "sets")
-    links = settle(_confirm(stars, sets, percent), "confirmed")
-    first = components(links)
-    branched = reps.join(first, "id", "left").select("id", "sig", "n_shingles", F.coalesce("component", "id").alias("comp"))
+    reps = settle(reps.join(sets.select("id"), "id", "left_semi"), "beside")
+    links = None
+    for some in (STAR_TREES, trees):  # most links come from few trees; then what still lies apart
+        parts = None if links is None else components(links)
+        comp = F.col("id") if parts is None else F.coalesce("component", "id")
+        reps_ = (reps if parts is None else reps.join(parts, "id", "left")).withColumn("comp", comp).drop("component")
+        nodes = _paths(reps_, some, levels, "id", "comp").select("id", "comp", F.xxhash64("tree", _token(0)).alias("node"))
+        found = settle(_confirm(settle(_stars(nodes, reps, percent), "stars"), sets, percent), "confirmed")
+        links = found if links is None else links.union(found)
+    branched = reps.join(components(links), "id", "left").select("id", "sig", "n_shingles", F.coalesce("component", "id").alias("comp"))
     branched = settle(branched, "components")
     more = _confirm(settle(_branches(branched, trees, levels, percent), "leaves"), sets, percent)
     final = components(links.union(more))
-    classes = reps.join(final, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    classes = classes.join(final, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = table.join(classes, ["f1", "f2", "n_shingles"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))

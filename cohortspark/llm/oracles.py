@@ -1,7 +1,7 @@
 """DuckDB statements for the corpus queries that SQL can express."""
 
-# the pattern [^\\x20\\x09-\\x0D]+ applied to whole texts
-_WORDS = r"regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+# the pattern [^\x20\x09-\x0D]+ applied to whole texts
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 #: smallest id reachable over links (a, b) in both directions; every node has a loop
 _REACH = """
@@ -27,3 +27,53 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id)
   coalesce(component_id, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN parts ON parts.id = d.doc_id
 """
+
+SUBSTRING_SQL = rf"""
+WITH words AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, hash(list_slice(w, i, i + 34)) AS a, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS b
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
+again AS (SELECT a, b FROM windows GROUP BY a, b HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS at FROM windows JOIN again USING (a, b)),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM words),
+kept AS (
+  SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.at) AS t, count(*) AS n
+  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.at = e.at WHERE g.at IS NULL GROUP BY e.doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(k.n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k USING (doc_id)
+"""
+
+VECTOR_SQL = rf"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, v, list_dot_product(v, v) AS q FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y
+    ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_dot_product(x.v, y.v) / sqrt(x.q * y.q) >= 0.98),{_REACH},
+parts AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(coalesce(component_id, e.vec_id), e.vec_id) AS component_id,
+  least(coalesce(component_id, e.vec_id), e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts ON counts.a = e.vec_id LEFT JOIN parts ON parts.id = e.vec_id
+"""
+
+CHAT_SQL = """
+WITH rows AS (
+  SELECT conv_id, turn, role AS speaker, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
+members AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM rows WHERE speaker IS NOT NULL AND speaker <> 'system'),
+shown AS (
+  SELECT conv_id, perspective, turn, content, coalesce(speaker = perspective, false) AS own,
+    CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
+    CASE WHEN speaker = 'system' OR speaker = perspective THEN '' ELSE replace(coalesce(speaker, 'unknown'), '<|', '< |') END AS name
+  FROM rows JOIN members ON conv_id IS NOT DISTINCT FROM c),
+built AS (
+  SELECT *, '<|' || role || '|>' || name || chr(10) AS head FROM shown)
+SELECT conv_id, perspective, turn, role, name, head || content || '<|end|>' || chr(10) AS chunk,
+  CASE WHEN own THEN length(head) ELSE 0 END AS mask_start,
+  CASE WHEN own THEN length(head || content) + 7 ELSE 0 END AS mask_end
+FROM built
+"""

@@ -1,21 +1,55 @@
-"""Documents to packed training sequences, stage by stage."""
+"""Documents to packed training sequences, stage by stage.
+
+Toxic documents go, one document of each near-duplicate group stays, documents that hold a
+benchmark item go, personal data is replaced, and what is left is packed.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import neardup
+from cohortspark.llm import decontaminate, neardup, packing, privacy, toxicity
 from cohortspark.sources.stored import settle
 
+KEY = "corpus-pseudonyms"  # a deployment passes its own secret to the operator
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below one half stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rated = toxicity.scored(docs, labels, score_col="_toxicity")
+    return rated.filter("_toxicity < 0.5").select(*docs.columns)
 
-def _distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group stays."""
     kept = neardup.near_duplicates(docs).filter("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
-STAGES = [("near_dedup", _distinct)]
-ORACLE_SQL = None
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item stay."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    held = decontaminate.contaminated(docs, items).select("doc_id").distinct()
+    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+
+
+def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay, with pseudonyms; their number of characters does not change."""
+    return privacy.pseudonymised(docs, KEY)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated),
+    ("pseudonyms", replace_personal), ("packing", pack),
+]
+ORACLE_SQL = None  # models and tokenizers are beyond SQL: tests/llm has a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
