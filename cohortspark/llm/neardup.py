@@ -258,8 +258,10 @@ def near_duplicates(
     Texts are lower-cased in A-Z and split at white space; a text with fewer than ``width``
     words is one shingle, a null or wordless one has an empty set and links with nothing.
     Documents link when ``100 * |intersection| >= percent * |union|``. ``component_id`` is
-    the smallest id reachable over links; ``kept`` marks it. Ids are unique and not null;
-    other columns are ignored. An empty table gives an empty result.
+    the smallest id reachable over links; ``kept`` marks it. Rows of one id and text are one
+    document and get the same values. A null id is never smallest: its row takes part, but is
+    kept only when no other document is linked with it. Other columns are ignored. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -291,4 +293,4 @@ def near_duplicates(
     classes = classes.join(final, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = table.join(classes, ["f1", "f2", "n_shingles"], "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

@@ -91,6 +91,8 @@ def _unroll(docs: DataFrame, sources: DataFrame, width: int) -> DataFrame:
                 for r in range(lo, hi):
                     base = words.first[r - lo]
                     for p in places[r]:
+                        if p["at"] + p["n"] + width - 1 > words.first[r - lo + 1] - base:
+                            continue  # another text of the same id
                         at = base + p["at"] + np.arange(p["n"])
                         m.append(np.full(p["n"], p["m"]))
                         c.append(np.full(p["n"], p["c"]))
@@ -121,8 +123,8 @@ def _strip(docs: DataFrame, ranges: DataFrame) -> DataFrame:
                 n.append(len(words))
                 if starts[i]:
                     depth = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(depth, starts[i], 1)
-                    np.add.at(depth, ends[i], -1)
+                    np.add.at(depth, np.minimum(starts[i], len(words)), 1)
+                    np.add.at(depth, np.minimum(ends[i], len(words)), -1)
                     keep = np.cumsum(depth[:-1]) == 0
                     words = list(compress(words, keep.tolist()))
                 gone.append(n[-1] - len(words))
@@ -142,8 +144,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A window is ``width`` consecutive words of one text, unchanged; it is repeated when its
     words also start anywhere else, in the same text or another. Windows are judged on the
     input. ``kept_text`` joins the kept words by one space. A null text has no words; a text
-    with fewer than ``width`` words keeps all. Ids are unique and not null, other columns are
-    ignored, an empty table gives an empty result.
+    with fewer than ``width`` words keeps all. Ids are unique: a repeated row is an occurrence of
+    its own, and loses what another row of its id loses. Windows of rows without an id count,
+    but such rows keep all words. Other columns are ignored, an empty table gives an empty
+    result.
     """
     arrow_limits(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

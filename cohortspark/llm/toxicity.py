@@ -191,7 +191,7 @@ def scored(
     are left out, contradicting ones take the higher. At most ``train_rows`` labelled rows
     are used, the first by hash. A null text scores as an empty one. Without labels of both
     classes every text gets the smoothed share of toxic labels. ``score_col`` must not be a
-    column of ``docs``.
+    column of ``docs``. A row without an id is scored like any other.
     """
     if score_col in docs.columns:
         raise ValueError(f"rename column {score_col}")
@@ -234,4 +234,4 @@ def scored(
 def rated(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, held_out, score, predicted)``, one row per document."""
     rows = scored(docs.select(F.col(id_col), F.col(text_col)), labels, id_col, text_col, score_col="score")
-    return rows.select(id_col, (fold(id_col) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select(id_col, F.coalesce(fold(id_col) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -28,13 +28,14 @@ LEAD = 8  # leading axes of the bounding boxes and of the first accumulation
 MARGIN = 1e-9  # rotation noise; closer pairs are decided on the vectors as given
 
 
-def _usable(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(id, label, v) of the rows that can link at all."""
+def _keyed(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
+    """(id, label, v, key) of all rows; the key is null for a vector that cannot link."""
     v = F.col(vec_col).cast("array<double>")
-    rows = df.filter(F.col(label_col).isNotNull() & F.col(vec_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("v"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("v"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.filter(finite & F.exists("v", lambda x: x != 0))
+    usable = F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
+    key = F.sha2(F.to_binary(F.concat_ws(",", F.col("v").cast("array<string>")), F.lit("utf-8")), 256)
+    return rows.withColumn("key", F.when(usable, key))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -193,13 +194,15 @@ def similar_vectors(
     Vectors of equal, non-null labels and equal length link when their cosine in double
     precision is at least ``threshold``. Null and zero vectors, and those that hold a null,
     NaN or infinite component, link with nothing. ``n_links`` counts other vectors, equal
-    ones included; ``component_id`` is the smallest id reachable. Ids are unique and not
-    null. An empty table gives an empty result.
+    ones included; ``component_id`` is the smallest id reachable. Ids are unique; repeated rows
+    count as vectors of their own. Rows without an id link with nothing else than equal
+    vectors. An empty table gives an empty result.
     """
     spark = df.sparkSession
     arrow_limits(spark)
-    usable = _usable(df, id_col, vec_col, label_col).withColumn("key", F.sha2(F.to_binary(F.concat_ws(",", F.col("v").cast("array<string>")), F.lit("utf-8")), 256))
-    same = usable.groupBy("label", "key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    rows = _keyed(df, id_col, vec_col, label_col)
+    usable = rows.filter("key is not null")
+    same = usable.filter("id is not null").groupBy("label", "key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
     same = settle(same, "vectors")
     axes = _axes(same)
     tiles = settle(_tiles(same.select("id", "copies", "label", "v"), axes), "tiles")
@@ -228,8 +231,7 @@ def similar_vectors(
     parts = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("id", "rep")
     reps = (same.select("label", "key", F.col("id").alias("rep"), "copies").join(counts, "rep", "left").join(parts, "rep", "left")
             .select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    mine = usable.select("id", "label", "key").join(reps, ["label", "key"]).select("id", "n_links", "component_id")
-    out = df.select(F.col(id_col).cast("long").alias("id")).join(mine, "id", "left")
+    out = rows.select("id", "label", "key").join(reps, ["label", "key"], "left").select("id", "n_links", "component_id")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      component.alias("component_id"), (component == F.col("id")).alias("kept"))
+                      component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

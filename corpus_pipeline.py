@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortspark.llm import decontaminate, neardup, packing, privacy, toxicity
 from cohortspark.sources.stored import settle
@@ -18,18 +19,26 @@ KEY = "corpus-pseudonyms"  # a deployment passes its own secret to the operator
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rated = toxicity.scored(docs, labels, score_col="_toxicity")
-    return rated.filter("_toxicity < 0.5").select(*docs.columns)
+    name = "toxicity_score"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.scored(docs, labels, score_col=name).filter(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group stays."""
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The document of smallest id of each group stays; documents without an id stay.
+
+    Repeated rows of one id are one document, of which one row stays.
+    """
+    again = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
+    if not again.isEmpty():
+        docs = docs.dropDuplicates()
+    gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item stay."""
+    """Documents that hold no benchmark item stay, and those without an id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     held = decontaminate.contaminated(docs, items).select("doc_id").distinct()
     return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
