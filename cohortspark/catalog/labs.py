@@ -86,7 +86,7 @@ def feature_matrix(fx):
 BREAKS = (-3650.0, -1825.0, -1095.0, -365.0, 0.0)
 _BUCKET = "CASE WHEN dt >= -3650 AND dt < -1825 THEN 'minus3650' WHEN dt >= -1825 AND dt < -1095 THEN 'minus1825' WHEN dt >= -1095 AND dt < -365 THEN 'minus1095' WHEN dt >= -365 AND dt < 0 THEN 'minus365' END"
 _BCOLS = ", ".join(
-    f"round(AVG(CASE WHEN feature = 'lab_{t}_{b}' THEN v END), 9) AS lab_{t}_{b}"
+    f"CASE WHEN COUNT(*) FILTER (feature = 'lab_{t}_{b}' AND v IS NULL) = 0 THEN round(AVG(CASE WHEN feature = 'lab_{t}_{b}' THEN v END), 9) END AS lab_{t}_{b}"
     for t in ("101", "102") for b in ("minus3650", "minus1825", "minus1095", "minus365"))
 
 

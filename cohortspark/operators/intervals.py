@@ -34,7 +34,7 @@ def expand(df: DataFrame, by: int, lengths: Mapping[str, int] | None = None, sta
 def merge(df: DataFrame, slices: int | None = None) -> DataFrame:
     """Disjoint union of the intervals: overlapping and touching ones become one."""
     ends = df.groupBy("chrom", "start_pos").agg(F.max("end_pos").alias("end_pos"))
-    ends, slice_col = quantile_slices(ends, "start_pos", slices)
+    ends, slice_col = quantile_slices(ends, "start_pos", slices, df)
     order = [F.col("start_pos")]
     seen = running(ends, ["chrom"], order, {"_reach": ("max", "end_pos")}, slice_col, before=True)
     fresh = F.col("_reach").isNull() | (F.col("start_pos") > F.col("_reach"))
@@ -64,7 +64,7 @@ def nearest(queries: DataFrame, targets: DataFrame, label: str, slices: int | No
     q = queries.select(
         "chrom", begin.alias("pos"), F.lit(1).alias("phase"), body.alias("q"),
         F.lit(None).cast(left_type).alias("l"), F.lit(None).cast(right_type).alias("r"))
-    line, slice_col = quantile_slices(t.unionByName(q), "pos", slices)
+    line, slice_col = quantile_slices(t.unionByName(q), "pos", slices, q)
     fwd = running(line, ["chrom"], [F.col("pos"), F.col("phase")], {"left": ("max", "l")}, slice_col)
     fwd = fwd.withColumns({"_pos": -F.col("pos"), "_phase": -F.col("phase")})
     if slice_col:
@@ -125,7 +125,7 @@ def count_overlaps(queries: DataFrame, targets: DataFrame, name: str = "n", slic
         F.struct(F.col("end_pos").cast("long").alias("pos"), F.lit(0).alias("phase")),
         F.struct(F.col("start_pos").cast("long").alias("pos"), F.lit(2).alias("phase"))))).withColumns(
         {"starts": F.lit(0).cast("long"), "ends": F.lit(0).cast("long")})
-    line, slice_col = quantile_slices(t.unionByName(q), "pos", slices)
+    line, slice_col = quantile_slices(t.unionByName(q), "pos", slices, q)
     sums = running(line, ["chrom"], [F.col("pos"), F.col("phase")],
                    {"s": ("sum", "starts"), "e": ("sum", "ends")}, slice_col).filter("phase <> 1")
     counts = sums.groupBy("q").agg(

@@ -2,8 +2,9 @@
 
 A plain window sends each group to one task. Here a group is first cut into slices that
 follow its order; the window runs inside a slice, and the much smaller table of slice
-totals supplies what came before. Slices come from the data's own key (genome position,
-hash prefix) or from quantiles of the ordering column, so that equal values share a slice.
+totals supplies what came before. There is one path at every size: callers whose groups are
+bounded by their nature (the times of a curve) ask for one slice, all others get as many as
+the session has shuffle partitions.
 """
 
 from __future__ import annotations
@@ -16,33 +17,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.operators.keys import natural_join
-from cohortspark.session import estimated_bytes
-from cohortspark.sources.stored import settle
 
-SLICE_BYTES = 64 << 20  # source bytes per slice
-MAX_SLICES = 4096
+BOUNDED = 1  # slices of a table whose groups are small whatever the size of the data
 
 
-def slice_count(df: DataFrame) -> int:
-    return max(1, min(MAX_SLICES, math.ceil(estimated_bytes(df) / SLICE_BYTES)))
-
-
-def quantile_slices(df: DataFrame, column: str, slices: int | None = None) -> tuple[DataFrame, str | None]:
+def quantile_slices(
+    df: DataFrame, column: str, slices: int | None = None, rows: DataFrame | None = None
+) -> tuple[DataFrame, str | None]:
     """Add a slice number that grows with ``column``, from approximate quantiles of the table.
 
-    A table small enough for one slice is returned as it is. A larger one is written first,
-    since the cut points, the slice totals and the rows themselves all read it. The cut
-    points are fixed numbers in the plan: an executor that recomputes its part assigns the
-    same slices.
+    The cut points come from one aggregate over ``rows`` (the table itself, or what it was
+    counted from, which saves its shuffle) and are fixed numbers in the plan: an executor
+    that recomputes its part assigns the same slices, and nothing is written. Equal values
+    share a slice.
     """
-    n = slice_count(df) if slices is None else slices
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if slices is None else slices
     if n <= 1:
         return df, None
-    df = settle(df, "slices")
     probs = [i / n for i in range(1, n)]
     value = F.col(column).cast("double")
-    found = df.select(F.percentile_approx(value, probs, max(10_000, 4 * n)).alias("q")).first()["q"]
-    cuts = sorted(set(found or []))
+    found = (df if rows is None else rows).select(F.percentile_approx(value, probs, max(10_000, 4 * n)).alias("q")).first()["q"]
+    cuts = sorted({c for c in found or [] if math.isfinite(c)})
     if not cuts:
         return df, None
     cutter = Bucketizer(
@@ -146,7 +141,7 @@ def ranked(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"), w.alias("w"))
     )
-    counts, slice_col = quantile_slices(counts, value, slices)
+    counts, slice_col = quantile_slices(counts, value, slices, df)
     return running(
         counts,
         keys,
@@ -163,11 +158,10 @@ def with_ranks(
 ) -> DataFrame:
     """Attach expressions over the rank columns (n, upto, total, w, w_upto, w_total).
 
-    Rows with a null value get nulls. A table that fits one slice takes a single window;
-    a larger one goes through the counts of its distinct values and a join back.
+    Rows with a null value get nulls. Equal values are counted, ranked in slices and joined
+    back; ``slices=1`` takes a single window, for groups that are known to be small.
     """
-    slices = slice_count(df) if slices is None else slices
-    if slices > 1:
+    if slices != BOUNDED:
         table = ranked(df, keys, value, weight, slices).select(*keys, value, *[e.alias(n) for n, e in outputs.items()])
         return natural_join(df, table, "left", on=[*keys, value]).select(*df.columns, *outputs)
     known = F.col(value).isNotNull()

@@ -28,16 +28,15 @@ def ntile(rn: Column, total: Column, buckets: int) -> Column:
     return (F.when(rn <= edge, F.floor((rn - 1) / (size + 1))).otherwise(late) + 1).cast("long")
 
 
-def stratified_sample(df: DataFrame, strata: Sequence[str], key: Sequence[str], n: int, seed: str,
-                      spread: int = 64) -> DataFrame:
+def stratified_sample(df: DataFrame, strata: Sequence[str], key: Sequence[str], n: int, seed: str) -> DataFrame:
     """n rows per stratum, chosen by the md5 of key and seed: the same rows on every run.
 
-    A large stratum is thinned in ``spread`` parts first, each to n rows, so the deciding
-    window holds at most spread * n rows of a stratum.
+    A stratum is thinned to n rows in every input partition first, however many there are,
+    so the deciding window holds n rows of a stratum from each of them.
     """
     mark = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(seed)))
     rows = df.withColumn("_mark", mark)
-    part = F.pmod(F.xxhash64("_mark"), F.lit(spread))
+    part = F.spark_partition_id()
     order = [F.col("_mark"), *[F.col(c) for c in key]]
     first = Window.partitionBy(*strata, "_part").orderBy(*order)
     last = Window.partitionBy(*strata).orderBy(*order)

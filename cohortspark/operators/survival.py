@@ -16,13 +16,13 @@ from pyspark.sql import types as T
 
 from cohortspark.functions.numeric import chisq_pvalue, log_erfc
 from cohortspark.operators.keys import natural_join
-from cohortspark.operators.ordered import quantile_slices, running
+from cohortspark.operators.ordered import BOUNDED, quantile_slices, running
 
 Z95 = 1.959963984540054  # fixed value: normal quantile of 0.975
 
 
 def life_table(df: DataFrame, groups: Sequence[str], time: str = "time", status: str = "status",
-               slices: int | None = None, weight: Column | None = None) -> tuple[DataFrame, str | None]:
+               slices: int = BOUNDED, weight: Column | None = None) -> tuple[DataFrame, str | None]:
     """Per group and time: n leaving, d1 events, d2 competing events, at_risk.
 
     Rows without time or status do not count. Returns the table and its slice column.
@@ -41,7 +41,7 @@ def life_table(df: DataFrame, groups: Sequence[str], time: str = "time", status:
 
 
 def km(df: DataFrame, groups: Sequence[str], time: str = "time", status: str = "status",
-       slices: int | None = None) -> DataFrame:
+       slices: int = BOUNDED) -> DataFrame:
     """Kaplan-Meier curve: surv, std_err (of log surv, Greenwood), log-type 95% limits.
 
     One row per group and observed time, censoring times included.
@@ -97,7 +97,7 @@ def median_survival(curve: DataFrame, groups: Sequence[str]) -> DataFrame:
 # --- log-rank -------------------------------------------------------------------------
 
 def _risk_grid(df: DataFrame, strata: Sequence[str], group: str, levels: Sequence, time: str, status: str,
-               slices: int | None) -> DataFrame:
+               slices: int) -> DataFrame:
     """Per stratum and time: at-risk r_i and events d_i of each level side by side."""
     ok = F.col(time).isNotNull() & F.col(status).isNotNull() & F.col(group).isin(list(levels))
     aggs = []
@@ -149,7 +149,7 @@ def chisq1_pvalue(x: Column) -> Column:
 
 
 def logrank(df: DataFrame, group: str, levels: Sequence, strata: Sequence[str] = (), time: str = "time",
-            status: str = "status", slices: int | None = None) -> DataFrame:
+            status: str = "status", slices: int = BOUNDED) -> DataFrame:
     """Log-rank test of equal survival in the listed groups, one row per stratum."""
     k = len(levels)
     grid = _risk_grid(df, strata, group, levels, time, status, slices)
@@ -179,7 +179,7 @@ def logrank(df: DataFrame, group: str, levels: Sequence, strata: Sequence[str] =
 
 
 def logrank_pairwise(df: DataFrame, group: str, levels: Sequence, time: str = "time", status: str = "status",
-                     slices: int | None = None) -> DataFrame:
+                     slices: int = BOUNDED) -> DataFrame:
     """Every pair of groups: chisq, pval and the Benjamini-Hochberg adjusted p-value.
 
     All pairs are read off one grid of at-risk counts in a single aggregate.
@@ -215,7 +215,7 @@ def adjust_pvalues(tests: DataFrame, pval: str = "pval", keys: Sequence[str] = (
 # --- competing risks ------------------------------------------------------------------
 
 def cumulative_incidence(df: DataFrame, groups: Sequence[str], time: str = "time", status: str = "status",
-                         slices: int | None = None) -> DataFrame:
+                         slices: int = BOUNDED) -> DataFrame:
     """Incidence of event 1 with event 2 competing: est and var at each observed time.
 
     Variance by the three running sums of Gray (1988) with his tie correction; it changes at
@@ -272,7 +272,7 @@ def hard_call(dosage: Column) -> Column:
     return F.when(dosage < 0.5, 0).when(dosage < 1.5, 1).when(dosage.isNotNull(), 2)
 
 
-def by_genotype(dosages: DataFrame, follow_up: DataFrame, at: float = 85.0, slices: int | None = None) -> DataFrame:
+def by_genotype(dosages: DataFrame, follow_up: DataFrame, at: float = 85.0, slices: int = BOUNDED) -> DataFrame:
     """Per marker and genotype: median survival, survival at a time, log-rank p-value.
 
     ``follow_up`` has id, time, status and may repeat an id. The rarest genotype is left out

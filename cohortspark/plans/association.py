@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.linear import combine, gram
 from cohortspark.functions.numeric import log10_normal_two_sided, t_log10_pvalue
-from cohortspark.operators.ordered import quantile_slices, running
+from cohortspark.operators.ordered import BOUNDED, quantile_slices, running
 from cohortspark.sources.stored import settle
 
 BROADCAST_BYTES = 256 << 20  # people tables up to this size are sent to every executor
@@ -220,7 +220,7 @@ def _tie_sums(grid: DataFrame) -> DataFrame:
         "*", *[F.col(f"_t.{n}") for n in ("a0", "a1", "b0", "b1", "b2")]).drop("_t")
 
 
-def _risk_sums(rows: DataFrame, beta: Sequence[float], names: Sequence[str], moments: bool, slices: int | None) -> DataFrame:
+def _risk_sums(rows: DataFrame, beta: Sequence[float], names: Sequence[str], moments: bool, slices: int) -> DataFrame:
     """Per time: d events, sums of exp(x*beta) over those at risk (s*) and dying (e*)."""
     x = [F.col(c) for c in names]
     e = F.exp(combine(x, beta))
@@ -254,7 +254,7 @@ class CoxNull:
 
 
 def cox_null(table: DataFrame, names: Sequence[str], keys: Sequence[str] = ("id",), tolerance: float = 1e-9,
-             max_iterations: int = 30, slices: int | None = None) -> CoxNull:
+             max_iterations: int = 30, slices: int = BOUNDED) -> CoxNull:
     """Cox model of (time, status) on the covariates, Efron ties, by Newton's method.
 
     A step is one aggregate per distinct time and one over the times; only the gradient and
@@ -290,7 +290,7 @@ def cox_null(table: DataFrame, names: Sequence[str], keys: Sequence[str] = ("id"
 
 
 def _newton_terms(
-    rows: DataFrame, beta: np.ndarray, names: Sequence[str], slices: int | None
+    rows: DataFrame, beta: np.ndarray, names: Sequence[str], slices: int
 ) -> tuple[np.ndarray, np.ndarray]:
     k = len(names)
     t = _tie_sums(_risk_sums(rows, beta, names, True, slices))
@@ -314,7 +314,7 @@ def _newton_terms(
     return gradient, hessian
 
 
-def _hazard(rows: DataFrame, beta: Sequence[float], names: Sequence[str], slices: int | None) -> DataFrame:
+def _hazard(rows: DataFrame, beta: Sequence[float], names: Sequence[str], slices: int) -> DataFrame:
     """Per time: cumulative baseline hazard and the part a tied death does not carry."""
     grid = _risk_sums(rows, beta, names, False, slices)
     jumps = _tie_sums(grid).groupBy("time").agg(F.sum("a0").alias("jump"), F.sum("a1").alias("tied"))

@@ -9,34 +9,39 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.nulls import mean_strict
 
-MAX_CENTRES = 2000  # centres become part of the plan; a model has tens
+CHUNK = 1000  # centres compared at a time: the bound of one broadcast row
 
 
 def nearest_centroid(df: DataFrame, centres: DataFrame, coordinates: Sequence[str], label: str = "clust") -> DataFrame:
     """Add the nearest centre's label, the lowest of equally near ones.
 
-    Missing coordinates are left out and the squared distance is scaled up to all of them.
-    The centres are model parameters: they are read once and written into the expression,
-    so the table itself is not shuffled.
+    Missing coordinates are left out and the squared distance is scaled up to all of them. The
+    centres become one array column per chunk, joined to every row as a single broadcast row,
+    so the table itself is not shuffled; more centres take more chunks.
     """
-    rows = centres.select(label, *coordinates).orderBy(label).limit(MAX_CENTRES + 1).collect()
-    if len(rows) > MAX_CENTRES:
-        raise ValueError(f"more than {MAX_CENTRES} cluster centres")
     present = sum((F.col(c).isNotNull().cast("int") for c in coordinates), F.lit(0))
+    chunks = -(-max(1, centres.count()) // CHUNK)
+    names = [f"c{i}" for i in range(len(coordinates))]
+    listed = centres.select(F.col(label).alias("label"), *[F.col(c).cast("double").alias(n) for c, n in zip(coordinates, names)])
 
-    def distance(row) -> Column:
+    def distance(centre: Column) -> Column:
         total = F.lit(0.0)
-        for c in coordinates:
-            d = F.col(c) - F.lit(float(row[c]))
+        for c, n in zip(coordinates, names):
+            d = F.col(c) - centre[n]
             total = total + F.coalesce(d * d, F.lit(0.0))
         return total
 
-    options = [F.struct(distance(r).alias("d"), F.lit(r[label]).alias("label")) for r in rows]
-    best = F.array_min(F.array(*options))
+    best, out = None, df
+    for k in range(chunks):
+        part = listed.filter(F.pmod(F.xxhash64("label"), F.lit(chunks)) == k) if chunks > 1 else listed
+        row = part.agg(F.collect_list(F.struct("label", *names)).alias(f"_centres{k}"))
+        out = out.join(F.broadcast(row))
+        near = F.array_min(F.transform(f"_centres{k}", lambda c: F.struct(distance(c).alias("d"), c["label"].alias("label"))))
+        best = near if best is None else F.least(best, near)
     # the scale is the same for every centre and cannot change which one is nearest
     scale = F.lit(float(len(coordinates))) / F.when(present > 0, present)
-    return df.withColumn("_best", F.when(present > 0, best)).withColumns({
-        label: F.col("_best.label"), "dist": F.sqrt(F.col("_best.d") * scale)}).drop("_best")
+    return out.withColumn("_best", F.when(present > 0, best)).withColumns({
+        label: F.col("_best.label"), "dist": F.sqrt(F.col("_best.d") * scale)}).select(*df.columns, label, "dist")
 
 
 def profile(assigned: DataFrame, scores: Sequence[str], label: str = "clust") -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.functions.nulls import mean_strict
 from cohortspark.functions.numeric import bucketize
+from cohortspark.operators.keys import natural_join
 from cohortspark.operators.ordered import quantile_slices, running
 
 LAB_WINDOW_YEARS = 5.0
@@ -74,7 +76,7 @@ def feature_buckets(
     """Features of one model age, labs split by how long before that age they were taken.
 
     ``diseases`` maps a cohort to the day window in its feature name. Only patients with a
-    lab in some bucket are kept.
+    lab in some bucket are kept; a lab without a quantile makes its bucket's mean null.
     """
     names = {f: [f"{lab_name(t)}_{bucket_label(b)}" for b in day_breaks[:-1]] for f, t in tracks.items()}
     dt = (F.col("age") - F.lit(age)) * F.lit(365.0)
@@ -94,7 +96,7 @@ def feature_buckets(
     rows = lab.unionByName(dx).select("id", F.inline(F.array(
         F.struct(F.col("feature"), F.col("value")),
         F.struct(F.lit("_lab").alias("feature"), F.col("_lab").cast("double").alias("value")))))
-    wide = rows.groupBy("id").pivot("feature", ["_lab", *lab_cols, *dx_cols]).agg(F.avg("value"))
+    wide = rows.groupBy("id").pivot("feature", ["_lab", *lab_cols, *dx_cols]).agg(mean_strict(F.col("value")))
     wide = wide.filter(F.col("_lab") > 0).fillna(0.0, subset=dx_cols)
     sex = F.col("sex")
     return wide.join(demog.select("id", "sex"), "id", "left").select(
@@ -154,28 +156,37 @@ def patients_at_age(
         F.coalesce("left_for_good", (F.lit(float(end_db)) - F.col("time")) / F.lit(year)).alias("time_in_system"))
 
 
+BAND = 10  # decades that share an exact sum
+
+
 def window_values(
     anchors: DataFrame, tracks: DataFrame, windows: Mapping[str, tuple[float, float]], slices: int | None = None
 ) -> DataFrame:
     """Per (id, t) and track: size, mean and earliest of the values in [t+lo, t+hi].
 
-    Also dt1 (first time minus t) and dt2 (t minus first time). No anchor is joined with its
-    events. Each anchor puts two marks on the patient's time line, one before its window
-    and one after it; running totals at the marks differ by what the window holds, and the
-    next event after the first mark is the earliest one. Work grows with events plus
-    anchors even for a patient with most of both. Totals are decimals, so that they
-    subtract without loss.
+    Also dt1 (first time minus t) and dt2 (t minus first time). ``size`` counts events, the
+    mean is over known values (null without any; what is not finite is unknown). A repeated
+    anchor is one anchor. No anchor is joined with its events: each puts two marks on the
+    patient's time line, one before its window and one after it; running totals at the marks
+    differ by what the window holds, and the next event after the first mark is the earliest
+    one. Work grows with events plus anchors even for a patient with most of both. Totals are
+    decimals, so that they subtract without loss, kept apart for each ten decades of
+    magnitude, so that any double fits.
     """
     wanted = list(windows)
-    value = F.col("value").cast("decimal(38,12)")
+    known = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    scale = lambda band: F.pow(F.lit(10.0), F.lit(float(BAND)) * band)
+    band = F.coalesce(F.when(known != 0, F.greatest(F.floor(F.log10(F.abs(known)) / BAND), F.lit(-30))), F.lit(0)).cast("int")
     events = tracks.filter(F.col("track").isin(wanted)).select(
-        "id", "track", "ts", F.lit(1).alias("phase"), F.lit(None).cast("double").alias("t"),
-        value.alias("v"), F.lit(1).alias("one"), F.struct(F.col("ts").alias("ts"), F.col("value").alias("value")).alias("ev"))
+        "id", "track", F.col("ts").cast("double").alias("ts"), F.col("value").cast("double").alias("value")).withColumn("band", band).select(
+        "id", "track", "ts", F.lit(1).alias("phase"), F.lit(None).cast("double").alias("t"), "band",
+        (known / scale(F.col("band"))).cast("decimal(27,16)").alias("v"), F.lit(1).alias("one"), known.isNotNull().cast("int").alias("sure"),
+        F.struct("ts", "value").alias("ev"))
     per_track = [
         F.struct(F.lit(k).alias("track"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
         for k, (lo, hi) in windows.items()
     ]
-    marks = anchors.select("id", F.col("t").cast("double").alias("t"), F.inline(F.array(*per_track)))
+    marks = anchors.select("id", F.col("t").cast("double").alias("t")).distinct().select("id", "t", F.inline(F.array(*per_track)))
     marks = marks.select(
         "id", "track", "t",
         F.inline(F.array(
@@ -183,29 +194,32 @@ def window_values(
             F.struct((F.col("t") + F.col("hi")).alias("ts"), F.lit(2).alias("phase")))),
     )
     marks = marks.withColumns({
-        "v": F.lit(None).cast("decimal(38,12)"), "one": F.lit(0),
+        "v": F.lit(None).cast("decimal(27,16)"), "one": F.lit(0), "sure": F.lit(0),
         "ev": F.lit(None).cast("struct<ts:double,value:double>")})
-    line, slice_col = quantile_slices(events.unionByName(marks.select(events.columns)), "ts", slices)
-    sums = running(line, ["id", "track"], [F.col("ts"), F.col("phase")],
-                   {"total": ("sum", "v"), "size": ("sum", "one")}, slice_col)
-    # the same line backwards gives the next event
-    back = line.withColumns({"_ts": -F.col("ts"), "_phase": -F.col("phase")})
-    if slice_col:
-        back = back.withColumn(slice_col, -F.col(slice_col))
+    bands = events.select("id", "track", "band").distinct()
+    banded = natural_join(marks, bands, "left", on=["id", "track"]).withColumn("band", F.coalesce("band", F.lit(0)))
+    keys = ["id", "track", "band"]
+    line, slice_col = quantile_slices(events.unionByName(banded.select(events.columns)), "ts", slices, events)
+    sums = running(line, keys, [F.col("ts"), F.col("phase")],
+                   {"total": ("sum", "v"), "size": ("sum", "one"), "sure_size": ("sum", "sure")}, slice_col)
+    # the same line backwards, all magnitudes together, gives the next event
+    line = events.unionByName(marks.withColumn("band", F.lit(0)).select(events.columns))
+    back, slice_col = quantile_slices(line.withColumns({"_ts": -F.col("ts"), "_phase": -F.col("phase")}), "_ts", slices, events.withColumn("_ts", -F.col("ts")))
     upcoming = running(
         back.withColumn("_tie", F.coalesce(-F.col("ev.value"), F.lit(0.0))), ["id", "track"],
         [F.col("_ts"), F.col("_phase"), F.col("_tie")], {"next": ("last", "ev")}, slice_col,
     )
     low = F.col("phase") == 0
-    counts = sums.filter("phase <> 1").groupBy("id", "track", "t").agg(
-        F.sum(F.when(low, -F.col("size")).otherwise(F.col("size"))).alias("size"),
-        F.sum(F.when(low, -F.col("total")).otherwise(F.col("total"))).alias("total"))
+    held = lambda c: F.sum(F.when(low, -F.col(c)).otherwise(F.col(c))).alias(c)
+    counts = sums.filter("phase <> 1").groupBy(*keys, "t").agg(held("size"), held("sure_size"), held("total"))
+    counts = counts.groupBy("id", "track", "t").agg(
+        F.sum("size").alias("size"), F.sum("sure_size").alias("sure"), F.sum(F.col("total").cast("double") * scale(F.col("band"))).alias("total"))
     firsts = upcoming.filter(low).select("id", "track", "t", "next")
     joined = counts.join(firsts, ["id", "track", "t"])
     some = F.col("size") > 0
     return joined.select(
         "id", "t", "track", "size",
-        F.when(some, F.col("total").cast("double") / F.col("size")).alias("avg"),
+        F.when(F.col("sure") > 0, F.col("total") / F.col("sure")).alias("avg"),
         F.when(some, F.col("next.value")).alias("earliest"),
         F.when(some, F.col("next.ts") - F.col("t")).alias("dt1"),
         F.when(some, F.col("t") - F.col("next.ts")).alias("dt2"),

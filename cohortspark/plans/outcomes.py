@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.nulls import ifelse
 from cohortspark.functions.numeric import bucketize
+from cohortspark.operators.ordered import BOUNDED
 from cohortspark.operators.survival import cumulative_incidence, first_in_period, incidence_at, km
 
 DECILES = tuple(i / 10 for i in range(11))
@@ -61,7 +62,7 @@ def disease_outcomes(
     return joined.withColumn("disease_follow_time", follow)
 
 
-def km_10y(pop: DataFrame, survival: DataFrame, age: int = 60, slices: int | None = None) -> DataFrame:
+def km_10y(pop: DataFrame, survival: DataFrame, age: int = 60, slices: int = BOUNDED) -> DataFrame:
     """Ten-year survival by sex and longevity-quantile decile at one age."""
     rows = pop.filter(F.col("age") == age).select("id", "sex", "age", "longevity_q")
     rows = rows.join(survival.select("id", "sex", "age", "follow_time", "dead"), ["id", "sex", "age"], "left")
@@ -77,7 +78,7 @@ def competing_status(sick: Column, dead: Column) -> Column:
 
 
 def cif_10y(pop: DataFrame, outcomes: DataFrame, age: int = 60, horizon: float = 3650.0,
-            diseases: Sequence[str] = DISEASES, slices: int | None = None) -> DataFrame:
+            diseases: Sequence[str] = DISEASES, slices: int = BOUNDED) -> DataFrame:
     """Ten-year disease incidence, death competing, by disease, sex and score decile.
 
     Patients without a score (sick before their lab tests) are left out.

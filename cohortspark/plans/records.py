@@ -246,16 +246,18 @@ def prefix_join(diagnosis: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def disease_onset(diagnosis: DataFrame, dictionary: DataFrame, cancer_codes: DataFrame | None = None) -> DataFrame:
-    """Earliest age and date per patient and cohort.
+    """Age and date of the earliest event per patient and cohort.
 
-    Of two events the one with the smaller age has the earlier date (one is computed from
-    the other), so the two minima belong to the same event.
+    The earliest is the one of smallest age, then of earliest date; unknown ones come last.
+    Age and date are always those of one event.
     """
     if cancer_codes is not None:
         dictionary = dictionary.unionByName(
             cancer_codes.select("icd", F.lit(0).alias("subs"), F.lit("disease.CANCER").alias("cohort"), "icd_version"))
     hits = match_codes(diagnosis, dictionary)
-    return hits.groupBy("id", "cohort").agg(F.min("age").alias("age"), F.min("date").alias("date"))
+    event = F.struct(F.col("age").isNull().alias("no_age"), "age", F.col("date").isNull().alias("no_date"), "date")
+    first = hits.groupBy("id", "cohort").agg(F.min(event).alias("e"))
+    return first.select("id", "cohort", "e.age", "e.date")
 
 
 def chronic_onset(diagnosis: DataFrame, chronic_codes: DataFrame, cancer_ages: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators import intervals
 from cohortspark.operators.keys import natural_join
 from cohortspark.operators.ordered import quantiles, ranked
+from cohortspark.sources.stored import settle
 
 GENOME_WIDE = 5e-8  # fixed value: usual significance threshold
 FLANK = 500_000
@@ -32,15 +33,20 @@ def significant(results: DataFrame, pvalue: str = "pval", threshold: float = GEN
     return results.filter(F.col(pvalue) <= F.log10(F.lit(threshold)))
 
 
+def _best(pvalue: str, *rest: str) -> Column:
+    """A result whose minimum has the lowest p-value; results without one come last."""
+    return F.struct(F.col(pvalue).isNull().alias("unknown"), pvalue, *rest)
+
+
 def assoc_wide(long: DataFrame, traits: Mapping[str, Sequence[str]], base: str) -> DataFrame:
     """One row per variant of the base trait, with <trait>_<measure> columns.
 
     ``traits`` maps a trait to its measures among pval, beta, score, stderr, z. Of repeated
-    results the one with the lowest p-value counts. One aggregate instead of a join per trait.
+    results the one with the lowest known p-value counts. One aggregate instead of a join per trait.
     """
     source = {"pval": "pval", "beta": "estim", "score": "score", "stderr": "std_err", "z": "score"}
     fields = ["pval", "estim", "score", "std_err"]
-    mine = lambda t: F.min(F.when(F.col("trait") == t, F.struct(*fields))).alias(t)
+    mine = lambda t: F.min(F.when(F.col("trait") == t, _best(*fields))).alias(t)
     place = F.min(F.when(F.col("trait") == base, F.struct("chrom", "start_pos", "end_pos", "freq"))).alias("_at")
     names = list(traits)
     rows = long.filter(F.col("trait").isin(names)).groupBy(*VARIANT).agg(place, *[mine(t) for t in names])
@@ -79,6 +85,7 @@ def top_snps(snps: DataFrame, flank: int = FLANK, high: float = 0.5, lengths: Ma
     Adds region, n_locus and n_region. Counts and bests are aggregates joined back, so a
     region holding most of the variants stays spread.
     """
+    snps = settle(snps, "snps")  # regions, places and counts read it
     placed = intervals.nearest(snps, regions(snps, flank, lengths, slices), "region", slices).drop("near_start", "near_end", "dist")
     rank = F.struct(F.col("pip").isNull().cast("int"), -F.coalesce("pip", F.lit(0.0)), F.col("start_pos"), *VARIANT)
     per_region = placed.groupBy("region").agg(
@@ -92,7 +99,8 @@ def top_snps(snps: DataFrame, flank: int = FLANK, high: float = 0.5, lengths: Ma
 def neighbours_within(top: DataFrame, snps: DataFrame, flank: int = FLANK, lengths: Mapping[str, int] | None = None,
                       slices: int | None = None) -> DataFrame:
     """n_1M: other significant variants within the flank of each top variant."""
-    keys = top.select(*VARIANT, "chrom", "start_pos", "end_pos").withColumns({
+    top = settle(top.select(*VARIANT, "chrom", "start_pos", "end_pos"), "top")
+    keys = top.withColumns({
         "orig_start": F.col("start_pos"), "orig_end": F.col("end_pos")})
     windows = intervals.expand(intervals.centers(keys), flank, lengths)
     counts = intervals.count_overlaps(windows, snps.select("chrom", "start_pos", "end_pos"), "n", slices)
@@ -106,7 +114,7 @@ def attach_results(top: DataFrame, long: DataFrame, traits: Sequence[str], measu
     base = top.select(*VARIANT, "chrom", "start_pos", "end_pos")
     rows = mine.join(base, [*VARIANT, "chrom", "start_pos", "end_pos"], "left_semi")
     source = {"pval": "pval", "z": "score", "stat": "estim"}
-    best = [F.min(F.when(F.col("trait") == t, F.struct("pval", "score", "estim"))).alias(t) for t in traits]
+    best = [F.min(F.when(F.col("trait") == t, _best("pval", "score", "estim"))).alias(t) for t in traits]
     wide = rows.groupBy(*VARIANT, "chrom", "start_pos", "end_pos").agg(*best)
     wide = wide.select(*VARIANT, "chrom", "start_pos", "end_pos", *[
         F.col(f"`{t}`.{source[m]}").alias(f"{t}_{m}") for t in traits for m in measures])

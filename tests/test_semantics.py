@@ -180,10 +180,10 @@ def test_row_numbers_and_batches(spark):
     assert [r["count"] for r in sizes] == [5, 5, 5, 4, 4]
 
 
-def test_sample_is_the_same_for_any_spread(spark):
+def test_sample_is_the_same_for_any_partitions(spark):
     df = spark.range(500).select("id", (F.col("id") % 2).alias("g"))
-    pick = lambda s, d: rows(stratified_sample(d, ["g"], ["id"], 40, "s", s), "g", "id")
-    assert pick(1, df) == pick(16, df.repartition(7)) and len(pick(4, df)) == 80
+    pick = lambda d: rows(stratified_sample(d, ["g"], ["id"], 40, "s"), "g", "id")
+    assert pick(df) == pick(df.repartition(7)) and len(pick(df)) == 80
 
 
 def test_rolling_pair_mean(spark):
