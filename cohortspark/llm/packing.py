@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: related documents share a training sequence.
 
-Documents are tokenized once. A first pass counts in how many documents each token occurs
-(the vocabulary bounds that table). Documents are then laid out in the order of their most
+Documents are tokenized once. A pass over the ids counts in how many documents each token
+occurs (the vocabulary bounds that table). Documents are laid out in the order of their most
 telling token, cut into shards of bounded size, and each shard builds a BM25 inverted index
 over its documents with the statistics of the whole corpus. A sequence starts with a seed
 document; the index returns the seed's unused neighbours, best first, which fill the window
@@ -34,16 +34,34 @@ K1, B = 1.2, 0.75
 _VOCABULARY = 1 << 16
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and how often each occurs."""
+    ids = np.sort(ids)
+    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[at], np.diff(np.append(at, len(ids)))
+
+
+def telling(ids: bytes) -> int:
+    """The id that tells most about a document: often in it, and rare by its rank.
+
+    Merges are numbered from the most frequent on, so the number itself ranks rarity.
+    """
+    terms, tf = distinct(np.frombuffer(ids, "<u2"))
+    return int(terms[np.argmax(np.log1p(terms.astype(np.float32)) * tf / (tf + np.float32(K1)))])
+
+
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
-    """(id, n, ids): the document's ids and then ``end_id``, 16 bits each."""
+    """(id, n, lead, ids): the document's ids and then ``end_id``, 16 bits each, their number and most telling one."""
     tail = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
         for batch in batches:
             ids = [x + tail for x in encoded(batch.column(1), tokenizer)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([telling(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                ["id", "n", "lead", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, lead long, ids binary")
 
 
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
@@ -53,7 +71,7 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
         seen = np.zeros(_VOCABULARY, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                seen[np.unique(np.frombuffer(x.as_buffer(), "<u2"))] += 1
+                seen[distinct(np.frombuffer(x.as_buffer(), "<u2"))[0]] += 1
         terms = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(seen[terms])], ["term", "df"])
 
@@ -76,7 +94,7 @@ class Shard:
     """A BM25 inverted index of some documents."""
 
     def __init__(self, docs: list[np.ndarray], stats: Statistics):
-        terms, tf = zip(*[np.unique(d, return_counts=True) for d in docs])
+        terms, tf = zip(*[distinct(d) for d in docs])
         size = np.array([len(d) for d in docs])
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for t in terms])
         term, tf = np.concatenate(terms), np.concatenate(tf)
@@ -162,17 +180,6 @@ def packed(
     n, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(tokens)
     stats = Statistics(n, total / max(n, 1), np.log1p((n - df + 0.5) / (df + 0.5)))
-    rank = np.where(df > 1, stats.idf, 0)
-
-    def lead(batches):
-        """The document's token of highest tf * idf among those that others hold too."""
-        for batch in batches:
-            out = []
-            for x in batch.column(2):
-                terms, tf = np.unique(np.frombuffer(x.as_buffer(), "<u2"), return_counts=True)
-                out.append(int(terms[np.argmax(rank[terms] * tf / (tf + K1))]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], ["id", "n", "ids", "lead"])
-
     def pack(batches):
         packer, names, held, size = _Packer(TaskContext.get().partitionId(), window), [], [], 0
 
@@ -195,7 +202,6 @@ def packed(
             yield flush()
 
     parts = max(1, math.ceil(total / PARTITION_TOKENS))
-    laid = (tokens.mapInArrow(lead, "id long, n long, ids binary, lead long")
-            .repartitionByRange(parts, "lead", "id").sortWithinPartitions("lead", "id"))
+    laid = tokens.repartitionByRange(parts, "lead", "id").sortWithinPartitions("lead", "id")
     rows = laid.select("id", "ids").mapInArrow(pack, "id long, start long, length long, crc long, total long, sequence long, offset long")
     return rows.toDF(id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

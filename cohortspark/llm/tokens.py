@@ -2,19 +2,21 @@
 
 The tokenizers used here cut at white space before anything else, so a text's ids are those
 of its white-space separated pieces in order. Every worker remembers the ids of the pieces it
-met lately and asks the tokenizer only for new ones, many at a time.
+met lately and encodes only new ones: a batch's new pieces are normalised in one call, cut by
+the file's own pattern, and a pre-token goes through the merges once while it is remembered.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import regex
 
-REMEMBERED = 200_000  # pieces in each of two generations
+REMEMBERED = 300_000  # pieces in each of two generations
 
 
 @lru_cache(maxsize=2)
@@ -25,15 +27,36 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The visible characters that byte-level models write bytes with."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class _Memory:
     """Piece to ids (little-endian 16 bit), in two generations: what is used stays."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.special = [t["content"] for t in parts["added_tokens"]]
+        steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        kinds = [s["type"] for s in steps]
+        plain = kinds == ["Split", "ByteLevel"] and steps[0]["invert"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]
+        # the file's pattern, or the space that stands between two pieces
+        self.cut = regex.compile(f"{steps[0]['pattern']['Regex']}| ").findall if plain else None
+        self.lowers = any(n["type"] == "Lowercase" for n in (parts.get("normalizer") or {}).get("normalizers", []))
+        self.letters = _byte_letters()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.merged: dict[str, bytes] = {}  # pre-token to ids
 
-    def ids(self, pieces: list[str]) -> list[bytes]:
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of all the pieces."""
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
         new, old = self.new, self.old
         missing = []
         for p in pieces:
@@ -42,11 +65,30 @@ class _Memory:
                     new[p] = old[p]
                 else:
                     missing.append(p)
-        for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False) if missing else []):
-            new[p] = np.array(e.ids, "<u2").tobytes()
-        out = [new[p] for p in pieces]
-        if len(new) > REMEMBERED:
-            self.old, self.new = new, {}
+        if missing:
+            new.update(zip(missing, self._encoded(missing)))
+        return new
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        folded = ""
+        if self.cut and not any(s in p for p in pieces if "<" in p for s in self.special):
+            folded = self.tokenizer.normalizer.normalize_str(" ".join(pieces))
+        if folded.count(" ") != len(pieces) - 1:  # a piece that is normalised to several
+            return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        if len(self.merged) > REMEMBERED:
+            self.merged.clear()
+        merged, out, found = self.merged, [], b""
+        for token in self.cut(folded):
+            if token == " ":
+                out.append(found)
+                found = b""
+                continue
+            ids = merged.get(token)
+            if ids is None:
+                text = token if token.isascii() else "".join([self.letters[b] for b in token.encode()])
+                ids = merged[token] = array("H", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+            found = found + ids if found else ids
+        out.append(found)
         return out
 
 
@@ -55,15 +97,29 @@ def _memory(path: str) -> _Memory:
     return _Memory(path)
 
 
-def encoded(texts: pa.Array, path: str, block: int = 256):
-    """Yields per row the ids as little-endian 16-bit bytes; a null text has none."""
+def _spaced(text: str | None, lowers: bool) -> str:
+    """The text with spaces for other ASCII white space; in lower case where that is sure to change no id."""
+    if not text:
+        return ""
+    if lowers and "<|" not in text:
+        try:  # up to U+00FF case is one to one and composition changes nothing
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    for c in "\t\n\r\x0b\x0c":
+        if c in text:
+            text = text.replace(c, " ")
+    return text
+
+
+def encoded(texts: pa.Array, path: str) -> list[bytes]:
+    """Per row the ids as little-endian 16-bit bytes; a null text has none."""
     memory = _memory(path)
-    texts = texts.fill_null("")
-    for lo in range(0, len(texts), block):
-        split = pc.ascii_split_whitespace(texts.slice(lo, block))
-        known = split.flatten().dictionary_encode()
-        pieces = memory.ids(known.dictionary.to_pylist())
-        which = known.indices.to_numpy().tolist()
-        at = split.offsets.to_numpy().tolist()
-        for i in range(len(split)):
-            yield b"".join([pieces[k] for k in which[at[i] - at[0] : at[i + 1] - at[0]]])
+    spaced = [_spaced(t, memory.lowers) for t in texts.to_pylist()]
+    pieces: set[str] = set()
+    for t in spaced:
+        pieces.update(t.split(" "))
+    known = memory.learn(pieces - {""}) if pieces else {}
+    known[""] = b""
+    return [b"".join(map(known.__getitem__, t.split(" "))) for t in spaced]
