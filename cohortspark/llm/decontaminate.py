@@ -3,14 +3,16 @@
 The CGK walk embeds edit distance into Hamming distance: at step j it emits the word it
 stands on and moves on if the bit that the step's random function assigns to that word is 1.
 Two texts that differ by few edits fall back into step after each edit, so they agree in most
-steps. A hash samples the words emitted at a few steps; equal samples make a candidate, and
-walks and samples repeat independently. Windows are sized by the items: a class of items of
+steps. A hash samples the words emitted at a few steps; windows of equal samples whose
+Hamming distance over further sampled steps is small make a candidate, and walks and samples
+repeat independently. Windows are sized by the items: a class of items of
 n words takes windows of up to three quarters of n words, at a stride of a quarter of the
 window in documents and at every word in items, so that each copy of an item meets one of
 its windows in every repetition. Every candidate is then decided by the exact word edit
 distance between the item and the best matching stretch of the document.
 
-The random function of step j depends on j modulo 8, so a walk is a composition of blocks of
+The random function of step j depends on j modulo 8 and moves every word at least once in
+eight steps, so that no walk gets stuck; a walk is a composition of blocks of
 eight steps that are computed once per word and shared by all windows and sizes.
 """
 
@@ -28,6 +30,7 @@ from cohortspark.llm.textops import U64, Words, arrow_limits, blocks, column_byt
 
 REPEATS = 6
 SAMPLES = 4  # words in a hash
+WITNESSES, AGREE = 12, 7  # further steps of the walk, and how many of them must agree
 RATIO = 0.2  # edits allowed per word of the item
 MIN_WORDS = 5  # shorter items prove nothing and are left out
 BLOCK_WORDS = 400_000  # words of items searched at a time
@@ -64,7 +67,8 @@ class Walks:
     def __init__(self, words: np.ndarray, repeat: int, reach: int):
         n = len(words)
         self.words = np.concatenate([words, np.zeros(reach + _STEPS, U64)])  # walks may leave the text
-        bits = (mix(self.words, 100 + repeat) >> U64(56)).astype(np.uint8)
+        random = mix(self.words, 100 + repeat)
+        bits = (random >> U64(56)).astype(np.uint8) | np.left_shift(np.uint8(1), ((random >> U64(40)) & U64(7)).astype(np.uint8))
         at = np.arange(n + reach, dtype=np.int32)
         self.after = [np.zeros(n + reach, np.uint8)]  # displacement after k steps of a block
         for k in range(_STEPS):
@@ -72,16 +76,21 @@ class Walks:
             at += move
             self.after.append(self.after[-1] + move)
 
-    def hashes(self, starts: np.ndarray, steps: list[int]) -> np.ndarray:
-        """A hash of the words emitted at the steps, for each window start."""
-        at, block = starts.astype(np.int32), 0
-        out = np.full(len(starts), U64(len(steps)))
+    def emitted(self, starts: np.ndarray, steps: list[int]) -> list[np.ndarray]:
+        """The words emitted at each of the (ascending) steps, for each window start."""
+        at, block, out = starts.astype(np.int32), 0, []
         for step in steps:
             while block < step // _STEPS:
                 at = at + self.after[_STEPS][at]
                 block += 1
-            place = at + self.after[step % _STEPS][at] if step % _STEPS else at
-            out = out * U64(0x2545F4914F6CDD1D) + self.words[place]
+            out.append(self.words[at + self.after[step % _STEPS][at] if step % _STEPS else at])
+        return out
+
+    def hashes(self, starts: np.ndarray, steps: list[int]) -> np.ndarray:
+        """A hash of the words emitted at the steps, for each window start."""
+        out = np.full(len(starts), U64(len(steps)))
+        for words in self.emitted(starts, steps):
+            out = out * U64(0x2545F4914F6CDD1D) + words
         return mix(out, 7)
 
 
@@ -92,13 +101,18 @@ def _steps(window: int, repeat: int) -> list[int]:
     return [int(rng.integers(int(a), max(int(a) + 1, int(b)))) for a, b in zip(edges[:-1], edges[1:])]
 
 
+def _witnesses(window: int) -> list[int]:
+    """Steps spread over the same part of the walk, to compare in Hamming distance."""
+    return np.linspace(0, 1.5 * window - 1, WITNESSES).astype(int).tolist()
+
+
 @dataclass
 class Index:
     """The item windows of one block of items."""
 
     ids: list
     words: list[np.ndarray] = field(default_factory=list)
-    tables: dict[tuple[int, int], tuple] = field(default_factory=dict)  # (window, repeat): bitmap, keys, item, offset
+    tables: dict[tuple[int, int], tuple] = field(default_factory=dict)  # (window, repeat): bitmap, keys, item, offset, witnesses
     reach: int = 0
 
     def build(self, repeats: int) -> Index:
@@ -111,14 +125,14 @@ class Index:
                 parts = []
                 for i in members:
                     starts = np.arange(len(self.words[i]) - window + 1)
-                    keys = Walks(self.words[i], r, self.reach).hashes(starts, _steps(window, r))
-                    parts.append((keys, np.full(len(starts), i), starts))
-                keys, item, offset = (np.concatenate(x) for x in zip(*parts))
+                    walks = Walks(self.words[i], r, self.reach)
+                    parts.append((walks.hashes(starts, _steps(window, r)), np.full(len(starts), i), starts, np.stack(walks.emitted(starts, _witnesses(window)), axis=1)))
+                keys, item, offset, seen = (np.concatenate(x) for x in zip(*parts))
                 order = np.argsort(keys, kind="stable")
                 size = 1 << max(16, (64 * len(keys)).bit_length())
                 bitmap = np.zeros(size, bool)
                 bitmap[(keys & U64(size - 1)).astype(np.int64)] = True
-                self.tables[window, r] = bitmap, keys[order], item[order], offset[order]
+                self.tables[window, r] = bitmap, keys[order], item[order], offset[order], seen[order]
         return self
 
     def candidates(self, words: np.ndarray, repeats: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,16 +140,24 @@ class Index:
         found = []
         for r in range(repeats):
             walks = Walks(words, r, self.reach)
-            for (window, at), (bitmap, keys, item, offset) in self.tables.items():
+            for (window, at), (bitmap, keys, item, offset, seen) in self.tables.items():
                 if at != r:
                     continue
                 starts = np.arange(0, len(words), max(1, window // 4), dtype=np.int32)
                 h = walks.hashes(starts, _steps(window, r))
                 maybe = np.flatnonzero(bitmap[(h & U64(len(bitmap) - 1)).astype(np.int64)])
                 lo, hi = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
-                size = hi - lo
-                which = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size, size) + np.arange(size.sum())
-                found.append(np.stack([item[which], np.repeat(starts[maybe].astype(np.int64), size) - offset[which]]))
+                hit = np.flatnonzero(hi > lo)
+                maybe, lo, size = maybe[hit], lo[hit], (hi - lo)[hit]
+                if not len(hit):
+                    continue
+                near = np.stack(walks.emitted(starts[maybe], _witnesses(window)), axis=1)
+                for a in range(0, len(hit), 4096):  # bounded memory, however many item windows share a hash
+                    n = size[a : a + 4096]
+                    which = np.repeat(lo[a : a + 4096] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    doc = np.repeat(np.arange(a, a + len(n)), n)
+                    good = (near[doc] == seen[which]).sum(axis=1) >= AGREE
+                    found.append(np.stack([item[which[good]], starts[maybe[doc[good]]].astype(np.int64) - offset[which[good]]]))
         item, begin = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return item, begin
 
@@ -175,8 +197,8 @@ def _matches(texts: pa.Array, index: Index, repeats: int, ratio: float) -> Itera
             first, last = int(words.first[r]), int(words.first[r + 1])
             a = max(first, bucket * int(near[i]) - limit)
             b = min(last, (bucket + 1) * int(near[i]) + int(size[i]) + limit)
-            if b - a < size[i] - limit:
-                continue
+            if b - a < size[i] - limit or np.isin(h[a:b], index.words[i]).sum() < size[i] - limit:
+                continue  # too few words of the item for so few edits
             distance, end = edit_distance(index.words[i], h[a:b])
             if distance <= limit and (distance, a + end - first) < best.get((r, i), (limit + 1, 0)):
                 best[r, i] = distance, a + end - first
