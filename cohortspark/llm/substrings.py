@@ -153,6 +153,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     paths = path_rows(docs, width)
     per = paths.groupBy("m").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("size > 1")
+    per = settle(per, "minimisers")  # both sides of the join are plain exchanges then, which Spark can split
     shared = settle(paths.join(per.select("m", (F.col("lo") != F.col("hi")).alias("branching")), "m"), "paths")
     branching = (shared.filter("branching").groupBy("m", "c")
                  .agg(F.count("*").alias("copies"), F.min(F.struct("id", "at", "n")).alias("s")).select("m", "c", "copies", "s.*"))
