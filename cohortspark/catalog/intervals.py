@@ -27,6 +27,13 @@ isl AS (SELECT *, SUM(CASE WHEN prev IS NULL OR s > prev THEN 1 ELSE 0 END) OVER
 reg AS (SELECT chrom, CAST(MIN(s) AS INTEGER) AS start_pos, CAST(MAX(e) AS INTEGER) AS end_pos FROM isl GROUP BY chrom, island)"""
 
 
+@query("normal_chrom", """
+SELECT marker_id, regexp_replace(concat('chr', lpad(chr, 2, '0')), '^chr0', 'chr') AS chrom FROM fx_finemap""")
+def normal_chrom(fx):
+    padded = F.concat(F.lit("chr"), F.lpad("chr", 2, "0"))
+    return fx("finemap").select("marker_id", variants.normal_chrom(padded).alias("chrom"))
+
+
 def significant(fx):
     rows = fx("assoc").filter("trait = 'longevity_disease_covar'")
     return variants.significant(rows).select("marker_id", "chrom", "start_pos", "end_pos", "allele1", "allele2", "freq", "pval")

@@ -36,14 +36,16 @@ class Inputs:
         return self._plans[key]
 
 
-_OPEN: dict[tuple[int, str], Inputs] = {}
+_OPEN: dict[str, Inputs] = {}
 
 
 def _inputs(spark: SparkSession, folder: str) -> Inputs:
-    """One set of plans per session and folder."""
-    found = _OPEN.get((id(spark), folder))
+    """One set of plans per folder, of the session in use."""
+    found = _OPEN.get(folder)
     if found is None or found.spark is not spark:
-        found = _OPEN[id(spark), folder] = Inputs(spark, folder)
+        if found is not None:
+            _OPEN.clear()  # plans of a session that is gone
+        found = _OPEN[folder] = Inputs(spark, folder)
     return found
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from cohortspark.catalog import sqltext
 from cohortspark.catalog.registry import query
+from cohortspark.functions import numeric
 from cohortspark.functions.nulls import rounded
+from cohortspark.operators import ordered
 from cohortspark.plans import records, scores
 from cohortspark.sources.stored import settle
 
@@ -30,6 +32,20 @@ def population(fx, stored=True):
     return settle(table, "population") if stored else table
 
 
+@query("rolling_mean", """
+SELECT id, name, age, round(CASE WHEN COUNT(*) OVER w = 2 THEN AVG(score) OVER w END, 9) AS pair FROM fx_score
+WINDOW w AS (PARTITION BY id, name ORDER BY age ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)""")
+def rolling_mean(fx):
+    rows = ordered.rolling_mean(fx("score"), ["id", "name"], [F.col("age")], "score", "pair")
+    return rows.select("id", "name", "age", rounded(F.col("pair"), 9).alias("pair"))
+
+
+@query("level_code", """
+SELECT id, age, name, CAST(NULLIF(coalesce(list_position(['longevity', 'cvd', 'diabetes'], name), 0), 0) AS INTEGER) AS code FROM fx_score""")
+def level_code(fx):
+    return fx("score").select("id", "age", "name", numeric.level_code(F.col("name"), ["longevity", "cvd", "diabetes"]).alias("code"))
+
+
 @query("fold_mean", """
 SELECT id, sex, age, name, round(AVG(score), 6) AS score FROM (SELECT id, sex, age, name, score * (1e0 + (f - 1) / 1e1) AS score
   FROM (SELECT *, unnest([0, 1, 2, 3, 4]) AS f FROM fx_score) x) y GROUP BY id, sex, age, name""")

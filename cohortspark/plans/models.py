@@ -14,11 +14,22 @@ from pyspark.sql import functions as F
 from cohortspark.plans.scores import longevity_q
 from cohortspark.sources.stored import settle
 
+MAX_ITERATIONS = 200
+
 Bundle = dict[tuple[int, int], PipelineModel]
 
 
 def logistic():
-    return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=15, regParam=1e-3)
+    return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=MAX_ITERATIONS, regParam=1e-3)
+
+
+def fitted(stages: Pipeline, train: DataFrame) -> PipelineModel:
+    """The model; fails when its solver stopped at the limit instead of converging."""
+    model = stages.fit(train)
+    last = model.stages[-1]
+    if getattr(last, "hasSummary", False) and last.summary.totalIterations >= last.getOrDefault("maxIter"):
+        raise RuntimeError(f"not converged after {last.summary.totalIterations} iterations")
+    return model
 
 
 def pipeline(features: Sequence[str], estimator) -> Pipeline:
@@ -65,7 +76,7 @@ def _stitch(features: DataFrame, names: Sequence[str], ages: Sequence[int], step
         train = settle(_weighted(rows, known_at(age, older is not None), older, step), f"train-{age}")
         held = None
         for fold in range(nfolds):
-            model = pipeline(names, estimator()).fit(train.filter(F.col("fold") != fold))
+            model = fitted(pipeline(names, estimator()), train.filter(F.col("fold") != fold))
             bundle[age, fold] = model
             part = _predict(model, rows.filter(F.col("fold") == fold)).select("id", "sex", "age", "fold", "score")
             held = part if held is None else held.unionByName(part)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,11 +27,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def has_scratch(spark: SparkSession) -> bool:
-    """Whether there is a place for intermediates that every executor can reach."""
-    return bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.master.startswith("local")
-
-
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate, below the folder the cluster shares.
 
@@ -39,7 +35,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not has_scratch(spark):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster is a cluster
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = spark.conf.get("cohortspark.local.scratch", None)
         if not root:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.session import has_scratch, scratch_dir
+from cohortspark.session import scratch_dir
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
@@ -27,11 +27,9 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str)
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several later jobs read, and read it back: lineage ends here.
 
-    Without a shared folder the plan is returned as it is and computed again where used.
+    Fails on a cluster without a shared folder (see :func:`scratch_dir`).
     """
     spark = df.sparkSession
-    if not has_scratch(spark):
-        return df
     path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
