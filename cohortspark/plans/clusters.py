@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.nulls import mean_strict
 
-CHUNK = 1000  # centres compared at a time: the bound of one broadcast row
+CHUNK = 1000  # centres compared at a time: the bound of one array
 
 
 def nearest_centroid(df: DataFrame, centres: DataFrame, coordinates: Sequence[str], label: str = "clust") -> DataFrame:
     """Add the nearest centre's label, the lowest of equally near ones.
 
     Missing coordinates are left out and the squared distance is scaled up to all of them. The
-    centres become one array column per chunk, joined to every row as a single broadcast row,
-    so the table itself is not shuffled; more centres take more chunks.
+    centres become one array per chunk, a scalar subquery, so the table itself is not shuffled;
+    more centres take more chunks.
     """
     present = sum((F.col(c).isNotNull().cast("int") for c in coordinates), F.lit(0))
     chunks = -(-max(1, centres.count()) // CHUNK)
@@ -34,8 +34,8 @@ def nearest_centroid(df: DataFrame, centres: DataFrame, coordinates: Sequence[st
     best, out = None, df
     for k in range(chunks):
         part = listed.filter(F.pmod(F.xxhash64("label"), F.lit(chunks)) == k) if chunks > 1 else listed
-        row = part.agg(F.collect_list(F.struct("label", *names)).alias(f"_centres{k}"))
-        out = out.join(F.broadcast(row))
+        chunk = part.agg(F.collect_list(F.struct("label", *names)).alias("centres"))
+        out = out.withColumn(f"_centres{k}", chunk.scalar())
         near = F.array_min(F.transform(f"_centres{k}", lambda c: F.struct(distance(c).alias("d"), c["label"].alias("label"))))
         best = near if best is None else F.least(best, near)
     # the scale is the same for every centre and cannot change which one is nearest
