@@ -18,16 +18,19 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: kind and pattern, tried in this order at each place
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,256}",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,}+",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
 }
 ANY = "|".join(PATTERNS.values())
+#: digits with single spaces or hyphens, 13 or more: cards are looked for in what the patterns leave
+RUN = r"(?<!\d)(?=\d(?:[ -]?\d){12})\d++(?:[ -]\d++)*+"
+_GROUPED = r"^(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1){2,3}\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})$"  # how cards are written
+_CHUNK = 256  # symbols of one network: its cost grows with their square
 HINT = "[0-9@=:]|AKIA"  # every pattern needs one of these: most texts have none and are passed by quickly
 
 _EPOCH, _A, _B = "1900-01-01", 17, 4297  # 17 * 4297 days: 1900-01-01 to 2099-12-31
@@ -41,7 +44,7 @@ def _limits(*values: int) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
-def feistel(values: Column, ranges: Column, key: str, kind: str, rounds: int = ROUNDS) -> Column:
+def feistel(values: Column, ranges: Column, key: str, kind: str | Column, rounds: int = ROUNDS) -> Column:
     """Permute an array of symbols, each below its own range."""
     half = F.floor(F.size(values) / 2).cast("int")
     lo = lambda x: F.slice(x, F.lit(1), half)
@@ -62,7 +65,7 @@ def feistel(values: Column, ranges: Column, key: str, kind: str, rounds: int = R
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
 
 
-def permuted_text(text: Column, key: str, kind: str) -> Column:
+def permuted_text(text: Column, key: str, kind: str | Column) -> Column:
     """Permute the ASCII letters and digits of a string, each within its own alphabet."""
     def base(code: Column) -> Column:
         return (F.when(code.between(48, 57), 48).when(code.between(65, 90), 65).when(code.between(97, 122), 97).otherwise(code))
@@ -95,19 +98,71 @@ def mod97(text: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    digits = _digits(m)
     body = permuted_text(F.substring(m, F.lit(2), F.length(m) - 2), key, "card")
-    moved = F.concat(F.substring(m, 1, 1), body, luhn(F.concat(F.substring(m, 1, 1), _digits(body))))
-    valid = F.substring(digits, -1, 1) == luhn(F.substring(digits, F.lit(1), F.length(digits) - 1))
-    return F.when(valid & digits.rlike("[1-9]"), moved).otherwise(m)
+    return F.concat(F.substring(m, 1, 1), body, luhn(F.concat(F.substring(m, 1, 1), _digits(body))))
+
+
+def _run_cards(run: Column, key: str) -> Column:
+    """(text, n): a run of groups of digits with the cards in it permuted, and their number.
+
+    A card is 13 to 19 digits of whole groups with a right check digit. At the beginning of the
+    run and behind a card its grouping is free, elsewhere it must be grouped as cards are. The
+    longest one from the leftmost place is taken.
+    """
+    groups = F.regexp_extract_all(run, F.lit("[ -]?[0-9]+"), F.lit(0))
+    text = lambda at, n: F.array_join(F.slice(groups, at, n), "")
+    bare = lambda w: F.regexp_replace(w, "^[ -]", "")
+
+    def card(w: Column) -> Column:
+        digits = _digits(w)
+        return (F.when(~F.length(digits).between(13, 19) | ~digits.rlike("[1-9]"), False)
+                .otherwise(F.substring(digits, -1, 1) == luhn(F.substring(digits, F.lit(1), F.length(digits) - 1))))
+
+    def places(i: Column) -> Column:
+        sizes = F.filter(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i + 1)), lambda n: card(text(i, n)))
+        return F.struct(i.alias("at"), F.transform(sizes, lambda n: F.struct(n.alias("n"), bare(text(i, n)).rlike(_GROUPED).alias("grouped"))).alias("cards"))
+
+    def step(state: Column, x: Column) -> Column:
+        some = F.filter(x["cards"], lambda c: (x["at"] == state["next"]) | c["grouped"])
+        n = F.when(x["at"] >= state["next"], F.array_max(F.transform(some, lambda c: c["n"])))
+        taken = F.struct(state["next"].alias("prev"), x["at"].alias("at"), n.alias("n"))
+        return F.struct(F.coalesce(x["at"] + n, state["next"]).alias("next"),
+                        F.when(n.isNotNull(), F.concat(state["taken"], F.array(taken))).otherwise(state["taken"]).alias("taken"))
+
+    def moved(c: Column) -> Column:
+        w = text(c["at"], c["n"])
+        return F.concat(text(c["prev"], c["at"] - c["prev"]), F.regexp_extract(w, "^[ -]?", 0), _card(bare(w), key))
+
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<prev:int,at:int,n:int>>").alias("taken"))
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.size(groups)), places), start, step, lambda s: F.struct(
+        F.concat(F.array_join(F.transform(s["taken"], moved), ""), text(s["next"], F.size(groups))).alias("text"), F.size(s["taken"]).alias("n")))
+
+
+def _cards(text: Column, key: str) -> Column:
+    """(text, n): a text with its cards permuted, and their number."""
+    pieces = F.zip_with(F.split(text, RUN), F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda r: _run_cards(r, key)), lambda rest, r: F.struct(
+        F.concat(rest, F.coalesce(r["text"], F.lit(""))).alias("text"), F.coalesce(r["n"], F.lit(0)).alias("n")))
+    joined = lambda x: F.struct(F.array_join(F.transform(x, lambda p: p["text"]), "").alias("text"),
+                                F.aggregate(x, F.lit(0), lambda acc, p: acc + p["n"]).alias("n"))
+    return F.when(text.rlike(RUN), F.transform(F.array(pieces), joined)[0]).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
 
 
 def _iban(m: Column, key: str) -> Column:
-    whole = F.regexp_replace(m, " ", "")
-    body = permuted_text(F.substring(m, F.lit(5), F.length(m)), key, "iban")
-    check = 98 - mod97(F.concat(F.regexp_replace(body, " ", ""), F.substring(m, 1, 2), F.lit("00")))
-    valid = F.length(whole).between(15, 34) & (mod97(F.concat(F.substring(whole, F.lit(5), F.length(whole)), F.substring(whole, 1, 4))) == 1)
-    return F.when(valid, F.concat(F.substring(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), body)).otherwise(m)
+    """The longest beginning of whole groups that is valid; what follows it stays."""
+    groups = F.split(m, " ")
+    first = lambda n: F.array_join(F.slice(groups, F.lit(1), n), " ")
+
+    def valid(part: Column) -> Column:
+        whole = F.regexp_replace(part, " ", "")
+        return F.when(F.length(whole).between(15, 34), mod97(F.concat(F.substring(whole, F.lit(5), F.length(whole)), F.substring(whole, 1, 4))) == 1).otherwise(False)
+
+    def moved(part: Column) -> Column:
+        body = permuted_text(F.substring(part, F.lit(5), F.length(part)), key, "iban")
+        check = 98 - mod97(F.concat(F.regexp_replace(body, " ", ""), F.substring(part, 1, 2), F.lit("00")))
+        return F.concat(F.substring(part, 1, 2), F.lpad(check.cast("string"), 2, "0"), body, F.substring(m, F.length(part) + 1, F.length(m)))
+
+    best = F.array_max(F.filter(F.sequence(F.lit(1), F.size(groups)), lambda n: valid(first(n))))
+    return F.coalesce(F.get(F.transform(F.filter(F.array(best), lambda n: n.isNotNull()), lambda n: moved(first(n))), F.lit(0)), m)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -120,7 +175,9 @@ def _date(m: Column, key: str) -> Column:
                         F.when(early, _limits(200, 12)).otherwise(_limits(10, 20)), key, "date")
         moved = F.concat(F.lpad((F.when(early, split[1]).otherwise(month) + 1).cast("string"), 2, "0"), F.substring(m, 3, 4),
                          (F.when(early, split[0]).otherwise(split[0] * 20 + split[1]) + 1900).cast("string"))
-        out = F.when(d.isNotNull() & F.year(d).between(1900, 2099) & ~((F.month(d) == 2) & ~early), moved).otherwise(out)
+        leap = feistel(_longs(F.floor((F.year(d) - 1904) / 28), (F.year(d) - 1904) / 4 % 7), _limits(7, 7), key, "date")
+        leap = F.concat(F.substring(m, 1, 6), ((leap[0] * 7 + leap[1]) * 4 + 1904).cast("string"))  # 49 leap years from 1904 to 2096
+        out = F.when(d.isNotNull() & F.year(d).between(1900, 2099), F.when((F.month(d) == 2) & ~early, leap).otherwise(moved)).otherwise(out)
     for pattern in ("dd/MM/yyyy", "dd.MM.yyyy", "yyyy-MM-dd"):
         d = F.try_to_date(m, pattern)
         n = F.datediff(d, F.lit(_EPOCH).cast("date"))
@@ -162,15 +219,21 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _after(m: Column, prefix: str, key: str, kind: str) -> Column:
+    """``m`` permuted behind its prefix, in equal chunks if it is long."""
     kept = F.regexp_extract(m, prefix, 0)
-    return F.concat(kept, permuted_text(F.substring(m, F.length(kept) + 1, F.length(m)), key, kind))
+    n = F.length(m) - F.length(kept)
+    chunks = F.ceil(n / _CHUNK).cast("int")
+    at = lambda i: F.floor(i * n.cast("long") / chunks).cast("int")
+    moved = F.transform(F.sequence(F.lit(0), chunks - 1), lambda i: permuted_text(
+        F.substring(m, F.length(kept) + at(i) + 1, at(i + 1) - at(i)), key, F.when(i == 0, kind).otherwise(F.concat(F.lit(kind), i.cast("string")))))
+    return F.concat(kept, F.array_join(moved, ""))
 
 
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one found value; a value that does not validate stays as it is."""
     made = {
         "email": _email(m, key), "secret": _after(m, r"^[^=:]*[=:]\s{0,3}[\"']?", key, "secret"), "key": _after(m, "^AKIA", key, "key"),
-        "iban": _iban(m, key), "date": _date(m, key), "ssn": _ssn(m, key), "phone": _phone(m, key), "card": _card(m, key), "ip": _ip(m, key),
+        "iban": _iban(m, key), "date": _date(m, key), "ssn": _ssn(m, key), "phone": _phone(m, key), "ip": _ip(m, key),
     }
     out = m
     for kind, pattern in list(PATTERNS.items())[::-1]:
@@ -189,17 +252,22 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col:
     Whoever holds ``key`` can reverse the permutation.
     """
     text = F.col(text_col).cast("string")
-    has = text.rlike(HINT) & text.rlike(ANY)
-    names = ["found", "parts", "made"]  # columns of their own: each is computed once
+    cards = text.rlike(RUN)
+    has = text.rlike(HINT) & (text.rlike(ANY) | cards)
+    names = ["found", "parts", "made", "done"]  # columns of their own: each is computed once
     while set(names) & set(docs.columns):
         names = [f"{n}_" for n in names]
-    found, parts, made = names
+    found, parts, made, done = names
     rows = docs.withColumns({found: F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), parts: F.when(has, F.split(text, ANY))})
     rows = rows.withColumn(made, F.transform(found, lambda m: pseudonym(m, key)))
-    rest = F.slice(parts, F.lit(2), F.size(parts))
-    joined = F.concat(F.col(parts)[0], F.array_join(F.zip_with(made, rest, lambda a, b: F.concat(a, b)), ""))
+    # cards: in what lies between the values, and in values that did not validate
+    own = lambda t, n: F.struct(t.alias("text"), F.lit(n).alias("n"))
+    rows = rows.withColumns({
+        made: F.zip_with(found, made, lambda m, p: F.when(p != m, own(p, 1)).otherwise(_cards(m, key))),
+        done: F.when(cards, F.transform(parts, lambda p: _cards(p, key))).otherwise(F.transform(parts, lambda p: own(p, 0)))})
+    joined = F.array_join(F.zip_with(done, made, lambda a, b: F.concat(a["text"], F.coalesce(b["text"], F.lit("")))), "")
     out = {text_col: F.when(F.col(found).isNotNull(), joined).otherwise(text)}
     if count_col:
-        changed = F.size(F.filter(F.zip_with(found, made, lambda a, b: a != b), lambda x: x))
+        changed = F.aggregate(F.concat(made, done), F.lit(0), lambda acc, x: acc + x["n"])
         out[count_col] = F.when(F.col(found).isNotNull(), changed).otherwise(0).cast("long")
     return rows.withColumns(out).drop(*names)

@@ -162,6 +162,36 @@ def test_validated_numbers_stay_valid(spark):
     assert got[13:] == [None, "", "version 1.2.3"]
 
 
+def test_values_beside_other_groups_do_not_stay(spark, docs):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    lines = [f"{card} 12/25", f"{card} 123", f"12/25 {card}", f"no 7 {card} 12 25 {card}", f"2+{card}", f"AB12 {card}", "1234567890128 2020-01-01 x"]
+    got = masked(spark, lines + [f"{iban} EUR", "4111 1111 1111 1112 12/25"])
+    for line, g in zip(lines[:6], got):
+        shape = re.sub(r"\d", "9", line)
+        assert card not in g and "1111 1111" not in g and re.sub(r"\d", "9", g) == shape
+        at = line.index(card)
+        assert luhn_ok(re.sub(r"\D", "", g[at : at + len(card)])) or line == lines[1]
+    assert got[0].endswith(" 12/25") and got[2].startswith("12/25 ") and got[0][:19] == got[2][6:] == got[3][5:24]
+    assert "2020-01-01" not in got[6] and got[7].endswith(" EUR") and iban not in got[7] and got[8] == "4111 1111 1111 1112 12/25"
+    counted = privacy.pseudonymised(docs([(1, f"{card} 12/25 and {card}, a@b.example")]), "k", count_col="n_replaced").first()
+    assert counted["n_replaced"] == 3
+
+
+def test_long_secrets_change_to_their_end(spark):
+    long = "".join(random.Random(5).choice("abcdefghijkABCDEFG0123456789") for _ in range(3000))
+    got = masked(spark, [f"token={long} end", f"token={long[:256]} end"])
+    assert len(got[0]) == len(long) + 10 and got[0].endswith(" end")
+    assert all(got[0][6 + i : 26 + i] != long[i : i + 20] for i in range(0, 2980, 20))
+    assert got[1] == f"token={permuted(long[:256], 'k', 'secret')} end"
+
+
+def test_leap_days_move_among_leap_days(spark):
+    years = list(range(1904, 2100, 4))
+    got = masked(spark, [f"on 02/29/{y}" for y in years] + ["on 02/29/2019"])
+    new = [int(g[9:]) for g in got[:-1]]
+    assert all(g.startswith("on 02/29/") for g in got) and sorted(new) == years and new != years and got[-1] == "on 02/29/2019"
+
+
 def test_equal_values_stay_linked(spark, docs):
     rows = [(1, "a 70.123.182.155 b"), (2, "70.123.182.155"), (2, "70.123.182.155"), (3, "x" * 100_000 + " 70.123.182.155"), (None, None)]
     out = privacy.pseudonymised(docs(rows), "k", count_col="n_replaced")
