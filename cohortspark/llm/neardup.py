@@ -2,13 +2,13 @@
 
 A document's set holds its distinct word shingles. Equal sets collapse into classes first.
 Then several independent trees branch the classes: at each level a class follows its
-minwise token under that level's hash. Nodes that hold a single class, or one component of
+minwise tokens under two hashes of that level (one at the first level). Nodes that hold a single class, or one component of
 links found so far, end (first every node's smallest class is compared with one class of each
 other component, so that groups of copies become one component); small nodes are compared exhaustively on their minwise signatures,
 and nodes still large at the last level in tiles. Every pair that looks possible is
-confirmed on the full sets. Two sets of similarity s share a node of depth d in one tree
-with probability s**d, so 16 trees of up to 5 levels find a pair of similarity 0.75 with
-probability 0.987 or more (0.9999999 in nodes of depth 1, where most end).
+confirmed on the full sets. Two sets of similarity 0.75 stay together in one tree down to depth
+5 with probability 0.67 (0.24 with one hash a level), so that 8 of the 16 trees that share no
+hash all lose them with probability 0.0001.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from cohortspark.sources.stored import settle
 
 TREES, LEVELS = 16, 5
 STAR_TREES = 2  # trees whose nodes are tried first, smallest class against the others
-SMALL = 32  # classes in a node that is compared exhaustively
+SMALL = 64  # classes in a node that is compared exhaustively
+EXTRA = 256  # further minwise values of one byte each, for comparing only (a multiple of 4)
 TILE = 256  # rows of a tile in a node that stays large
 
 
@@ -83,6 +84,12 @@ def _signatures(values: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _sketches(values: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+    """k minwise values, then the low bytes of ``EXTRA`` more, four in a column."""
+    whole = _signatures(values, bounds, k + EXTRA)
+    return np.hstack([whole[:, :k], np.ascontiguousarray(whole[:, k:].astype(np.uint8)).view(np.uint32)])
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
     """(id, n_shingles, f1, f2, sig): the set's size, a 128-bit fingerprint and its signature."""
 
@@ -96,13 +103,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> D
                     np.cumsum(mix(values, seed), out=sums[1:])
                     to.append(sums[bounds[1:]] - sums[bounds[:-1]])
                 n.append(size)
-                sig.append(_signatures(values, bounds, k))
+                sig.append(_sketches(values, bounds, k))
             if not len(ids):
                 continue
             sig = np.concatenate(sig)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(np.concatenate(n).astype(np.int64)), signed(np.concatenate(f1)), signed(np.concatenate(f2)),
-                 binary_rows(sig.reshape(-1), np.arange(len(ids) + 1) * k)],
+                 binary_rows(sig.reshape(-1), np.arange(len(ids) + 1) * sig.shape[1])],
                 ["id", "n_shingles", "f1", "f2", "sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
@@ -146,8 +153,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _paths(reps: DataFrame, trees: int, levels: int, *columns: str) -> DataFrame:
-    """One row per tree: its minwise tokens, level by level, four bytes each."""
-    path = F.array(*[F.substring("sig", t * levels * 4 + 1, levels * 4) for t in range(trees)])
+    """One row per tree: its minwise tokens, level by level, four bytes each, then those of the next tree."""
+    own = [F.substring("sig", t * levels * 4 + 1, levels * 4) for t in range(trees)]
+    path = F.array(*[F.concat(own[t], own[(t + 1) % trees]) for t in range(trees)])
     return reps.select(*columns, F.posexplode(path).alias("tree", "path"))
 
 
@@ -156,15 +164,14 @@ def _token(depth: int):
 
 
 def _likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs that may reach the similarity: sizes allow it and the signatures agree to within 3.5 deviations.
-
-    Of 80 values a pair of the wanted similarity agrees in fewer with probability 0.0005.
-    """
-    k = a.shape[1]
+    """Pairs that may reach the similarity: sizes allow it and the signatures agree to within six deviations."""
+    whole = a.shape[1] - EXTRA // 4
+    k = whole + EXTRA
     p = percent / 100
-    need = max(0.0, p - 3.5 * (p * (1 - p) / k) ** 0.5) * k
+    need = max(0.0, p - 6 * (p * (1 - p) / k) ** 0.5) * k
     fits = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    fits[fits] &= (a[fits] == b[fits]).sum(axis=1) >= need
+    a, b = a[fits], b[fits]
+    fits[fits] = (a[:, :whole] == b[:, :whole]).sum(axis=1) + (a[:, whole:].view(np.uint8) == b[:, whole:].view(np.uint8)).sum(axis=1) >= need
     return fits
 
 
@@ -248,7 +255,8 @@ def _branches(reps: DataFrame, trees: int, levels: int, percent: int) -> DataFra
                 F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).alias("side"), "id"))
         found = leaf if found is None else found.union(leaf)
         if depth < levels:
-            live = mixed.filter(F.col("size") > SMALL).select("id", "comp", "tree", "path", F.xxhash64("node", _token(depth)).alias("node"))
+            both = F.array(*[F.xxhash64("node", F.lit(i), _token(depth + i * levels)) for i in range(2)])
+            live = mixed.filter(F.col("size") > SMALL).select("id", "comp", "tree", "path", F.explode(both).alias("node"))
     return _node_pairs(found.join(reps.select("id", "comp", "n_shingles", "sig"), "id"), percent).distinct()
 
 

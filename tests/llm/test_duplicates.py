@@ -149,3 +149,32 @@ def test_components(spark):
     want = union(pairs, {x for p in pairs for x in p})
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {i: want[i] for i in linked}
+
+
+def test_signatures_lose_no_pair_at_the_threshold():
+    rng = np.random.default_rng(1)
+    n, whole = 20_000, 80
+    a, b = (rng.integers(0, 1 << 32, (n, whole + 64), dtype=np.uint32) for _ in range(2))
+    same = rng.random((n, whole)) < 0.75
+    b[:, :whole][same] = a[:, :whole][same]
+    x, y = a[:, whole:].copy().view(np.uint8), b[:, whole:].copy().view(np.uint8)
+    same = rng.random(x.shape) < 0.75
+    y[same] = x[same]
+    b[:, whole:] = y.view(np.uint32)
+    size = np.full(n, 100)
+    assert neardup._likely(a, b, size, size, 75).all()
+    y[:, ::2] ^= 1  # far fewer agree: such pairs need not be confirmed
+    b[:, whole:] = y.view(np.uint32)
+    assert not neardup._likely(a, b, size, size, 75).any()
+
+
+def test_branches_keep_pairs_at_depth(spark):
+    rng = np.random.default_rng(2)
+    n, trees, levels = 1500, 2, 5
+    a = rng.integers(0, 4, (n, trees * levels), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.7, a, rng.integers(0, 4, a.shape, dtype=np.uint32))
+    sig = np.hstack([np.concatenate([a, b]), np.zeros((2 * n, 64), np.uint32)])
+    rows = [(i, 100, bytearray(r.tobytes()), i) for i, r in enumerate(sig)]
+    reps = spark.createDataFrame(rows, "id long, n_shingles long, sig binary, comp long")
+    found = {tuple(r) for r in neardup._branches(reps, trees, levels, 75).collect()}
+    assert sum((i, i + n) in found for i in range(n)) >= 0.8 * n  # one hash a level: 0.7 at most
