@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import counting, decontaminate, extraction, neardup, packing, perspectives, privacy, substrings, toxicity, vectors
-from cohortspark.llm.oracles import CHAT_SQL, NEAR_SQL, SUBSTRING_SQL, VECTOR_SQL
+from cohortspark.llm import (
+    counting, decontaminate, extraction, neardup, neighbours, packing, perspectives, privacy, repair, search, substrings, toxicity, vectors,
+)
+from cohortspark.llm.oracles import CHAT_SQL, NEAR_SQL, REPAIR_SQL, SEARCH_SQL, SUBSTRING_SQL, VECTOR_SQL
 from cohortspark.llm.textops import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -85,3 +87,20 @@ def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_toxicity")
 def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rated(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query("op11_bag_search", SEARCH_SQL)
+def bag_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.ranked(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    talks = table(spark, folder, "conversations")
+    edited, summary = repair.repaired(repair.damaged(talks))
+    return repair.report(talks, summary, repair.digests(edited))
+
+
+@query("op13_nearest_vectors")
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))

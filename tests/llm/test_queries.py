@@ -16,7 +16,7 @@ def test_matches_sql(spark, folder, name):
 
 def test_registered():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline(spark, folder):
