@@ -10,6 +10,7 @@ from cohortspark.catalog.scores import DISEASE, DISEASES, LONGEVITY
 from cohortspark.functions.nulls import rounded
 from cohortspark.operators.sampling import row_numbers
 from cohortspark.plans import association, scores
+from cohortspark.sources.stored import settle
 
 
 def _scan_sql(people: str, xs: list[str]) -> str:
@@ -83,6 +84,22 @@ def gwas_disease(fx):
     return _tidy(association.linear(fx("dosage"), phenotype, covar, ["pc1", "pc2", "age", "sex"], cohort=cohort))
 
 
+_TRAITS = " UNION ALL ".join(f"""SELECT '{d}' AS trait, * FROM (WITH {_scan_sql(f"ppl AS (SELECT dp.id, dp.score_norm AS y, dp.age, dp.sex, c.pc1, c.pc2 FROM dp JOIN fx_covar c ON c.id = dp.id WHERE dp.disease = '{d}')", ['pc1', 'pc2', 'age', 'sex'])} {_OUT}) t_{d}""" for d in DISEASES)
+
+
+@query("gwas_diseases", f"WITH {DISEASE} {_TRAITS}")
+def gwas_diseases(fx):
+    """All disease scores in one pass over the stored tiles."""
+    rows = settle(scores.disease_phenotype(fx("pop")), "phenotypes")
+    phenotypes = rows.select("id", F.col("disease").alias("trait"), F.col("score_norm").alias("score"))
+    covar = rows.select("id", F.col("disease").alias("trait"), "age", "sex").join(fx("covar").select("id", "pc1", "pc2"), "id")
+    samples = row_numbers(fx("patient").select("id"), F.col("id").cast("double"), ["id"], name="i").select("id", "i")
+    tiles = association.pack_dosages(fx("dosage"), samples)
+    found = association.linear_traits(tiles, samples, phenotypes, covar, ["pc1", "pc2", "age", "sex"], DISEASES)
+    cols = {c: rounded(F.col(c)) for c in ("freq", "estim", "std_err", "score")}
+    return found.withColumns(cols).select("trait", "marker_id", "n", *cols)
+
+
 @query("gwas_linear_pvalue")
 def gwas_linear_pvalue(fx):
     _, phenotype, pcs = _base(fx)
@@ -106,7 +123,7 @@ def cox_null(fx):
 
 
 def _cox_out(rows):
-    cols = {c: rounded(F.col(c)) for c in rows.columns if c not in ("marker_id", "n")}
+    cols = {c: rounded(F.col(c)) for c in rows.columns if c not in ("marker_id", "n", "method")}
     return rows.withColumns(cols)
 
 

@@ -1,31 +1,37 @@
-"""Linear and Cox association scans over long genotype dosages.
+"""Linear and Cox association scans over genotype dosages, long or in tiles.
 
 People are few next to dosages. Everything that depends on people alone (orthonormal
 covariates, residual phenotype) is a column of the people table; a scan is one join of the
 dosages with it and one sum per variant, with partial sums before the shuffle. A variant
 needs no row for a person whose dosage is unknown: the missing ones take the variant's mean,
 added in closed form afterwards.
+
+A matrix that is scanned more than once is stored in tiles: some variants by a block of
+samples a row. The people become one row a block, with the columns of every phenotype side by
+side; tiles meet them on the block and a task multiplies the two, so one pass over the dosages
+serves all phenotypes, and neither side is gathered anywhere.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import warnings
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.linear import combine, gram
 from cohortspark.functions.numeric import log10_normal_two_sided, t_log10_pvalue
 from cohortspark.operators.ordered import BOUNDED, quantile_slices, running
+from cohortspark.session import arrow_bytes
 from cohortspark.sources.stored import settle
 
-BROADCAST_BYTES = 256 << 20  # people tables up to this size are sent to every executor
-
-
-BLOCK = 4096  # samples per packed row
+BLOCK = 4096  # samples of a tile
+MARKERS = 128  # variants of a tile, about: they are dealt by hash
 
 
 class People:
@@ -34,11 +40,15 @@ class People:
     def __init__(self, table: DataFrame, keys: Sequence[str], target: str, covariates: Sequence[str]):
         rows = table.select(*keys, target, *covariates).dropna("any", subset=[target, *covariates])
         rows = settle(rows, "people")  # read for the sums below and by each scan
-        design = [F.lit(1.0), *[F.col(c).cast("double") for c in covariates]]
+        means = rows.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(covariates)], F.count(F.lit(1))).first()
+        # centred, so that covariates far from zero do not look like the intercept
+        design = [F.lit(1.0), *[F.col(c).cast("double") - F.lit(float(u or 0.0)) for c, u in zip(covariates, means)]]
         y = F.col(target).cast("double")
         m = gram(rows, [*design, y])
         k = len(design)
         basis = _basis(m[:k, :k])  # columns of weights on the design
+        if basis.shape[1] < k and m[0, 0]:
+            warnings.warn(f"{k - basis.shape[1]} of {len(covariates)} covariates of {target} depend on the others", stacklevel=3)
         self.n = int(round(m[0, 0]))
         self.rank = basis.shape[1]
         self.q_total = basis.T @ m[:k, 0]  # sums of each basis column
@@ -57,10 +67,6 @@ class People:
         self.q_target = np.zeros(self.rank)
         return self
 
-    def for_join(self) -> DataFrame:
-        """Broadcast only when the exact row count bounds the size; otherwise joined by shuffle."""
-        return F.broadcast(self.rows) if self.n * (self.rank + 3) * 16 <= BROADCAST_BYTES else self.rows
-
 
 def _basis(m: np.ndarray) -> np.ndarray:
     scale = 1.0 / np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1.0))
@@ -69,58 +75,70 @@ def _basis(m: np.ndarray) -> np.ndarray:
     return (vectors[:, keep] * scale[:, None]) / np.sqrt(values[keep])
 
 
-def _sum_names(people: People) -> list[str]:
-    return ["n", "sg", "sgg", "sgy", "sy", *[f"{p}_{c}" for c in people.columns for p in ("sg", "s")]]
-
-
 def _long_sums(dosages: DataFrame, people: People) -> DataFrame:
     """Sums over the known dosages of each marker, from (marker_id, id, dosage) rows."""
     g, y = F.col("dosage"), F.col("y")
-    joined = dosages.filter(g.isNotNull()).select("marker_id", "id", "dosage").join(people.for_join(), "id")
+    joined = dosages.filter(g.isNotNull()).select("marker_id", "id", "dosage").join(people.rows, "id")
     sums = [F.count(F.lit(1)).alias("n"), F.sum(g).alias("sg"), F.sum(g * g).alias("sgg"), F.sum(g * y).alias("sgy"), F.sum(y).alias("sy")]
     for c in people.columns:
         sums += [F.sum(g * F.col(c)).alias(f"sg_{c}"), F.sum(c).alias(f"s_{c}")]
     return joined.groupBy("marker_id").agg(*sums)
 
 
-def _packed_sums(packed: DataFrame, samples: DataFrame, people: People) -> DataFrame:
-    """The same sums from packed rows, as matrix products.
-
-    The people matrix goes to every executor while its size, known exactly, is under the
-    bound; beyond that the blocks are unpacked and joined like any other dosages.
-    """
-    if people.n * (people.rank + 3) * 16 > BROADCAST_BYTES:
-        rows = packed.select("marker_id", "block", F.inline(F.arrays_zip("positions", "dosages")).alias("at", "dosage"))
-        rows = rows.withColumn("i", F.col("block") * BLOCK + F.col("at") + 1)
-        return _long_sums(rows.join(samples, "i").select("marker_id", "id", "dosage"), people)
-    table = people.rows.join(samples, "id").select("i", "y", *people.columns).toPandas().sort_values("i")
-    place = table["i"].to_numpy() - 1
-    matrix = table[["y", *people.columns]].to_numpy(float)
-    sent = packed.sparkSession.sparkContext.broadcast((place, matrix))
-    names, kind = _sum_names(people), packed.schema["marker_id"].dataType.simpleString()
-
-    def products(batches):
-        place, matrix = sent.value
-        for pdf in batches:
-            for block, part in pdf.groupby("block"):
-                g = np.full((len(part), BLOCK), np.nan)
-                for row, (at, dosage) in enumerate(zip(part["positions"], part["dosages"])):
-                    g[row, at] = dosage
-                lo, hi = np.searchsorted(place, [block * BLOCK, (block + 1) * BLOCK])
-                g, x = g[:, place[lo:hi] - block * BLOCK], matrix[lo:hi]
+def _people_blocks(people: Sequence[People], samples: DataFrame) -> DataFrame:
+    """(block, people): per block of samples the columns 1, y and basis of each phenotype, side by side."""
+    width, parts, lo = sum(p.rank + 2 for p in people), None, 0
+    for p in people:
+        values = F.array(F.lit(1.0), "y", *p.columns)
+        rows = p.rows.join(samples.select("id", (F.col("i") - 1).alias("_at")), "id").select(
+            F.floor(F.col("_at") / BLOCK).cast("int").alias("block"), (F.col("_at") % BLOCK).cast("int").alias("at"), F.lit(lo).alias("lo"), values.alias("x"))
+        parts = rows if parts is None else parts.unionByName(rows)
+        lo += p.rank + 2
+    size = BLOCK
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((size, width))
+        for lo, part in pdf.groupby("lo"):
+            x = np.stack(part["x"].to_numpy())
+            m[part["at"].to_numpy(), lo : lo + x.shape[1]] = x
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "people": [m.tobytes()]})
+
+    return parts.groupBy("block").applyInPandas(build, "block int, people binary")
+
+
+def _tile_sums(tiles: DataFrame, samples: DataFrame, people: Sequence[People]) -> DataFrame:
+    """(marker_id, trait number, sums as in ``_long_sums``) of every phenotype, from one pass over the tiles."""
+    spark = tiles.sparkSession
+    arrow_bytes(spark)
+    blocks = settle(_people_blocks(people, samples), "people-blocks")
+    # a block meets many tiles: its copies are spread over as many keys as there are partitions
+    copies = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // max(blocks.count(), 1))
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    joined = tiles.withColumn("part", (F.col("chunk") % copies).cast("int")).join(blocks, ["block", "part"]).select("markers", "dosages", "people")
+    ranks, size = [p.rank for p in people], BLOCK
+    names = ["n", "sg", "sgg", "sgy", "sy", *[f"{p}_q{j}" for j in range(max(ranks)) for p in ("sg", "s")]]
+    inner = tiles.schema["markers"].dataType.elementType.simpleString()
+
+    def products(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for markers, dosages, matrix in zip(batch.column(0), batch.column(1), batch.column(2)):
+                x = np.frombuffer(matrix.as_py(), float).reshape(size, -1)
+                g = np.frombuffer(dosages.as_py(), np.float32).reshape(-1, size).astype(float)
                 known = ~np.isnan(g)
-                g = np.where(known, g, 0.0)
-                gx, sx = g @ x, known @ x
-                cols = [known.sum(axis=1), g.sum(axis=1), (g * g).sum(axis=1), gx[:, 0], sx[:, 0]]
-                for j in range(1, x.shape[1]):
-                    cols += [gx[:, j], sx[:, j]]
-                out = pd.DataFrame(dict(zip(names, [np.asarray(c, float) for c in cols])))
-                out.insert(0, "marker_id", part["marker_id"].to_numpy())
-                yield out
-
-    schema = f"marker_id {kind}, " + ", ".join(f"{c} double" for c in names)
-    parts = packed.select("marker_id", "block", "positions", "dosages").mapInPandas(products, schema)
-    sums = parts.groupBy("marker_id").agg(*[F.sum(c).alias(c) for c in names])
+                g[~known] = 0.0
+                gx, kx, lo = g @ x, known.astype(float) @ x, 0
+                one = [0]
+                for rank in ranks[:-1]:
+                    one.append(one[-1] + rank + 2)
+                ggx = (g * g) @ x[:, one]
+                for t, (lo, rank) in enumerate(zip(one, ranks)):
+                    cols = [kx[:, lo], gx[:, lo], ggx[:, t], gx[:, lo + 1], kx[:, lo + 1]]
+                    for j in range(max(ranks)):
+                        cols += [gx[:, lo + 2 + j], kx[:, lo + 2 + j]] if j < rank else [np.zeros(len(g))] * 2
+                    yield pa.RecordBatch.from_arrays([markers.values, pa.array(np.full(len(g), t, np.int32)), *map(pa.array, cols)], ["marker_id", "t", *names])
+
+    parts = joined.mapInArrow(products, f"marker_id {inner}, t int, " + ", ".join(f"{c} double" for c in names))
+    sums = parts.groupBy("marker_id", "t").agg(*[F.sum(c).alias(c) for c in names])
     return sums.withColumn("n", F.col("n").cast("long")).filter("n > 0")
 
 
@@ -149,25 +167,73 @@ def linear(dosages: DataFrame, phenotype: DataFrame, covariates: DataFrame, name
     return _estimates(_complete(_long_sums(dosages, people), people), people)
 
 
-def linear_packed(packed: DataFrame, samples: DataFrame, phenotype: DataFrame, covariates: DataFrame, names: Sequence[str],
+def linear_packed(tiles: DataFrame, samples: DataFrame, phenotype: DataFrame, covariates: DataFrame, names: Sequence[str],
                   cohort: DataFrame | None = None, target: str = "score") -> DataFrame:
-    """The same scan over packed dosages; samples: id, i (position from 1)."""
+    """The same scan over tiles; samples: id, i (position from 1)."""
     people = _scan_people(phenotype, covariates, names, cohort, target)
-    return _estimates(_complete(_packed_sums(packed, samples, people), people), people)
+    return _estimates(_complete(_tile_sums(tiles, samples, [people]), people), people)
+
+
+def linear_traits(tiles: DataFrame, samples: DataFrame, phenotypes: DataFrame, covariates: DataFrame, names: Sequence[str],
+                  traits: Sequence[str], cohort: DataFrame | None = None, trait_col: str = "trait", target: str = "score") -> DataFrame:
+    """One pass over the tiles for several phenotypes, each with its own people.
+
+    phenotypes: id, trait, target; covariates: id, names and, where they differ by trait, the
+    trait. Output as of ``linear`` with the trait in front.
+    """
+    own = trait_col in covariates.columns
+    people = []
+    for t in traits:
+        mine = covariates.filter(F.col(trait_col) == t) if own else covariates
+        people.append(_scan_people(phenotypes.filter(F.col(trait_col) == t), mine, names, cohort, target))
+    sums = settle(_tile_sums(tiles, samples, people), "sums")  # a row a variant and trait, read once for each trait
+    out = None
+    for i, (t, p) in enumerate(zip(traits, people)):
+        part = _estimates(_complete(sums.filter(F.col("t") == i), p), p).withColumn(trait_col, F.lit(t))
+        out = part if out is None else out.unionByName(part)
+    return out.select(trait_col, *[c for c in out.columns if c != trait_col])
 
 
 def pack_dosages(dosages: DataFrame, samples: DataFrame) -> DataFrame:
-    """Rows (marker_id, block, positions ARRAY<INT>, dosages ARRAY<FLOAT>) of known dosages.
+    """Tiles (block, chunk, markers ARRAY, dosages BINARY) of known dosages.
 
-    The layout to store a large matrix in: a few bytes per dosage and no join in a scan. A
-    group is one block of one variant, so it never holds more than BLOCK values. samples:
-    id, i (position from 1).
+    The layout to store a large matrix in: four bytes a dosage, a row for about MARKERS
+    variants by BLOCK samples, unknown ones as NaN. Variants are dealt to chunks by hash, and
+    a task builds one tile after another from its sorted rows. samples: id, i (from 1).
     """
+    arrow_bytes(dosages.sparkSession)
+    known = dosages.filter(F.col("dosage").isNotNull()).select("marker_id", "id", F.col("dosage").cast("float").alias("dosage"))
+    n = known.agg(F.approx_count_distinct("marker_id")).first()[0]
+    chunk = F.pmod(F.xxhash64("marker_id"), F.lit(max(1, -(-n // MARKERS)))).cast("int")
     at = F.col("i") - 1
-    cell = F.struct((at % BLOCK).cast("int").alias("at"), F.col("dosage").cast("float").alias("d"))
-    cells = dosages.filter(F.col("dosage").isNotNull()).join(samples.select("id", "i"), "id").groupBy(
-        "marker_id", F.floor(at / BLOCK).cast("int").alias("block")).agg(F.array_sort(F.collect_list(cell)).alias("c"))
-    return cells.select("marker_id", "block", F.col("c.at").alias("positions"), F.col("c.d").alias("dosages"))
+    cells = known.join(samples.select("id", "i"), "id").select(
+        F.floor(at / BLOCK).cast("int").alias("block"), chunk.alias("chunk"), "marker_id", (at % BLOCK).cast("int").alias("at"), "dosage")
+    cells = cells.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "marker_id")
+    kind, size = dosages.schema["marker_id"].dataType.simpleString(), BLOCK
+
+    def tile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        coded = rows["marker_id"].combine_chunks().dictionary_encode()
+        g = np.full((len(coded.dictionary), size), np.nan, np.float32)
+        g[coded.indices.to_numpy(), rows["at"].to_numpy()] = rows["dosage"].to_numpy()
+        markers = pa.ListArray.from_arrays(pa.array([0, len(g)], pa.int32()), coded.dictionary)
+        return pa.RecordBatch.from_arrays([rows["block"].combine_chunks()[:1], rows["chunk"].combine_chunks()[:1], markers, pa.array([g.tobytes()], pa.binary())],
+                                          ["block", "chunk", "markers", "dosages"])
+
+    def build(batches: Iterator[pa.RecordBatch]):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            block, chunk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(block) | np.diff(chunk)) + 1), len(block)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (block[a], chunk[a]):
+                    yield tile(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield tile(held)
+
+    return cells.mapInArrow(build, f"block int, chunk int, markers array<{kind}>, dosages binary")
 
 
 def _scan_people(phenotype, covariates, names, cohort, target) -> People:
@@ -328,8 +394,10 @@ def cox(dosages: DataFrame, null: CoxNull, keys: Sequence[str] = ("id",), saddle
         cutoff: float = 2.0) -> DataFrame:
     """Score test of each variant against a Cox null model.
 
-    Output: marker_id, n, maf, stat, z, pval_norm and pval (log10). For |z| above the cutoff
-    the p-value comes from a saddlepoint approximation on the residuals (Bi et al. 2020).
+    Output: marker_id, n, maf, stat, z, pval_norm, pval (log10) and method. For |z| above the
+    cutoff the p-value comes from a saddlepoint approximation on the residuals (Bi et al.
+    2020), over everyone whose dosage is above zero; ``method`` says "saddlepoint", or "normal"
+    up to the cutoff and where the statistic is beyond what the residuals can reach.
     ``null`` may hold several rows per id (two parents of one genotype).
     """
     people = People(null.residuals, list(keys), "resid", null.names)
@@ -344,39 +412,52 @@ def cox(dosages: DataFrame, null: CoxNull, keys: Sequence[str] = ("id",), saddle
         return rows.select("marker_id", "n", "maf", "stat", "z", "pval_norm")
     tail = _saddlepoint(dosages, people, rows.filter(F.abs("z") > cutoff), float(variance))
     out = rows.join(tail, "marker_id", "left")
-    return out.select("marker_id", "n", "maf", "stat", "z", "pval_norm", F.coalesce("spa", "pval_norm").alias("pval"))
+    return out.select("marker_id", "n", "maf", "stat", "z", "pval_norm", F.coalesce("spa", "pval_norm").alias("pval"),
+                      F.when(F.col("spa").isNotNull(), "saddlepoint").otherwise("normal").alias("method"))
 
 
 RESIDUAL_STEP = 1 / 512  # residuals and adjusted dosages are counted in bins of these widths;
 DOSAGE_STEP = 1 / 1024  # the spread inside a bin enters to second order
 
 
-def residual_cgf(people: DataFrame, reach: float = 60.0, points: int = 4001):
-    """Log moment generating function of the residuals and two derivatives on a grid.
+class ResidualCgf:
+    """Log moment generating function of the centred residuals and two derivatives.
+
+    Tabulated from bins of residuals at their means. The grid reaches so far that only the
+    outermost bin counts; beyond it the function is the straight line of that bin.
+    """
 
-    The residuals come to the driver as binned counts: their range is bounded by the
-    cumulative hazard, so there are a few thousand bins however many people there are.
+    def __init__(self, n: np.ndarray, mean: np.ndarray, points: int = 8001):
+        weight, order = n / n.sum(), np.argsort(mean)
+        mean = mean - float(weight @ mean)
+        ends = np.diff(mean[order])[[0, -1]] if len(mean) > 1 else np.ones(1)
+        reach = max(60.0, 40.0 / max(ends.min(), RESIDUAL_STEP / 64))
+        self.grid = reach * np.sinh(np.linspace(-12, 12, points)) / math.sinh(12)
+        parts = []
+        for lo in range(0, points, 256):
+            power = self.grid[lo : lo + 256, None] * mean
+            top = power.max(axis=1, keepdims=True)
+            e = weight * np.exp(power - top)
+            total = e.sum(axis=1)
+            m1 = e @ mean / total
+            parts.append((top[:, 0] + np.log(total), m1, np.maximum(e @ mean ** 2 / total - m1 ** 2, 0.0)))
+        self.k0, self.k1, self.k2 = (np.concatenate(x) for x in zip(*parts))
+
+    def __call__(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        inside = np.clip(u, self.grid[0], self.grid[-1])
+        k1 = np.interp(inside, self.grid, self.k1)
+        return np.interp(inside, self.grid, self.k0) + (u - inside) * k1, k1, np.where(u == inside, np.interp(inside, self.grid, self.k2), 0.0)
+
+
+def residual_cgf(people: DataFrame) -> ResidualCgf:
+    """The function of the column y; it comes to the driver as binned counts.
+
+    Residuals are bounded by the cumulative hazard, so there are a few thousand bins however
+    many people there are.
     """
     bins = people.groupBy(F.floor(F.col("y") / RESIDUAL_STEP).alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss")).toPandas()
-    n = bins["n"].to_numpy(float)
-    mean = bins["s"].to_numpy(float) / n
-    var = np.maximum(bins["ss"].to_numpy(float) / n - mean ** 2, 0.0)
-    weight = n / n.sum()
-    centre = float(weight @ mean)
-    mean = mean - centre
-    grid = reach * np.sinh(np.linspace(-6, 6, points)) / math.sinh(6)
-    k0, k1, k2 = np.zeros(points), np.zeros(points), np.zeros(points)
-    for i, t in enumerate(grid):
-        power = t * mean + 0.5 * t * t * var
-        top = power.max()
-        e = weight * np.exp(power - top)
-        total = e.sum()
-        slope = mean + t * var
-        m1 = (e @ slope) / total
-        k0[i], k1[i] = top + math.log(total), m1
-        k2[i] = (e @ (slope ** 2 + var)) / total - m1 ** 2
-    return grid, k0, k1, k2
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean")).toPandas()
+    return ResidualCgf(bins["n"].to_numpy(float), bins["mean"].to_numpy(float))
 
 
 def log10_upper_normal(x: float) -> float:
@@ -387,29 +468,29 @@ def log10_upper_normal(x: float) -> float:
     return (-0.5 * x * x - math.log(x * math.sqrt(2 * math.pi)) + math.log(series)) / math.log(10)
 
 
-def saddlepoint_tail(s: float, g: np.ndarray, spread: np.ndarray, count: np.ndarray, normal: float, table, variance: float) -> float:
+def saddlepoint_tail(s: float, g: np.ndarray, spread: np.ndarray, count: np.ndarray, normal: float, table: ResidualCgf) -> float:
     """log10 P(sum > |s|) + P(sum < -|s|) for carriers binned by adjusted dosage.
 
-    ``normal`` is the variance the non-carriers add. NaN when the equation has no root in
-    the tabulated range.
+    ``normal`` is the variance the non-carriers add. NaN when |s| lies outside what the sum
+    can reach (only where non-carriers add nothing), or at its very centre.
     """
-    grid, k0, k1, k2 = table
 
     def cgf(t: float):
-        u = t * g
-        a, b, c = np.interp(u, grid, k0), np.interp(u, grid, k1), np.interp(u, grid, k2)
+        a, b, c = table(t * g)
         # spread within a bin: second-order terms of count * K(t * g)
         value = count @ a + 0.5 * t * t * (count * spread) @ c + 0.5 * t * t * normal
         first = count @ (g * b) + t * (count * spread) @ c + t * normal
         second = count @ (g * g * c) + (count * spread) @ c + normal
         return value, first, second
 
-    limit = grid[-1] / max(np.abs(g).max(), 1e-12) if len(g) else 1e6
     total = []
     for q in (abs(s), -abs(s)):
-        lo, hi = (0.0, limit) if q > 0 else (-limit, 0.0)
-        if not (cgf(lo)[1] - q <= 0 <= cgf(hi)[1] - q):
+        side, far = math.copysign(1.0, q), 1.0
+        while far < 1e12 and side * (cgf(side * far)[1] - q) < 0:
+            far *= 2
+        if far >= 1e12:
             return float("nan")
+        lo, hi = sorted((0.0, side * far))
         t = 0.5 * (lo + hi)
         for _ in range(200):
             value, first, second = cgf(t)
@@ -442,9 +523,9 @@ def _saddlepoint(dosages: DataFrame, people: People, candidates: DataFrame, vari
     table = residual_cgf(people.rows)
     weights = [F.col(f"g{i}") for i in range(people.rank)]
     keep = candidates.select("marker_id", "stat", "rest", *weights)
-    carriers = dosages.filter(F.col("dosage") >= 0.5).select("marker_id", "id", "dosage")
+    carriers = dosages.filter(F.col("dosage") > 0).select("marker_id", "id", "dosage")
     # candidates are a small share of the variants: they thin the dosages before the people join
-    rows = carriers.join(keep, "marker_id").join(people.for_join(), "id")
+    rows = carriers.join(keep, "marker_id").join(people.rows, "id")
     adjusted = F.col("dosage") - sum((F.col(f"g{i}") * F.col(c) for i, c in enumerate(people.columns)), F.lit(0.0))
     binned = rows.withColumn("_a", adjusted).groupBy("marker_id", F.floor(F.col("_a") / DOSAGE_STEP).alias("_bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("_a").alias("s"), F.sum(F.col("_a") * F.col("_a")).alias("ss"),
@@ -455,7 +536,7 @@ def _saddlepoint(dosages: DataFrame, people: People, candidates: DataFrame, vari
         g = pdf["s"].to_numpy(float) / n
         spread = np.maximum(pdf["ss"].to_numpy(float) / n - g ** 2, 0.0)
         others = max(float(pdf["rest"].iloc[0]) - float(pdf["ss"].sum()), 0.0) * variance
-        p = saddlepoint_tail(float(pdf["stat"].iloc[0]), g, spread, n, others, table, variance)
+        p = saddlepoint_tail(float(pdf["stat"].iloc[0]), g, spread, n, others, table)
         return pd.DataFrame({"marker_id": [pdf["marker_id"].iloc[0]], "spa": [p]})
 
     kind = dosages.schema["marker_id"].dataType.simpleString()

@@ -27,6 +27,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def arrow_bytes(spark: SparkSession, limit: int = 64 << 20) -> None:
+    """Bound Arrow batches by bytes: rows that hold matrices are few and large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate, below the folder the cluster shares.
 

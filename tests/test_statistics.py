@@ -247,7 +247,7 @@ def test_saddlepoint_against_simulation(spark):
     draws = rng.choice(y, size=(400_000, carriers)).sum(axis=1)
     s = 11.0
     empirical = (np.abs(draws) >= s).mean()
-    p = association.saddlepoint_tail(s, np.array([1.0]), np.array([0.0]), np.array([float(carriers)]), 0.0, cgf, y.var())
+    p = association.saddlepoint_tail(s, np.array([1.0]), np.array([0.0]), np.array([float(carriers)]), 0.0, cgf)
     normal = math.erfc(s / math.sqrt(2 * carriers * y.var()))
     assert 10**p == pytest.approx(empirical, rel=0.15)
     assert abs(10**p - empirical) < abs(normal - empirical)
@@ -256,7 +256,7 @@ def test_saddlepoint_against_simulation(spark):
 def test_normal_residuals_give_the_normal_tail(spark):
     y = np.array([NormalDist().inv_cdf((i + 0.5) / 20001) for i in range(20001)])
     cgf = association.residual_cgf(spark.createDataFrame([(float(v),) for v in y], "y double"))
-    p = association.saddlepoint_tail(30.0, np.array([1.0]), np.array([0.0]), np.array([50.0]), 50.0, cgf, 1.0)
+    p = association.saddlepoint_tail(30.0, np.array([1.0]), np.array([0.0]), np.array([50.0]), 50.0, cgf)
     assert p == pytest.approx(math.log10(math.erfc(3.0 / math.sqrt(2))), abs=0.01)
 
 
@@ -310,15 +310,58 @@ def test_stitched_training(spark):
     assert size["a"] > 10 * size["b"]
 
 
-@pytest.mark.parametrize("limit", [1 << 28, 0])
-def test_packed_scan_is_the_same(people, dosages, limit, monkeypatch):
+@pytest.mark.parametrize("markers", [2, 128])
+def test_tiled_scan_is_the_same(people, dosages, markers, monkeypatch):
+    """Several blocks of samples and chunks of variants, one or more phenotypes with people of their own."""
     monkeypatch.setattr(association, "BLOCK", 128)
+    monkeypatch.setattr(association, "MARKERS", markers)
     pheno, covar = people.select("id", F.col("time").alias("score")), people.select("id", "x1", "x2")
     samples = people.select("id", (F.col("id") + 1).alias("i"))
-    packed = association.pack_dosages(dosages, samples).cache()
-    assert packed.selectExpr("max(size(dosages))").first()[0] <= 128
-    want = association.linear(dosages, pheno, covar, ["x1", "x2"]).toPandas().sort_values("marker_id")
-    monkeypatch.setattr(association, "BROADCAST_BYTES", limit)
-    got = association.linear_packed(packed, samples, pheno, covar, ["x1", "x2"]).toPandas().sort_values("marker_id")
-    for c in ("n", "freq", "estim", "std_err", "score"):
-        assert got[c].to_numpy() == pytest.approx(want[c].to_numpy(), rel=1e-9)
+    tiles = association.pack_dosages(dosages, samples).cache()
+    assert {r[0] for r in tiles.selectExpr("length(dosages) / size(markers)").collect()} == {4 * 128}
+    other = people.filter("id % 7 <> 0").select("id", (F.col("x1") + F.col("time") / 50).alias("score"))
+    traits = pheno.withColumn("trait", F.lit("a")).union(other.withColumn("trait", F.lit("b")))
+    both = association.linear_traits(tiles, samples, traits, covar, ["x1", "x2"], ["a", "b"]).toPandas()
+    for trait, own in (("a", pheno), ("b", other)):
+        want = association.linear(dosages, own, covar, ["x1", "x2"]).toPandas().sort_values("marker_id")
+        one = association.linear_packed(tiles, samples, own, covar, ["x1", "x2"]).toPandas().sort_values("marker_id")
+        for got in (one, both[both.trait == trait].sort_values("marker_id")):
+            assert got["marker_id"].tolist() == want["marker_id"].tolist()
+            for c in ("n", "freq", "estim", "std_err", "score"):
+                assert got[c].to_numpy() == pytest.approx(want[c].to_numpy(), rel=1e-9, abs=1e-12)
+
+
+def test_tiles_are_read_once(people, dosages):
+    """One scan of the dosages, however many phenotypes."""
+    samples = people.select("id", (F.col("id") + 1).alias("i"))
+    scans = people.select("id", "x1", F.col("time").alias("y"))
+    parts = [association.People(scans, ["id"], "y", ["x1"]).residual() for _ in range(3)]
+    tiles = association.pack_dosages(dosages, samples)
+    plan = association._tile_sums(tiles, samples, parts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # one builds the tiles, one multiplies them
+
+
+def test_dependent_covariates_are_reported(people):
+    table = people.select("id", F.col("time").alias("y"), (F.col("x1") + 1e7).alias("far"), F.col("x2"), (2 * F.col("x2") + 3).alias("twice"))
+    with pytest.warns(UserWarning, match="1 of 3"):
+        assert association.People(table, ["id"], "y", ["far", "x2", "twice"]).rank == 3
+    assert association.People(table, ["id"], "y", ["far", "x2"]).rank == 3
+
+
+def test_rare_variant_tail_against_simulation():
+    """Few carriers and skewed residuals: the saddlepoint p-value is that of the permuted statistic."""
+    rng = np.random.default_rng(11)
+    y = 1 - rng.exponential(size=20_000)
+    y -= y.mean()
+    table = association.ResidualCgf(np.ones(len(y)), y)
+    g = np.concatenate([np.full(30, 1.0), np.full(4, 2.0), np.full(25, 0.25)])  # also weak carriers
+    sums = np.zeros(400_000)
+    for lo in range(0, len(sums), 20_000):
+        sums[lo : lo + 20_000] = rng.choice(y, (20_000, len(g))) @ g
+    for s in (10.0, 15.0, 20.0):
+        want = np.mean(np.abs(sums) >= s)
+        got = 10 ** association.saddlepoint_tail(s, np.array([1.0, 2.0, 0.25]), np.zeros(3), np.array([30.0, 4.0, 25.0]), 0.0, table)
+        assert got == pytest.approx(want, rel=0.15), s
+    far = association.saddlepoint_tail(400.0, np.array([1.0]), np.zeros(1), np.array([3.0]), 5.0, table)
+    assert math.isfinite(far) and far < -10  # beyond every grid: the straight ends
+    assert math.isnan(association.saddlepoint_tail(400.0, np.array([1.0]), np.zeros(1), np.array([3.0]), 0.0, table))
