@@ -99,3 +99,47 @@ def cif(source: str, groups: Sequence[str]) -> list[str]:
         f"""ci AS (SELECT {g}, time, r AS at_risk, CAST(d1 AS BIGINT) AS d1, CAST(d2 AS BIGINT) AS d2, est, GREATEST(SUM((1 + iv * est) ^ 2 * w1 + (iv * est) ^ 2 * w2) OVER {w}
   + est * est * SUM(iv * iv * (w1 + w2)) OVER {w} - 2 * est * SUM(iv * (1 + iv * est) * w1 + iv * iv * est * w2) OVER {w}, 0) AS var FROM ci_t)""",
     ]
+
+
+def fold(key: str, nfolds: int) -> str:
+    return f"CAST(CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 6) AS BIGINT) % {nfolds} AS INTEGER)"
+
+
+def stitched(base: str, names: Sequence[str], generations: Sequence[Sequence[int]], step: int, nfolds: int, prefix: str = "") -> list[str]:
+    """CTEs of ridge models (penalty 0.001) out of fold, oldest generation first.
+
+    ``base`` selects id, sex, age, known, last and the features. Ends in ``{prefix}held`` (id,
+    sex, age, fold, score) and ``{prefix}model`` (age, fold, base, m1.., w1..). The normal
+    equations of every age and fold are solved by elimination, one CTE a pivot.
+    """
+    p, t = len(names), prefix
+    cols = ", ".join(f'{n} AS x{j}' for j, n in enumerate(names, 1))
+    ages = ", ".join(str(a) for g in generations for a in g)
+    out = [f"{t}base AS MATERIALIZED (SELECT id, sex, age, {fold('id', nfolds)} AS fold, known, last, {cols} FROM ({base}) b WHERE age IN ({ages}))"]
+    z = ["1e0", *[f"COALESCE(y.x{j} - m.m{j}, 0e0)" for j in range(1, p + 1)]]
+    for g, mine in enumerate(generations):
+        here = f"age IN ({', '.join(map(str, mine))})"
+        if g == 0:
+            out.append(f"{t}y0 AS MATERIALIZED (SELECT *, CAST(last AS DOUBLE) AS y FROM {t}base WHERE {here})")
+        else:
+            out.append(f"""{t}y{g} AS MATERIALIZED (SELECT b.*, COALESCE(CAST(b.known AS DOUBLE), h.score) AS y FROM {t}base b
+  LEFT JOIN {t}h{g - 1} h ON h.id = b.id AND h.age = b.age + {step} WHERE b.{here})""")
+        out.append(f"""{t}m{g} AS MATERIALIZED (SELECT y.age, f.f, {', '.join(f'AVG(y.x{j}) AS m{j}' for j in range(1, p + 1))}
+  FROM {t}y{g} y JOIN range({nfolds}) f(f) ON y.fold <> f.f WHERE y.y IS NOT NULL GROUP BY y.age, f.f)""")
+        ridge = lambda i, j: " * 1.001e0 + 1e-12 * COUNT(*)" if i == j > 0 else ""
+        products = [f"SUM(({z[i]}) * ({z[j]})){ridge(i, j)} AS a{i}_{j}" for i in range(p + 1) for j in range(p + 1)] + [f"SUM(({z[i]}) * y.y) AS a{i}_{p + 1}" for i in range(p + 1)]
+        out.append(f"{t}e{g}_0 AS MATERIALIZED (SELECT m.age, m.f, {', '.join(products)} FROM {t}y{g} y JOIN {t}m{g} m ON m.age = y.age AND m.f <> y.fold WHERE y.y IS NOT NULL GROUP BY m.age, m.f)")
+        for k in range(p + 1):
+            cells = [f"a{k}_{j} / a{k}_{k} AS a{k}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}"
+                     for i in range(p + 1) for j in range(k + 1, p + 2)]
+            out.append(f"{t}e{g}_{k + 1} AS MATERIALIZED (SELECT age, f, {', '.join(cells)} FROM {t}e{g}_{k})")
+        out.append(f"""{t}c{g} AS MATERIALIZED (SELECT m.age, CAST(m.f AS INTEGER) AS fold, a0_{p + 1} AS base, {', '.join(f'm{j}, a{j}_{p + 1} AS w{j}' for j in range(1, p + 1))}
+  FROM {t}m{g} m JOIN {t}e{g}_{p + 1} e ON e.age = m.age AND e.f = m.f)""")
+        out.append(f"{t}h{g} AS MATERIALIZED (SELECT y.id, y.sex, y.age, y.fold, {linear_score(p)} AS score FROM {t}y{g} y JOIN {t}c{g} m ON m.age = y.age AND m.fold = y.fold)")
+    n = range(len(generations))
+    return [*out, f"{t}held AS ({' UNION ALL '.join(f'SELECT * FROM {t}h{g}' for g in n)})", f"{t}model AS ({' UNION ALL '.join(f'SELECT * FROM {t}c{g}' for g in n)})"]
+
+
+def linear_score(p: int, x: str = "y.x{}") -> str:
+    terms = " + ".join(f"COALESCE(m.w{j} * ({x.format(j)} - m.m{j}), 0e0)" for j in range(1, p + 1))
+    return f"round(LEAST(GREATEST(m.base + {terms}, 0e0), 1e0), 9)"

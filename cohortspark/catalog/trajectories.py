@@ -6,12 +6,14 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from cohortspark.catalog import sqltext
 from cohortspark.catalog.registry import query
 from cohortspark.catalog.scores import POP, onsets, population
 from cohortspark.functions.nulls import rounded
 from cohortspark.operators.sampling import stratified_sample
 from cohortspark.plans import models, trajectories
 from cohortspark.session import scratch_dir
+from cohortspark.sources.stored import settle
 
 CENSOR = datetime.date(2006, 1, 31)
 STEP = 15
@@ -88,53 +90,90 @@ def markov_disease_lifelong(fx):
 
 # --- models ---------------------------------------------------------------------------
 
-def _train(fx):
-    features = fx("pop").select("id", "sex", "age", *DISEASES)
-    return models.train_mortality(features, _vital(fx), list(DISEASES), AGES, STEP, nfolds=2)
+NFOLDS = 5
+GENERATIONS = ((70, 75, 80), (55, 60, 65), (45, 50))  # ages whose older models are in the one before
+_ALIVE = "v.death_age IS NULL OR v.death_age > p.age"
+_DIED = f"WHEN v.death_age <= p.age + {STEP}"
+_MORTALITY = f"""SELECT p.id, p.sex, p.age, CASE {_DIED} THEN 1 END AS known, CASE {_DIED} THEN 1 WHEN v.last_age >= p.age + {STEP} THEN 0 END AS last,
+  {", ".join(f"p.{d}" for d in DISEASES)} FROM fx_pop p JOIN vital v ON v.id = p.id WHERE {_ALIVE}"""
+_MODELS = ", ".join([VITAL, *sqltext.stitched(_MORTALITY, DISEASES, GENERATIONS, STEP, NFOLDS)])
 
 
-@query("train_stitched")
+def _features(fx):
+    return fx("pop").select("id", "sex", "age", *DISEASES)
+
+
+def _trained(fx):
+    return models.train_mortality(_features(fx), _vital(fx), list(DISEASES), AGES, STEP, nfolds=NFOLDS, fit=models.linear)
+
+
+def _stored(fx):
+    """The models of all ages and folds, written and read back by their own list."""
+    path = models.save_bundle(fx.spark, _trained(fx)[0], scratch_dir(fx.spark, "models"))
+    return models.load_bundle(fx.spark, path)
+
+
+_QUANTILE = "round(cume_dist() OVER (PARTITION BY age, sex ORDER BY score), 6) AS quantile"
+
+
+@query("train_stitched", f"WITH {_MODELS} SELECT id, sex, age, fold, score, {_QUANTILE} FROM held")
 def train_stitched(fx):
-    return _train(fx)[1]
+    return _trained(fx)[1].withColumn("quantile", rounded(F.col("quantile")))
+
 
+def _others(disease: str) -> list[str]:
+    return ["longevity", *[d for d in DISEASES if d != disease]]
 
-@query("train_disease")
+
+def _falling_ill(d: str) -> str:
+    sick = f"WHEN o.age <= p.age + {STEP} THEN 1 {_DIED} THEN 0"
+    base = f"""SELECT p.id, p.sex, p.age, CASE {sick} END AS known, CASE {sick} WHEN v.last_age >= p.age + {STEP} THEN 0 END AS last, {", ".join(f"p.{x}" for x in _others(d))}
+  FROM fx_pop p JOIN vital v ON v.id = p.id LEFT JOIN fx_onset o ON o.id = p.id AND o.cohort = '{d}' WHERE ({_ALIVE}) AND (o.age IS NULL OR o.age > p.age)"""
+    return f"SELECT '{d}' AS disease, * FROM (WITH {', '.join(sqltext.stitched(base, _others(d), GENERATIONS, STEP, NFOLDS, d))} SELECT id, sex, age, fold, score, {_QUANTILE} FROM {d}held) t_{d}"
+
+
+@query("train_disease", f"WITH {VITAL} {' UNION ALL '.join(_falling_ill(d) for d in DISEASES)}")
 def train_disease(fx):
-    onset = onsets(fx).filter("cohort = 'cvd'").select("id", F.col("age").alias("onset_age"))
-    features = fx("pop").select("id", "sex", "age", "longevity", "diabetes", "ckd", "liver")
-    names = ["longevity", "diabetes", "ckd", "liver"]
-    return models.train_disease(features, _vital(fx), onset, names, AGES, STEP, nfolds=2)[1]
+    found, table = settle(onsets(fx), "onsets"), None
+    for d in DISEASES:
+        onset = found.filter(F.col("cohort") == d).select("id", F.col("age").alias("onset_age"))
+        features = fx("pop").select("id", "sex", "age", *_others(d))
+        part = models.train_disease(features, _vital(fx), onset, _others(d), AGES, STEP, nfolds=NFOLDS, fit=models.linear)[1]
+        part = part.select(F.lit(d).alias("disease"), "*")
+        table = part if table is None else table.unionByName(part)
+    return table.withColumn("quantile", rounded(F.col("quantile")))
 
 
-@query("model_score")
-def model_score(fx):
-    features = fx("pop").select("id", "sex", "age", *DISEASES)
-    bundle, _ = models.train_mortality(features, _vital(fx), list(DISEASES), (60, 75), STEP, nfolds=2)
-    path = models.save_bundle(bundle, scratch_dir(fx.spark, "models"))
-    loaded = models.load_bundle(fx.spark, path, list(bundle))
-    return models.model_score(loaded, features)
+_X = [f"p.{d}" for d in DISEASES]
+_AT_AGE = "fx_pop p JOIN model m ON m.age = p.age"
 
 
-@query("feature_contributions")
-def feature_contributions(fx):
-    features = fx("pop").select("id", "sex", "age", *DISEASES)
-    bundle, _ = models.train_mortality(features, _vital(fx), list(DISEASES), (75,), STEP, nfolds=2)
-    table = models.contributions(bundle[75, 0], features.filter("age = 75"), list(DISEASES))
-    return stratified_sample(table, ["feature"], ["id"], 10_000, "seed")
+@query("model_score", f"""WITH {_MODELS} SELECT p.id, p.sex, p.age, m.fold AS cv,
+  round(LEAST(GREATEST(m.base + {" + ".join(f"COALESCE(m.w{j} * ({x} - m.m{j}), 0e0)" for j, x in enumerate(_X, 1))}, 0e0), 1e0), 9) AS score FROM {_AT_AGE}""")
+def model_score(fx):
+    return models.model_score(_stored(fx), _features(fx))
 
 
-_CONTRIB = "(SELECT id % 5 AS fold, name AS feature, score - 0.5e0 AS contribution FROM fx_score) c"
+_CONTRIB = f"""WITH {_MODELS}, contrib AS ({" UNION ALL ".join(f"SELECT p.id, p.age, m.fold, '{d}' AS feature, {x} AS value, COALESCE(m.w{j} * ({x} - m.m{j}), 0e0) AS contribution FROM {_AT_AGE}" for j, (d, x) in enumerate(zip(DISEASES, _X), 1))})"""
+SAMPLE = 10_000
 
 
 def _contributions(fx):
-    return fx("score").select((F.col("id") % 5).alias("fold"), F.col("name").alias("feature"), (F.col("score") - 0.5).alias("contribution"))
+    return models.contributions(_stored(fx), _features(fx))
+
+
+@query("feature_contributions", f"""{_CONTRIB} SELECT id, age, fold, feature, round(value, 6) AS value, round(contribution, 6) AS contribution FROM contrib
+QUALIFY row_number() OVER (PARTITION BY feature ORDER BY md5(concat_ws('|', id, age, fold, 'seed')), id, age, fold) <= {SAMPLE}""")
+def feature_contributions(fx):
+    table = stratified_sample(_contributions(fx), ["feature"], ["id", "age", "fold"], SAMPLE, "seed")
+    return table.withColumns({c: rounded(F.col(c)) for c in ("value", "contribution")})
 
 
-@query("feature_importance", f"SELECT fold, feature, round(AVG(abs(contribution)), 6) AS mean_abs, CAST(COUNT(*) AS BIGINT) AS n FROM {_CONTRIB} GROUP BY fold, feature")
+@query("feature_importance", f"{_CONTRIB} SELECT fold, feature, round(AVG(abs(contribution)), 6) AS mean_abs, CAST(COUNT(*) AS BIGINT) AS n FROM contrib GROUP BY fold, feature")
 def feature_importance(fx):
     return models.importance(_contributions(fx), ["fold"]).withColumn("mean_abs", rounded(F.col("mean_abs")))
 
 
-@query("top_features", f"SELECT feature, round(AVG(abs(contribution)), 6) AS mean_abs, CAST(COUNT(*) AS BIGINT) AS n FROM {_CONTRIB} GROUP BY feature ORDER BY AVG(abs(contribution)) DESC, feature LIMIT 3")
+@query("top_features", f"{_CONTRIB} SELECT feature, round(AVG(abs(contribution)), 6) AS mean_abs, CAST(COUNT(*) AS BIGINT) AS n FROM contrib GROUP BY feature ORDER BY AVG(abs(contribution)) DESC, feature LIMIT 3")
 def top_features(fx):
     return models.top_features(models.importance(_contributions(fx)), 3).withColumn("mean_abs", rounded(F.col("mean_abs")))

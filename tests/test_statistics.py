@@ -305,11 +305,68 @@ def test_stitched_training(spark):
         part = pdf[pdf.age == age]
         assert np.corrcoef(part.score, part.a)[0, 1] > 0.8
         assert part["quantile"].max() == 1.0
-    c = models.contributions(bundle[65, 0], f.filter("age = 65"), ["a", "b"]).toPandas()
+    c = models.contributions({(65, 0): bundle[65, 0]}, f.filter("age = 65")).toPandas()
     size = c.assign(m=c.contribution.abs()).groupby("feature").m.mean()
     assert size["a"] > 10 * size["b"]
 
 
+@pytest.fixture(scope="module")
+def training(spark):
+    """Rows of two ages with missing values, unequal folds and one fold that is empty at one age."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(900):
+        age, x = 60 + 5 * (i % 2), rng.normal(size=3) * [1, 5, 0.1] + [0, 100, 3]
+        x = [None if rng.random() < 0.2 else float(v) for v in x]
+        fold = int(rng.integers(0, 3 if age == 60 else 2))
+        rows.append((age, fold, x, float(rng.random() < (0.3 if x[0] is None else 1 / (1 + math.exp(-x[0]))))))
+    return rows, spark.createDataFrame(rows, "age int, fold int, x array<double>, y double").repartition(5)
+
+
+def design(rows, age, fold, means=None):
+    part = [r for r in rows if r[0] == age and r[1] != fold]
+    x = np.array([[np.nan if v is None else v for v in r[2]] for r in part])
+    means = np.nanmean(x, axis=0)
+    return np.column_stack([np.ones(len(x)), np.nan_to_num(x - means)]), np.array([r[3] for r in part]), means
+
+
+def test_out_of_fold_least_squares(training):
+    rows, df = training
+    bundle = models.linear(df, ["a", "b", "c"], 3)
+    assert sorted(bundle) == [(a, f) for a in (60, 65) for f in range(3)]
+    for (age, fold), m in bundle.items():
+        z, y, means = design(rows, age, fold)
+        want = np.linalg.solve(z.T @ z + 1e-3 * np.diag(np.r_[0, (z[:, 1:] ** 2).sum(axis=0) + 1e-9 * len(z)]), z.T @ y)
+        assert m.means == pytest.approx(means) and [m.base, *m.weights] == pytest.approx(want, rel=1e-8)
+
+
+def test_out_of_fold_logistic(training):
+    """The penalised gradient is zero at the fitted weights."""
+    rows, df = training
+    for (age, fold), m in models.logistic(df, ["a", "b", "c"], 3).items():
+        z, y, means = design(rows, age, fold)
+        q = 1 / (1 + np.exp(-z @ np.r_[m.base, m.weights]))
+        ridge = 1e-3 * np.r_[0, (z[:, 1:] ** 2).sum(axis=0) + 1e-9 * len(z)]
+        assert np.abs(z.T @ (y - q) - ridge * np.r_[m.base, m.weights]).max() < 1e-6
+
+
+def test_stored_models(spark, training, tmp_path):
+    """A bundle read back needs no list; contributions add up to the score."""
+    _, df = training
+    bundle = models.logistic(df, ["a", "b", "c"], 3)
+    bundle[70, 0] = models.Model(70, 0, "linear", ["c", "a"], [1.0, 2.0], [0.5, -0.25], 0.4)  # other features, other kind
+    loaded = models.load_bundle(spark, models.save_bundle(spark, bundle, str(tmp_path / "m")))
+    assert loaded == bundle
+    rows = df.selectExpr("monotonically_increasing_id() id", "1 sex", "explode(array(age, 70)) age", "x[0] a", "x[1] b", "x[2] c")
+    scores = models.model_score(loaded, rows).toPandas().set_index(["id", "age", "cv"]).score
+    parts = models.contributions(loaded, rows).toPandas()
+    total = parts.groupby(["id", "age", "fold"]).contribution.sum()
+    for (i, age, fold), s in list(scores.items())[::37]:
+        v = bundle[age, fold].base + total[i, age, fold]
+        assert s == pytest.approx(1 / (1 + math.exp(-v)) if age < 70 else min(max(v, 0), 1), abs=1e-8)
+    assert len(parts) == 900 * (3 * 3 + 2)
+
+
 @pytest.mark.parametrize("markers", [2, 128])
 def test_tiled_scan_is_the_same(people, dosages, markers, monkeypatch):
     """Several blocks of samples and chunks of variants, one or more phenotypes with people of their own."""
