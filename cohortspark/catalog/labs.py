@@ -71,8 +71,9 @@ long AS (SELECT n.id, a.a, concat('lab_', CAST(n.field + 1 AS VARCHAR)) AS featu
   UNION ALL SELECT o.id, a.a, concat('dx_', o.cohort), 1.0e0 FROM fx_onset o JOIN ages a ON o.age <= a.a WHERE o.cohort IN ('diabetes', 'ckd', 'copd', 'cvd', 'liver'))"""
 
 
-def _normal(fx):
-    return labs.normalize_labs(fixed_labs(fx), chronic(fx))
+def _normal(fx, fields=tuple(TRACKS)):
+    """Quantiles of the labs that a feature table uses."""
+    return labs.normalize_labs(fixed_labs(fx).filter(F.col("field").isin(list(fields))), chronic(fx))
 
 
 @query("feature_matrix", f"""WITH {LONG} SELECT f.*, p.sex, CAST(p.sex = 1 AS INT) AS male FROM (
@@ -99,7 +100,7 @@ FROM (SELECT id, {_BCOLS} FROM lb WHERE bucket IS NOT NULL GROUP BY id) l JOIN f
 def feature_buckets(fx):
     onsets = records.disease_onset(fx("diagnosis"), fx("disease_dict"))
     windows = {"diabetes": (-43800, 0), "cvd": (-43800, 0)}
-    m = features.feature_buckets(_normal(fx), onsets, fx("patient"), 70, {100: "101", 101: "102"}, BREAKS, windows)
+    m = features.feature_buckets(_normal(fx, (100, 101)), onsets, fx("patient"), 70, {100: "101", 101: "102"}, BREAKS, windows)
     return m.withColumns({c: rounded(F.col(c), 9) for c in m.columns if c.startswith("lab_")})
 
 
@@ -142,15 +143,22 @@ def window_values(fx):
     return rows.withColumns({c: rounded(F.col(c)) for c in ("avg", "dt1", "dt2")})
 
 
-@query("window_features", """
-SELECT a.id, a.t,
+_AGE = "(a.t - date_diff('day', DATE '1970-01-01', p.dob) * 24e0) / 8760e0"
+
+
+@query("window_features", f"""
+SELECT a.id, a.t, round({_AGE}, 6) AS age, CAST(p.sex - 1 AS INTEGER) AS sex,
   round(AVG(CASE WHEN e.track = 'view' AND e.ts >= a.t - 72e0 THEN e.value END), 6) AS view, round(AVG(CASE WHEN e.track = 'click' AND e.ts >= a.t - 72e0 THEN e.value END), 6) AS click,
   MAX(CASE WHEN e.track = 'purchase' THEN 1e0 ELSE 0e0 END) AS purchase, MAX(CASE WHEN e.track = 'error' THEN 1e0 ELSE 0e0 END) AS error
-FROM fx_anchor a LEFT JOIN fx_track e ON e.id = a.id AND e.ts >= a.t - 240e0 AND e.ts <= a.t GROUP BY a.id, a.t""")
+FROM (SELECT DISTINCT id, t FROM fx_anchor) a LEFT JOIN fx_patient p ON p.id = a.id
+LEFT JOIN fx_track e ON e.id = a.id AND e.ts >= a.t - 240e0 AND e.ts <= a.t GROUP BY a.id, a.t, p.dob, p.sex""")
 def window_features(fx):
+    anchors = fx("anchor").select("id", "t").distinct()
+    born = F.datediff("dob", F.lit("1970-01-01").cast("date")) * 24.0
+    people = anchors.join(fx("patient").select("id", "dob", "sex"), "id", "left").select("id", "t", ((F.col("t") - born) / 8760.0).alias("age"), "sex")
     m = features.window_features(
-        fx("anchor"), fx("track"), ["view", "click"], (-72.0, 0.0), ["purchase", "error"], (-240.0, 0.0), 1.0)
-    return m.withColumns({c: rounded(F.col(c)) for c in ("view", "click")})
+        anchors, fx("track"), ["view", "click"], (-72.0, 0.0), ["purchase", "error"], (-240.0, 0.0), 1.0, people=people)
+    return m.withColumns({c: rounded(F.col(c)) for c in ("age", "view", "click")})
 
 
 @query("patients_at_age", """

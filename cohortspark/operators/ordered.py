@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.operators.keys import natural_join
+from cohortspark.sources.stored import settle
 
 BOUNDED = 1  # slices of a table whose groups are small whatever the size of the data
 
@@ -31,19 +31,27 @@ def quantile_slices(
     that recomputes its part assigns the same slices, and nothing is written. Equal values
     share a slice.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if slices is None else slices
+    return sliced(df, column, cut_points(df if rows is None else rows, column, slices))
+
+
+def cut_points(rows: DataFrame, column: str, slices: int | None = None) -> list[float]:
+    """Finite, distinct values that cut the column into about equal parts (one aggregate)."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if slices is None else slices
     if n <= 1:
-        return df, None
+        return []
     probs = [i / n for i in range(1, n)]
-    value = F.col(column).cast("double")
-    found = (df if rows is None else rows).select(F.percentile_approx(value, probs, max(10_000, 4 * n)).alias("q")).first()["q"]
-    cuts = sorted({c for c in found or [] if math.isfinite(c)})
+    found = rows.select(F.percentile_approx(F.col(column).cast("double"), probs, max(10_000, 4 * n)).alias("q")).first()["q"]
+    return sorted({c for c in found or [] if math.isfinite(c)})
+
+
+def sliced(df: DataFrame, column: str, cuts: Sequence[float]) -> tuple[DataFrame, str | None]:
+    """Add the slice of each row for given cut points."""
     if not cuts:
         return df, None
     cutter = Bucketizer(
         splits=[-math.inf, *cuts, math.inf], inputCol="_cut", outputCol="_slice", handleInvalid="keep"
     )
-    return cutter.transform(df.withColumn("_cut", value)).drop("_cut"), "_slice"
+    return cutter.transform(df.withColumn("_cut", F.col(column).cast("double"))).drop("_cut"), "_slice"
 
 
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
@@ -158,12 +166,11 @@ def with_ranks(
 ) -> DataFrame:
     """Attach expressions over the rank columns (n, upto, total, w, w_upto, w_total).
 
-    Rows with a null value get nulls. Equal values are counted, ranked in slices and joined
-    back; ``slices=1`` takes a single window, for groups that are known to be small.
+    Rows with a null value get nulls. The table is written once and ranked in slices;
+    ``slices=1`` takes a single window, for groups that are known to be small.
     """
     if slices != BOUNDED:
-        table = ranked(df, keys, value, weight, slices).select(*keys, value, *[e.alias(n) for n, e in outputs.items()])
-        return natural_join(df, table, "left", on=[*keys, value]).select(*df.columns, *outputs)
+        return _sliced_ranks(df, keys, value, outputs, weight, slices)
     known = F.col(value).isNotNull()
     group = Window.partitionBy(*keys, known)
     order = group.orderBy(value)
@@ -182,6 +189,52 @@ def with_ranks(
     return rows.select(*df.columns, *[F.when(known, e).alias(n) for n, e in outputs.items()])
 
 
+def _sliced_ranks(df: DataFrame, keys: Sequence[str], value: str, outputs: Mapping[str, Column], weight: str | None, slices: int | None) -> DataFrame:
+    """Ranks inside slices plus what earlier slices hold; no join on values.
+
+    A value that fills a slice by itself has one of its own: all its rows rank alike, so they
+    take the slice's totals and need not meet in a task.
+    """
+    taken = {"n", "upto", "total", "w", "w_upto", "w_total"} & set(df.columns)
+    if taken:
+        raise ValueError(f"rename columns {sorted(taken)}")
+    spark = df.sparkSession
+    rows = settle(df, "ranked")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) if slices is None else slices
+    x = F.col(value).cast("double")
+    found = rows.select(F.percentile_approx(x, [i / n for i in range(1, n)], max(10_000, 4 * n)).alias("q")).first()["q"] or []
+    found = [c for c in found if math.isfinite(c)]
+    alone = sorted({a for a, b in zip(found, found[1:]) if a == b})
+    splits = sorted({-math.inf, math.inf, *found, *[math.nextafter(a, math.inf) for a in alone]})
+    cutter = Bucketizer(splits=splits, inputCol="_x", outputCol="_slice", handleInvalid="keep")
+    sliced = cutter.transform(rows.withColumn("_x", x)).drop("_x")
+    whole = F.col(value).isNull() | F.col("_slice").isin([float(splits.index(a)) for a in alone])
+    mass = F.col(weight) if weight else F.lit(1).cast("long")
+
+    per_slice = sliced.filter(F.col(value).isNotNull()).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.sum(mass).alias("_w"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_slice.select(
+        *[F.col(k).alias(f"_c_{k}") for k in [*keys, "_slice"]], "_n", "_w",
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_w")],
+        *[F.sum(c).over(group).alias(f"{c}_total") for c in ("_n", "_w")])
+    carry = settle(carry, "slices")  # a row a group and slice: its size is known when its join is planned
+    salt = F.when(whole, F.spark_partition_id()).otherwise(-1)
+    order = Window.partitionBy(*keys, "_slice", "_salt").orderBy(value)
+    upto, peers = order.rangeBetween(Window.unboundedPreceding, Window.currentRow), order.rangeBetween(Window.currentRow, Window.currentRow)
+    one = F.lit(1).cast("long")
+    inside = sliced.withColumn("_salt", salt).select(
+        "*", F.count(one).over(peers).alias("_n_at"), F.count(one).over(upto).alias("_n_upto"), F.sum(mass).over(peers).alias("_w_at"), F.sum(mass).over(upto).alias("_w_upto"))
+    joined = inside.join(carry, _match(inside, carry, [*keys, "_slice"], "_c_"), "left")
+    pick = lambda all_, own: F.when(whole, F.col(all_)).otherwise(F.col(own))
+    ranks = {
+        "n": pick("_n", "_n_at"), "upto": F.col("_n_before") + pick("_n", "_n_upto"), "total": F.col("_n_total"),
+        "w": pick("_w", "_w_at"), "w_upto": F.col("_w_before") + F.coalesce(pick("_w", "_w_upto"), F.lit(0)), "w_total": F.col("_w_total"),
+    }
+    known = F.col(value).isNotNull()
+    return joined.withColumns(ranks).select(*df.columns, *[F.when(known, e).alias(name) for name, e in outputs.items()])
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], slices: int | None = None) -> DataFrame:
     """Exact interpolated quantiles (R type 7) per group: keys, n, p, value.
 

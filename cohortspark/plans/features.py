@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cohortspark.functions.nulls import mean_strict
 from cohortspark.functions.numeric import bucketize
 from cohortspark.operators.keys import natural_join
-from cohortspark.operators.ordered import quantile_slices, running
+from cohortspark.operators.ordered import cut_points, running, sliced
+from cohortspark.sources.stored import settle
 
 LAB_WINDOW_YEARS = 5.0
 
@@ -199,12 +200,15 @@ def window_values(
     bands = events.select("id", "track", "band").distinct()
     banded = natural_join(marks, bands, "left", on=["id", "track"]).withColumn("band", F.coalesce("band", F.lit(0)))
     keys = ["id", "track", "band"]
-    line, slice_col = quantile_slices(events.unionByName(banded.select(events.columns)), "ts", slices, events)
+    cuts = cut_points(tracks.filter(F.col("track").isin(wanted)), "ts", slices)  # of both directions
+    line, slice_col = sliced(events.unionByName(banded.select(events.columns)), "ts", cuts)
     sums = running(line, keys, [F.col("ts"), F.col("phase")],
                    {"total": ("sum", "v"), "size": ("sum", "one"), "sure_size": ("sum", "sure")}, slice_col)
     # the same line backwards, all magnitudes together, gives the next event
     line = events.unionByName(marks.withColumn("band", F.lit(0)).select(events.columns))
-    back, slice_col = quantile_slices(line.withColumns({"_ts": -F.col("ts"), "_phase": -F.col("phase")}), "_ts", slices, events.withColumn("_ts", -F.col("ts")))
+    back, slice_col = sliced(line.withColumns({"_ts": -F.col("ts"), "_phase": -F.col("phase")}), "ts", cuts)
+    if slice_col:
+        back = back.withColumn(slice_col, -F.col(slice_col))
     upcoming = running(
         back.withColumn("_tie", F.coalesce(-F.col("ev.value"), F.lit(0.0))), ["id", "track"],
         [F.col("_ts"), F.col("_phase"), F.col("_tie")], {"next": ("last", "ev")}, slice_col,
@@ -229,14 +233,23 @@ def window_values(
 def window_features(
     anchors: DataFrame, tracks: DataFrame, labs: Sequence[str], labs_window: tuple[float, float],
     diseases: Sequence[str], diseases_window: tuple[float, float], max_missing: float = 1.0, slices: int | None = None,
+    people: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (id, t): lab means, disease 0/1, without features missing too often."""
+    """One row per (id, t): lab means, disease 0/1, without features missing too often.
+
+    people: id, t, age, sex (1 or 2); with it every such anchor has a row, with its age and
+    ``sex`` less one in front of the features.
+    """
     windows = {**{k: labs_window for k in labs}, **{k: diseases_window for k in diseases}}
     values = window_values(anchors, tracks, windows, slices)
     long = values.select(
         "id", "t", F.col("track").alias("feature"),
         F.when(F.col("track").isin(list(diseases)), (F.col("size") > 0).cast("double")).otherwise(F.col("avg")).alias("value"))
+    long = settle(long, "windows")  # read for the shares and again for the table
     share = long.groupBy("feature").agg((F.count("value") / F.count(F.lit(1))).alias("present")).collect()
     present = {r["feature"]: r["present"] for r in share}  # one number per feature
     kept = [f for f in windows if 1 - present.get(f, 0.0) < max_missing]
-    return long.groupBy("id", "t").pivot("feature", kept).agg(F.max("value"))
+    wide = long.groupBy("id", "t").pivot("feature", kept).agg(F.max("value"))
+    if people is None:
+        return wide
+    return natural_join(people.select("id", "t", "age", (F.col("sex") - 1).alias("sex")), wide, "left", on=["id", "t"])
