@@ -116,9 +116,18 @@ def _parents(fx, parent=None):
     return table.withColumn("is_father", (F.col("parent") == "father").cast("double"))
 
 
-@query("cox_null")
+def _parents_sql(condition: str, keys: str = "f.id") -> str:
+    return f"""SELECT {keys}, f.time, f.status, c.sex, c.pc1, c.pc2, CASE WHEN f.parent = 'father' THEN 1e0 ELSE 0e0 END AS is_father
+  FROM fx_parent_long f JOIN fx_covar c ON c.id = f.id WHERE NOT (f.status = 1 AND f.time < 40) AND {condition}"""
+
+
+_COX_NAMES = ["sex", "pc1", "pc2"]
+
+
+@query("cox_null", f"""WITH {", ".join(sqltext.cox_null(_parents_sql("f.parent = 'father'"), ["id"], _COX_NAMES))}
+SELECT id, time, status, round(resid, 6) AS resid FROM cox""")
 def cox_null(fx):
-    null = association.cox_null(_parents(fx, "father"), ["sex", "pc1", "pc2"])
+    null = association.cox_null(_parents(fx, "father"), _COX_NAMES)
     return null.residuals.select("id", "time", "status", rounded(F.col("resid")).alias("resid"))
 
 
@@ -139,6 +148,32 @@ def gwas_cox_both(fx):
     return _cox_out(association.cox(fx("dosage"), null, keys=["id", "parent"]))
 
 
+def _score_sql(condition: str, keys: list[str], names: list[str]) -> str:
+    """Score statistics against a null model with covariates, before any tail correction."""
+    ctes = sqltext.cox_null(_parents_sql(condition, ", ".join(f"f.{k}" for k in keys)), keys, names)
+    people = f"{', '.join(ctes)}, ppl AS MATERIALIZED (SELECT id, resid AS y, {', '.join(names)} FROM cox)"
+    return f"""WITH {_scan_sql(people, names)}, zz AS (SELECT marker_id, n, LEAST(m / 2, 1 - m / 2) AS maf, gy AS stat, gy / sqrt((SELECT var_samp(y) FROM ppl) * rest) AS z FROM ad WHERE rest > 1e-8 * GREATEST(full_gg, 1))
+SELECT marker_id, CAST(n AS BIGINT) AS n, round(maf, 6) AS maf, round(stat, 6) AS stat, round(z, 6) AS z, round(({sqltext.log_erfc('(abs(z) / sqrt(2e0))')}) / ln(10e0), 6) AS pval_norm FROM zz"""
+
+
+@query("gwas_cox_score", _score_sql("f.parent = 'father'", ["id"], _COX_NAMES))
+def gwas_cox_score(fx):
+    null = association.cox_null(_parents(fx, "father"), _COX_NAMES)
+    return _cox_out(association.cox(fx("dosage"), null, saddlepoint=False))
+
+
+@query("gwas_cox_mother_score", _score_sql("f.parent = 'mother'", ["id"], _COX_NAMES))
+def gwas_cox_mother_score(fx):
+    null = association.cox_null(_parents(fx, "mother"), _COX_NAMES)
+    return _cox_out(association.cox(fx("dosage"), null, saddlepoint=False))
+
+
+@query("gwas_cox_both_score", _score_sql("TRUE", ["id", "parent"], [*_COX_NAMES, "is_father"]))
+def gwas_cox_both_score(fx):
+    null = association.cox_null(_parents(fx), [*_COX_NAMES, "is_father"], keys=["id", "parent"])
+    return _cox_out(association.cox(fx("dosage"), null, keys=["id", "parent"], saddlepoint=False))
+
+
 # Without covariates the null model has a closed form: ties share the hazard one after another
 @query("gwas_cox_plain", f"""WITH f AS (SELECT id, time, status FROM fx_parent_long WHERE parent = 'mother' AND NOT (status = 1 AND time < 40)),
 t AS (SELECT time, COUNT(*) AS n, SUM(status) AS d FROM f GROUP BY time),

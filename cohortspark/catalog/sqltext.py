@@ -143,3 +143,43 @@ def stitched(base: str, names: Sequence[str], generations: Sequence[Sequence[int
 def linear_score(p: int, x: str = "y.x{}") -> str:
     terms = " + ".join(f"COALESCE(m.w{j} * ({x.format(j)} - m.m{j}), 0e0)" for j in range(1, p + 1))
     return f"round(LEAST(GREATEST(m.base + {terms}, 0e0), 1e0), 9)"
+
+
+def cox_null(source: str, keys: Sequence[str], names: Sequence[str], steps: int = 8) -> list[str]:
+    """CTEs of a Cox model with Efron ties by unrolled Newton steps from zero.
+
+    ``source`` selects keys, time, status and the covariates. Ends in ``cox`` with the
+    residual of each row; the equations of a step are solved by elimination.
+    """
+    k, ks = range(1, len(names) + 1), ", ".join(keys)
+    cols = ", ".join(f"CAST({n} AS DOUBLE) AS x{i}" for i, n in zip(k, names))
+    out = [f"cr AS MATERIALIZED (SELECT {ks}, CAST(time AS DOUBLE) AS time, CAST(status AS INTEGER) AS status, {cols} FROM ({source}) s)",
+           f"b0 AS (SELECT {', '.join(f'0e0 AS b{i}' for i in k)})"]
+    pairs = [(i, j) for i in k for j in k if i <= j]
+    parts = {"0": "e", **{f"{i}": f"e * x{i}" for i in k}, **{f"{i}_{j}": f"e * x{i} * x{j}" for i, j in pairs}}
+
+    def risk(t: int, used: dict[str, str]) -> list[str]:
+        line = " + ".join(f"x{i} * b{i}" for i in k)
+        sums = ", ".join(f"SUM({v}) AS n{n}, SUM(CASE WHEN status = 1 THEN {v} ELSE 0e0 END) AS e{n}" for n, v in used.items())
+        dead = ", ".join(f"SUM(CASE WHEN status = 1 THEN x{i} ELSE 0e0 END) AS d{i}" for i in k)
+        return [f"p{t} AS MATERIALIZED (SELECT time, SUM(status) AS d, {sums}, {dead} FROM (SELECT cr.*, exp({line}) AS e FROM cr, b{t}) r GROUP BY time)",
+                f"r{t} AS MATERIALIZED (SELECT *, {', '.join(f'SUM(n{n}) OVER (ORDER BY time DESC) AS s{n}' for n in used)} FROM p{t})",
+                f"l{t} AS MATERIALIZED (SELECT *, l / d AS w, 1e0 / (s0 - l / d * e0) AS u FROM (SELECT *, CAST(unnest(range(CAST(d AS BIGINT))) AS DOUBLE) AS l FROM r{t}) q)"]
+
+    for t in range(steps):
+        out += risk(t, parts)
+        a = {i: f"(s{i} - w * e{i})" for i in k}
+        hess = [f"SUM((s{i}_{j} - w * e{i}_{j}) * u - {a[i]} * {a[j]} * u * u) AS a{x}_{y}" for i, j in pairs for x, y in {(i, j), (j, i)}]
+        grad = [f"(SELECT SUM(d{i}) FROM p{t}) - SUM({a[i]} * u) AS a{i}_{len(names) + 1}" for i in k]
+        out.append(f"h{t}_0 AS MATERIALIZED (SELECT {', '.join(hess + grad)} FROM l{t})")
+        for q in k:
+            cells = [f"a{q}_{j} / a{q}_{q} AS a{q}_{j}" if i == q else f"a{i}_{j} - a{i}_{q} * a{q}_{j} / a{q}_{q} AS a{i}_{j}" for i in k for j in range(q + 1, len(names) + 2)]
+            out.append(f"h{t}_{q} AS MATERIALIZED (SELECT {', '.join(cells)} FROM h{t}_{q - 1})")
+        moved = ", ".join(f"b{i} + a{i}_{len(names) + 1} AS b{i}" for i in k)
+        out.append(f"b{t + 1} AS MATERIALIZED (SELECT {moved} FROM b{t}, h{t}_{len(names)})")
+    out += risk(steps, {"0": "e"})
+    line = " + ".join(f"x{i} * b{i}" for i in k)
+    xs = ", ".join(f"x{i} AS {n}" for i, n in zip(k, names))
+    return [*out,
+            f"hz AS MATERIALIZED (SELECT time, SUM(COALESCE(jump, 0e0)) OVER (ORDER BY time) AS cum, COALESCE(tied, 0e0) AS tied FROM p{steps} LEFT JOIN (SELECT time, SUM(u) AS jump, SUM(w * u) AS tied FROM l{steps} GROUP BY time) j USING (time))",
+            f"cox AS MATERIALIZED (SELECT {ks}, time, status, {xs}, status - exp({line}) * (cum - status * tied) AS resid FROM cr JOIN hz USING (time), b{steps})"]
