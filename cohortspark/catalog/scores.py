@@ -10,7 +10,7 @@ from cohortspark.functions import numeric
 from cohortspark.functions.nulls import rounded
 from cohortspark.operators import ordered
 from cohortspark.plans import records, scores
-from cohortspark.sources.stored import settle
+from cohortspark.sources.stored import reuse
 
 DISEASES = scores.DISEASES
 _LIST = ", ".join(DISEASES)
@@ -27,9 +27,16 @@ def onsets(fx):
 
 
 def population(fx, stored=True):
-    """The score table, written once for the queries that read it several times."""
+    """The score table; ``stored``, it is written once for all queries of a session on these files."""
     table = scores.score_table(fx("score"), onsets(fx))
-    return settle(table, "population") if stored else table
+    return reuse(table, "population") if stored else table
+
+
+@query("stored_population", f"WITH {POP} SELECT age, sex, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(longevity) AS BIGINT) AS known, round(SUM(longevity), 4) AS total FROM pop GROUP BY age, sex")
+def stored_population(fx):
+    """A reader of the table that other queries have stored, or that it stores for them."""
+    return population(fx).groupBy("age", "sex").agg(
+        F.count(F.lit(1)).alias("n"), F.count("longevity").alias("known"), F.round(F.sum("longevity"), 4).alias("total"))
 
 
 @query("rolling_mean", """

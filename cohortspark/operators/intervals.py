@@ -87,25 +87,54 @@ def nearest(queries: DataFrame, targets: DataFrame, label: str, slices: int | No
     )
 
 
-def overlap_join(left: DataFrame, right: DataFrame, columns: Sequence[str], width: int = 1 << 17, salt: int = 1) -> DataFrame:
+BIN_BITS = (14, 17, 20, 23, 26, 29, 32)  # widths of bins, each eight of the one before
+CROWD = 100_000  # left rows of a bin that are joined in one piece
+
+
+def _bins(df: DataFrame, bits: Sequence[int]) -> DataFrame:
+    """Add the level and number of the smallest bin that holds the whole interval."""
+    first = lambda b: F.shiftright(F.col("start_pos").cast("long"), b)
+    last = lambda b: F.shiftright(F.col("end_pos").cast("long") - 1, b)
+    level = F.lit(len(bits))
+    for k in reversed(range(len(bits))):
+        level = F.when(first(bits[k]) == last(bits[k]), k).otherwise(level)
+    df = df.withColumn("_level", level)
+    number = F.lit(0).cast("long")  # beyond the widest: one bin a chromosome
+    for k, b in enumerate(bits):
+        number = F.when(F.col("_level") == k, first(b)).otherwise(number)
+    return df.withColumn("_bin", number)
+
+
+def _above(df: DataFrame, bits: Sequence[int], own: bool) -> DataFrame:
+    """A row for each bin around the own one, and for the own one when asked."""
+    start = F.col("start_pos").cast("long")
+    around = F.array(*[F.struct(F.lit(k).alias("_at"), F.shiftright(start, b).alias("_in")) for k, b in enumerate(bits)],
+                     F.struct(F.lit(len(bits)).alias("_at"), F.lit(0).cast("long").alias("_in")))
+    wider = F.filter(around, lambda x: (x["_at"] >= F.col("_level")) if own else (x["_at"] > F.col("_level")))
+    return df.withColumn("_x", F.explode(wider)).withColumns({"_level": F.col("_x._at"), "_bin": F.col("_x._in")}).drop("_x")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, columns: Sequence[str], bits: Sequence[int] = BIN_BITS, crowd: int = CROWD) -> DataFrame:
     """Every overlapping pair: the left row and the named right columns.
 
-    An equi-join on (chrom, bin) of the bins each interval touches, then the exact test. A
-    pair that shares several bins is kept in the first of them. ``salt`` spreads a crowded
-    bin's left rows over that many tasks and repeats its right rows.
+    Bins come in several widths, and an interval lives in the smallest that holds it. Two
+    intervals can only overlap where the bin of one is that of the other or lies around it,
+    so each side is joined once as it lives with the other in its own and all wider bins: a
+    row takes as many keys as there are widths, however long it is. A bin where more than
+    ``crowd`` left rows meet is cut into pieces, and its right rows are repeated for each.
     """
-    def bins(df: DataFrame) -> DataFrame:
-        first, last = F.floor(F.col("start_pos") / width), F.floor((F.col("end_pos") - 1) / width)
-        return df.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence("_first", last)))
-
-    lb = bins(left).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salt)).cast("int"))
-    rb = bins(right.select("chrom", "start_pos", "end_pos", *columns)).select(
-        F.col("chrom"), F.col("_bin"), F.col("_first").alias("_rf"), F.col("start_pos").alias("_rs"),
-        F.col("end_pos").alias("_re"), *columns, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
-    pairs = lb.join(rb, ["chrom", "_bin", "_salt"]).filter(
-        (F.col("start_pos") < F.col("_re")) & (F.col("_rs") < F.col("end_pos"))
-        & (F.col("_bin") == F.greatest("_first", "_rf")))
-    return pairs.select(*left.columns, *columns)
+    key = ["chrom", "_level", "_bin"]
+    r = right.select("chrom", "start_pos", "end_pos", *columns)
+    l_home, r_home = _bins(left, bits), _bins(r, bits)
+    pairs = None
+    for lb, rb in ((l_home, _above(r_home, bits, True)), (_above(l_home, bits, False), r_home)):
+        crowded = lb.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / crowd).alias("_pieces")).filter("_pieces > 1")
+        lb = lb.join(crowded, key, "left").withColumn("_piece", F.pmod(F.xxhash64(*left.columns), F.coalesce("_pieces", F.lit(1)))).drop("_pieces")
+        rb = rb.join(crowded, key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1)))
+        rb = rb.select(*key, "_piece", F.col("start_pos").alias("_rs"), F.col("end_pos").alias("_re"), *columns)
+        part = lb.join(rb, [*key, "_piece"]).filter((F.col("start_pos") < F.col("_re")) & (F.col("_rs") < F.col("end_pos"))).select(*left.columns, *columns)
+        pairs = part if pairs is None else pairs.unionByName(part)
+    return pairs
 
 
 def count_overlaps(queries: DataFrame, targets: DataFrame, name: str = "n", slices: int | None = None) -> DataFrame:

@@ -93,27 +93,27 @@ def lifelong(transitions: DataFrame, step: int, target: Sequence[str] = (DEATH,)
     """Probability of ever reaching a target state, per sex, age and bin.
 
     Chained from the oldest age down: v = P(target) + sum over bins of P(bin) * v(bin, older).
-    Bins unknown at the older age are left out and the rest rescaled. The table has a few
-    thousand rows; it is written once, and the loop runs over ages.
+    Bins unknown at the older age are left out and the rest rescaled. The transitions are
+    written once; every age is computed once, from the written result of the age a step
+    older.
     """
     table = settle(transitions.select("sex", "age", "sbin", "next", "p"), "transitions")
     ages = sorted((r[0] for r in table.select("age").distinct().collect()), reverse=True)
-    done = None
+    levels: dict[int, DataFrame] = {}
     for age in ages:
         rows = table.filter(F.col("age") == age)
         ends = F.col("next").isin(list(terminal))
         hit = F.col("next").isin(list(target)).cast("double")
-        if done is None:
-            known = rows.withColumn("v", F.lit(None).cast("double"))
+        older = levels.get(age + step)
+        if older is None:  # at the last age a survivor is a survivor
+            known = rows.withColumn("_v", F.when(ends, hit).otherwise(0.0))
         else:
-            older = done.filter(F.col("age") == age + step).select("sex", F.col("sbin").alias("next"), F.col("risk").alias("v"))
-            known = rows.join(older, ["sex", "next"], "left")
-        value = F.when(ends, hit).otherwise(F.col("v"))
-        # at the last age a survivor is a survivor
-        last = (age + step) not in ages
-        value = F.coalesce(value, F.lit(0.0)) if last else value
-        level = known.withColumn("_v", value).filter("_v IS NOT NULL").groupBy("sex", "age", "sbin").agg(
-            (F.sum(F.col("p") * F.col("_v")) / F.sum("p")).alias("risk"))
+            later = older.select("sex", F.col("sbin").alias("next"), F.col("risk").alias("v"))
+            known = rows.join(later, ["sex", "next"], "left").withColumn("_v", F.when(ends, hit).otherwise(F.col("v")))
+        level = known.filter("_v IS NOT NULL").groupBy("sex", "age", "sbin").agg((F.sum(F.col("p") * F.col("_v")) / F.sum("p")).alias("risk"))
+        levels[age] = settle(level, "risks")
+    done = None
+    for level in levels.values():
         done = level if done is None else done.unionByName(level)
     if done is None:
         raise ValueError("no transitions")

@@ -1,17 +1,27 @@
-"""Written intermediates: reuse when complete, else write and read back."""
+"""Written intermediates: reuse when complete, else write and read back, and drop in the end."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortspark.session import scratch_dir
 
+_written: dict[str, list[str]] = {}  # paths below the scratch folder, by application
+_reusable: dict[tuple[str, str, str], str] = {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    files, marker = _file_system(spark, f"{path}/_SUCCESS")
+    return files.exists(marker)
 
 
 def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str) -> DataFrame:
@@ -31,5 +41,59 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def _content(df: DataFrame) -> str:
+    """A key of what a table will hold: its plan, and the size and time of the files it reads."""
+    spark, parts = df.sparkSession, [str(df.semanticHash())]
+    for name in sorted(df.inputFiles()):
+        files, path = _file_system(spark, name)
+        state = files.getFileStatus(path)
+        parts.append(f"{name} {state.getLen()} {state.getModificationTime()}")
+    return hashlib.md5("\n".join(parts).encode()).hexdigest()
+
+
+def reuse(df: DataFrame, name: str) -> DataFrame:
+    """The written form of a table: an earlier one of equal content in this application, else a new one.
+
+    It lives until the ``lifetime`` it was written in ends, or ``release``.
+    """
+    spark = df.sparkSession
+    key = spark.sparkContext.applicationId, name, _content(df)
+    if key not in _reusable or not _complete(spark, _reusable[key]):
+        before = len(_written.get(key[0], ()))
+        settle(df, name)
+        _reusable[key] = _written[key[0]][before]
+    return spark.read.parquet(_reusable[key])
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        files, hadoop = _file_system(spark, path)
+        files.delete(hadoop, True)
+    gone = set(paths)
+    for key in [k for k, p in _reusable.items() if p in gone]:
+        del _reusable[key]
+
+
+@contextmanager
+def lifetime(spark: SparkSession) -> Iterator[list[str]]:
+    """Drop at the end what was written inside, except for paths put into the yielded list.
+
+    For results that are complete by then: a plan that still reads a dropped table fails.
+    """
+    mine = _written.setdefault(spark.sparkContext.applicationId, [])
+    start, keep = len(mine), []
+    try:
+        yield keep
+    finally:
+        inside, mine[start:] = mine[start:], keep
+        _drop(spark, [p for p in inside if p not in keep])
+
+
+def release(spark: SparkSession) -> None:
+    """Drop everything this application has written below its scratch folder."""
+    _drop(spark, _written.pop(spark.sparkContext.applicationId, []))

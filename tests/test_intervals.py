@@ -53,14 +53,14 @@ def test_nearest(data, slices):
         assert got[name] == (min(gaps) if gaps else None)
 
 
-@pytest.mark.parametrize("salt", [1, 4])
-@pytest.mark.parametrize("width", [16, 1 << 17])
-def test_overlap_pairs_and_counts(data, salt, width):
+@pytest.mark.parametrize("crowd", [3, 100_000])
+@pytest.mark.parametrize("bits", [(4,), (2, 4, 6), intervals.BIN_BITS])
+def test_overlap_pairs_and_counts(data, crowd, bits):
     q, t, qdf, tdf = data
     want = sorted((a[0], b[0]) for a in q for b in t if a[1] == b[1] and a[2] < b[3] and b[2] < a[3])
-    got = intervals.overlap_join(qdf, tdf.withColumnRenamed("name", "label"), ["label"], width, salt)
+    got = intervals.overlap_join(qdf, tdf.withColumnRenamed("name", "label"), ["label"], bits, crowd)
     assert sorted((r["name"], r["label"]) for r in got.collect()) == want
-    counts = {r["name"]: r["n"] for r in intervals.count_overlaps(qdf, tdf, "n", 1 if salt == 1 else 6).collect()}
+    counts = {r["name"]: r["n"] for r in intervals.count_overlaps(qdf, tdf, "n", 1 if crowd == 3 else 6).collect()}
     assert counts == {a[0]: sum(1 for x, _ in want if x == a[0]) for a in q}
 
 
@@ -105,3 +105,14 @@ def test_sparse_features_go(spark):
     assert {r["feature"] for r in features.drop_sparse(long, ["id", "t"], 0.8).collect()} == {"a"}
     assert {r["feature"] for r in features.drop_sparse(long, ["id", "t"], 0.81).collect()} == {"a", "b"}
     assert features.drop_sparse(long, ["id", "t"], 0.81).filter(F.col("feature") == "b").count() == 10
+
+
+def test_long_interval_and_crowded_bin(spark):
+    """One interval of 100 Mb is not exploded, and a crowded bin is joined in pieces."""
+    small = spark.range(20_000).selectExpr("concat('s', id) name", "'chr1' chrom", "int(5000000 + id % 900) start_pos", "int(5000001 + id % 900) end_pos")
+    large = spark.createDataFrame([("long", "chr1", 0, 100_000_000), ("gene", "chr1", 5_000_100, 5_000_200), ("off", "chr2", 0, 10)], SCHEMA).withColumnRenamed("name", "label")
+    got = intervals.overlap_join(small, large, ["label"], crowd=1000)
+    assert {r[0]: r[1] for r in got.groupBy("label").count().collect()} == {"long": 20_000, "gene": 20_000 // 900 * 100 + min(100, max(0, 20_000 % 900 - 100))}
+    home = intervals._bins(large.withColumnRenamed("label", "x"), intervals.BIN_BITS)
+    assert intervals._above(home, intervals.BIN_BITS, True).filter("x = 'long'").count() <= len(intervals.BIN_BITS) + 1
+    assert intervals.overlap_join(large.withColumnRenamed("label", "name"), small.withColumnRenamed("name", "label"), ["label"]).count() == got.count()

@@ -1,6 +1,7 @@
 """Missing values, orders and the other easy mistakes."""
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,30 @@ def test_sick_at_exposure_is_unknown_without_disease(spark):
     assert row["sick"] is False and row["sick_at_exp"] is None and row["disease_follow_time"] == 265.0
 
 
+def _left(spark):
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    return {n for n in os.listdir(root) if n.startswith(("mine", "other"))}
+
+
+def test_equal_tables_are_written_once_and_dropped(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    read = lambda: spark.read.parquet(path).selectExpr("id * 2 AS x")
+    with stored.lifetime(spark) as keep:
+        first = stored.reuse(read(), "mine")
+        assert stored.reuse(read(), "mine").inputFiles() == first.inputFiles() and len(_left(spark)) == 1
+        assert stored.reuse(read().filter("x > 2"), "mine").count() == 3 and len(_left(spark)) == 2
+        spark.range(7).write.mode("overwrite").parquet(path)  # other files: other content
+        assert stored.reuse(read(), "mine").count() == 7
+        kept = stored.settle(spark.range(2), "other")
+        keep.append(kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://"))
+    assert len(_left(spark)) == 1 and kept.count() == 2
+    again = stored.reuse(read(), "mine")
+    assert again.count() == 7
+    stored.release(spark)
+    assert not _left(spark)
+
+
 def test_materialize_reuses_only_finished_tables(spark, tmp_path):
     calls = []
 
