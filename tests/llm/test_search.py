@@ -55,7 +55,7 @@ def test_search(spark, docs, monkeypatch):
     asked = spark.createDataFrame(items, "item_id long, text string").withColumns({"term": F.lit("x"), "block": F.lit(1)})
     want = bm25(rows, items)
     assert sorted(map(tuple, search.ranked(table, asked).collect()), key=str) == want
-    monkeypatch.setattr(search, "ITEM_BYTES", 200)  # several blocks of items
+    monkeypatch.setattr(search, "ITEM_BYTES", 900)  # several blocks of items
     monkeypatch.setattr(search, "SCORES", 64)  # classes in small steps
     monkeypatch.setattr(search, "EXACT", 0)  # whole-number sums
     assert sorted(map(tuple, search.ranked(table, asked).collect()), key=str) == want
