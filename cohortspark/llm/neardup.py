@@ -4,11 +4,14 @@ A document's set holds its distinct word shingles. Equal sets collapse into clas
 Then several independent trees branch the classes: at each level a class follows its
 minwise tokens under two hashes of that level (one at the first level). Nodes that hold a single class, or one component of
 links found so far, end (first every node's smallest class is compared with one class of each
-other component, so that groups of copies become one component); small nodes are compared exhaustively on their minwise signatures,
-and nodes still large at the last level in tiles. Every pair that looks possible is
-confirmed on the full sets. Two sets of similarity 0.75 stay together in one tree down to depth
-5 with probability 0.67 (0.24 with one hash a level), so that 8 of the 16 trees that share no
-hash all lose them with probability 0.0001.
+other component, so that groups of copies become one component). Small nodes end too, and so do
+nodes that few classes share with one large component: their classes are compared exhaustively,
+across components only, on digests of their sets. A digest holds all shingles of a set of usual
+size, so that few pairs below the threshold go on, and a node gives a spanning forest of its
+certain links instead of all of them. Nodes still mixed at the last level are compared in tiles.
+Every pair is confirmed on the full sets. Two sets of similarity 0.75 stay together in one tree
+down to depth 5 with probability 0.67 (0.24 with one hash a level), so that 8 of the 16 trees
+that share no hash all lose them with probability 0.0001.
 """
 
 from __future__ import annotations
@@ -26,9 +29,12 @@ from cohortspark.sources.stored import settle
 
 TREES, LEVELS = 16, 5
 STAR_TREES = 2  # trees whose nodes are tried first, smallest class against the others
-SMALL = 64  # classes in a node that is compared exhaustively
+SMALL = 512  # classes in a node that is compared exhaustively
 EXTRA = 256  # further minwise values of one byte each, for comparing only (a multiple of 4)
-TILE = 256  # rows of a tile in a node that stays large
+TILE = 512  # rows of a tile in a node that stays large
+DIGEST = 1024  # shingles in a digest; of a larger set those below a power of two stay
+COLUMNS = 4096  # distinct shingles that a product of digests takes at a time
+SLACK = 3  # shingles of one pair whose 32-bit values may meet by chance in a certain link
 
 
 def _shingles(words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,16 +122,28 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> D
         run, "id long, n_shingles long, f1 long, f2 long, sig binary")
 
 
+def _digest(values: np.ndarray) -> np.ndarray:
+    """The lower halves of a set's hashes, sorted; of a set beyond ``DIGEST`` those below 2**32 / 2**rate."""
+    return np.unique(values.astype(np.uint32)[values.astype(np.uint32) <= np.uint32((1 << (32 - _rate(len(values)))) - 1)])
+
+
+def _rate(size: int) -> int:
+    return (-(-max(int(size), 1) // DIGEST) - 1).bit_length()
+
+
 def _set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(id, text) to (id, set): the distinct shingle hashes, sorted, as 8-byte values."""
+    """(id, text) to (id, set, digest): the distinct shingle hashes, sorted, as 8-byte values, and their digest."""
 
     def run(batches):
         for batch in batches:
-            parts = [binary_rows(values, bounds) for _, _, values, bounds in shingle_sets(batch.column(1), width)]
-            if parts:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.concat_arrays(parts)], ["id", "set"])
+            sets, digests = [], []
+            for _, _, values, bounds in shingle_sets(batch.column(1), width):
+                sets.append(binary_rows(values, bounds))
+                digests += [_digest(values[lo:hi]).tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])]
+            if sets:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.concat_arrays(sets), pa.array(digests, pa.binary())], ["id", "set", "digest"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return docs.mapInArrow(run, "id long, set binary, digest binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -196,68 +214,142 @@ def _stars(paths: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
+def _common(digests: list[np.ndarray], lower: np.ndarray, upper: np.ndarray, rates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common and united shingles of the digests ``lower`` with the digests ``upper``, at the coarser rate of the two."""
+    common = np.zeros((len(lower), len(upper)), np.float32)
+    united = np.zeros((len(lower), len(upper)), np.float32)
+    row = np.repeat(np.arange(len(digests)), [len(d) for d in digests])
+    values = np.concatenate(digests)
+    for rate in np.unique(rates):
+        some = values <= np.uint32((1 << (32 - int(rate))) - 1)
+        r, v = row[some], values[some]
+        size = np.bincount(r, minlength=len(digests)).astype(np.float32)
+        _, column, times = np.unique(v, return_inverse=True, return_counts=True)
+        shared = times[column] > 1  # a shingle of one row alone is common to no two
+        r, column = r[shared], column[shared]
+        _, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        r, column = r[order], column[order]
+        both = np.zeros_like(common)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            i, j = np.searchsorted(column, [lo, lo + COLUMNS])
+            held = np.zeros((len(digests), COLUMNS), np.float32)
+            held[r[i:j], column[i:j] - lo] = 1
+            both += held[lower] @ held[upper].T
+        here = np.maximum(rates[lower][:, None], rates[upper][None, :]) == rate
+        common[here] = both[here]
+        united[here] = (size[lower][:, None] + size[upper][None, :] - both)[here]
+    return common, united
+
+
+def _forest(likely: np.ndarray, sure: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Rows to confirm: a spanning forest of the sure links between components, and the likely pairs it leaves apart."""
+    label, out = np.full(len(comp), -1), []
+    for start in range(len(comp)):
+        if label[start] >= 0:
+            continue
+        found = comp == comp[start]
+        label[found] = start
+        waiting = list(np.flatnonzero(found))
+        while waiting:
+            i = waiting.pop()
+            near = np.flatnonzero(sure[i] & (label < 0))
+            for c, j in zip(*np.unique(comp[near], return_index=True)):
+                out.append((i, int(near[j])))
+                new = np.flatnonzero(comp == c)
+                label[new] = start
+                waiting.extend(new)
+    i, j = np.nonzero(np.triu(likely & (label[:, None] != label[None, :])))
+    return out + list(zip(i.tolist(), j.tolist()))
+
+
+def _possible(digests: list[np.ndarray], n: np.ndarray, side: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a node's rows to confirm. Rows of side 0 meet each other, those of side 1 the rows of side 2."""
+    p, rates = percent / 100, np.array([_rate(x) for x in n])
+    likely, sure = (np.zeros((len(n), len(n)), bool) for _ in range(2))
+    lower, upper = (np.flatnonzero(side == s) for s in ((0, 0) if (side == 0).any() else (1, 2)))
+    common, united = _common(digests, lower, upper, rates)
+    whole = np.maximum(rates[lower][:, None], rates[upper][None, :]) == 0
+    # two shingles of one set with one value cost a common one; a sample may be off by six deviations
+    at_least = np.where(whole, p * united - SLACK, (p - 6 * np.sqrt(p * (1 - p) / np.maximum(united, 1))) * united - SLACK)
+    a, b = n[lower][:, None], n[upper][None, :]
+    apart = (comp[lower][:, None] != comp[upper][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    place = np.ix_(lower, upper)
+    likely[place] = apart & (common >= at_least)
+    sure[place] = apart & whole & (100 * (common - SLACK) >= percent * (united + SLACK))
+    return _forest(likely | likely.T, sure | sure.T, comp)
+
+
 def _node_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, side, id, comp, n_shingles, sig), to possible pairs across components.
+    """(node, side, id, comp, n_shingles, digest), to pairs across components that are to be confirmed.
 
-    ``side`` 0 rows meet all rows of their node, 1 rows only those of side 2 (two tiles of a
-    large node). Rows of a node are together and at most twice ``TILE``.
+    Rows of a node are together and at most ``SMALL`` or twice ``TILE``.
     """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(rows: list[tuple], out: list) -> None:
-        if len({r[3] for r in rows}) < 2:
-            return
-        ids = np.array([r[2] for r in rows])
-        comp = np.array([r[3] for r in rows])
-        n = np.array([r[4] for r in rows])
-        side = np.array([r[1] for r in rows])
-        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(len(rows), -1)
-        for i in range(len(rows) - 1):
-            rest = np.arange(i + 1, len(rows))
-            rest = rest[(comp[rest] != comp[i]) & ((side[i] == 0) | (side[rest] != side[i]))]
-            if len(rest):
-                good = rest[_likely(np.broadcast_to(sig[i], (len(rest), sig.shape[1])), sig[rest], np.full(len(rest), n[i]), n[rest], percent)]
-                out.extend((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in good)
+    def compare(rows: list[tuple]) -> list[dict]:
+        _, side, ids, comp, n, digests = zip(*rows)
+        if len(set(comp)) < 2 or len(set(side)) < 2 and 0 not in side:
+            return []
+        pairs = _possible([np.frombuffer(d, np.uint32) for d in digests], np.array(n), np.array(side), np.array(comp), percent)
+        return [{"a": min(ids[i], ids[j]), "b": max(ids[i], ids[j])} for i, j in pairs]
 
     def run(batches):
-        node, rows, out = None, [], []
+        node, rows = None, []
         for batch in batches:
+            out = []
             for row in zip(*[batch.column(i).to_pylist() for i in range(6)]):
-                if row[0] != node:
-                    compare(rows, out)
-                    node, rows = row[0], []
+                if row[0] != node and rows:
+                    out += compare(rows)
+                    rows = []
+                node = row[0]
                 rows.append(row)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-                out = []
-        compare(rows, out)
-        if out:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return (nodes.select("node", "side", "id", "comp", "n_shingles", "sig").repartition("node")
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if rows:
+            yield pa.RecordBatch.from_pylist(compare(rows), schema)
+
+    return (nodes.select("node", "side", "id", "comp", "n_shingles", "digest").repartition("node")
             .sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long"))
 
 
+def _tiles(large: DataFrame) -> DataFrame:
+    """Nodes (node, side, id) in which every row of a large node meets every row of another component once.
+
+    ``main`` is the node's largest component, of ``most`` rows: its rows meet the others only, so
+    each stands in one tile for every tile of the others.
+    """
+    others, mains = (F.ceil(x / TILE).cast("int") for x in (F.col("size") - F.col("most"), F.col("most")))
+    rows = large.withColumns({"others": others, "mains": mains, "inside": F.col("comp") == F.col("main")})
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, side, x, y: F.struct(F.xxhash64("node", F.lit(kind), x, y).alias("node"), F.lit(side).alias("side"))
+    tile = F.col("tile")
+    inner = F.transform(upto("others"), lambda t: F.struct(
+        F.xxhash64("node", F.lit(0), F.least(tile, t), F.greatest(tile, t)).alias("node"),
+        F.when(tile == t, 0).when(tile < t, 1).otherwise(2).alias("side")))
+    places = F.when(F.col("inside"), F.transform(upto("others"), lambda t: place(1, 1, t, tile))).otherwise(
+        F.concat(inner, F.transform(upto("mains"), lambda t: place(1, 2, tile, t))))
+    return rows.select("id", F.explode(places).alias("place")).select("place.node", "place.side", "id")
+
+
 def _branches(reps: DataFrame, trees: int, levels: int, percent: int) -> DataFrame:
-    """Possible pairs across components (column ``comp``) from the leaves of all trees."""
+    """Pairs to confirm across components (column ``comp``) from the leaves of all trees."""
     live = _paths(reps, trees, levels, "id", "comp").withColumn("node", F.xxhash64("tree", _token(0)))
     found = None
     for depth in range(1, levels + 1):
         live = settle(live, "nodes")
-        size = live.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        mixed = live.join(size.select("node", "size"), "node")
-        leaf = mixed.filter(F.col("size") <= SMALL).select("node", F.lit(0).alias("side"), "id")
-        if depth == levels:  # still large: tiles of the node against each other
-            parts = F.ceil(F.col("size") / TILE).cast("int")
-            tile = F.pmod(F.xxhash64("id"), parts).cast("int")
-            large = mixed.filter(F.col("size") > SMALL).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-            leaf = leaf.union(large.select(
-                F.xxhash64("node", F.least("tile", "other"), F.greatest("tile", "other")).alias("node"),
-                F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).alias("side"), "id"))
+        size = (live.groupBy("node", "comp").agg(F.count("*").alias("most")).groupBy("node")
+                .agg(F.sum("most").alias("size"), F.max_by("comp", "most").alias("main"), F.max("most").alias("most")))
+        mixed = live.join(size.filter("most < size"), "node")
+        small = F.col("size") <= SMALL
+        ends = small | (F.col("size") - F.col("most") <= TILE) | F.lit(depth == levels)
+        leaf = mixed.filter(small).select("node", F.lit(0).alias("side"), "id")
+        leaf = leaf.union(_tiles(mixed.filter(ends & ~small)))
         found = leaf if found is None else found.union(leaf)
         if depth < levels:
             both = F.array(*[F.xxhash64("node", F.lit(i), _token(depth + i * levels)) for i in range(2)])
-            live = mixed.filter(F.col("size") > SMALL).select("id", "comp", "tree", "path", F.explode(both).alias("node"))
-    return _node_pairs(found.join(reps.select("id", "comp", "n_shingles", "sig"), "id"), percent).distinct()
+            live = mixed.filter(~ends).select("id", "comp", "tree", "path", F.explode(both).alias("node"))
+    return _node_pairs(found.join(reps.select("id", "comp", "n_shingles", "digest"), "id"), percent).distinct()
 
 
 def near_duplicates(
@@ -270,9 +362,9 @@ def near_duplicates(
     words is one shingle, a null or wordless one has an empty set and links with nothing.
     Documents link when ``100 * |intersection| >= percent * |union|``. ``component_id`` is
     the smallest id reachable over links; ``kept`` marks it. Rows of one id and text are one
-    document and get the same values. A null id is never smallest: its row takes part, but is
-    kept only when no other document is linked with it. Other columns are ignored. An empty
-    table gives an empty result.
+    document and get the same values. A null id is never smallest: its row follows the documents of
+    equal set, or else stands alone, with a null component, and is kept. Other columns are ignored.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -298,7 +390,7 @@ def near_duplicates(
         found = settle(_confirm(settle(_stars(nodes, reps, percent), "stars"), sets, percent), "confirmed")
         links = found if links is None else links.union(found)
     branched = reps.join(components(links), "id", "left").select("id", "sig", "n_shingles", F.coalesce("component", "id").alias("comp"))
-    branched = settle(branched, "components")
+    branched = settle(branched.join(sets.select("id", "digest"), "id"), "components")
     more = _confirm(settle(_branches(branched, trees, levels, percent), "leaves"), sets, percent)
     final = components(links.union(more))
     classes = classes.join(final, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))

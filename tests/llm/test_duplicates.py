@@ -168,13 +168,37 @@ def test_signatures_lose_no_pair_at_the_threshold():
     assert not neardup._likely(a, b, size, size, 75).any()
 
 
+def test_node_gives_every_link_between_components_or_a_path():
+    rng = np.random.default_rng(4)
+    for size in (60, 2500):  # whole digests, and samples of larger sets
+        base = rng.integers(0, 1 << 63, size, dtype=np.int64).view(np.uint64)
+        sets = []
+        for _ in range(60):
+            own = base.copy()
+            at = rng.random(size) < rng.choice([0.01, 0.07, 0.13, 0.2])
+            own[at] = rng.integers(0, 1 << 63, int(at.sum()), dtype=np.int64).view(np.uint64)
+            sets.append(np.unique(own))
+        n, comp = np.array([len(x) for x in sets]), np.arange(60) // 2
+        digests = [neardup._digest(x) for x in sets]
+        assert all(len(d) <= 1.2 * neardup.DIGEST for d in digests)
+        for side in (np.zeros(60, int), 1 + np.arange(60) % 2):
+            link = lambda i, j: 4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j]))
+            meets = lambda i, j: side[i] == 0 or side[i] != side[j]
+            pairs = neardup._possible(digests, n, side, comp, 75)
+            assert all(comp[i] != comp[j] and meets(i, j) for i, j in pairs)
+            true = [(i, j) for i in range(60) for j in range(i) if meets(i, j) and link(i, j)]
+            same = [(i, j) for i in range(60) for j in range(i) if comp[i] == comp[j]]
+            assert union([p for p in pairs if link(*p)] + same, range(60)) == union(true + same, range(60))
+
+
 def test_branches_keep_pairs_at_depth(spark):
     rng = np.random.default_rng(2)
     n, trees, levels = 1500, 2, 5
     a = rng.integers(0, 4, (n, trees * levels), dtype=np.uint32)
     b = np.where(rng.random(a.shape) < 0.7, a, rng.integers(0, 4, a.shape, dtype=np.uint32))
     sig = np.hstack([np.concatenate([a, b]), np.zeros((2 * n, 64), np.uint32)])
-    rows = [(i, 100, bytearray(r.tobytes()), i) for i, r in enumerate(sig)]
-    reps = spark.createDataFrame(rows, "id long, n_shingles long, sig binary, comp long")
+    digest = lambda i: np.arange(i % n * 200, i % n * 200 + 100, dtype=np.uint32).tobytes()  # noqa: E731  equal for a pair only
+    rows = [(i, 100, bytearray(r.tobytes()), i, bytearray(digest(i))) for i, r in enumerate(sig)]
+    reps = spark.createDataFrame(rows, "id long, n_shingles long, sig binary, comp long, digest binary")
     found = {tuple(r) for r in neardup._branches(reps, trees, levels, 75).collect()}
     assert sum((i, i + n) in found for i in range(n)) >= 0.8 * n  # one hash a level: 0.7 at most
