@@ -94,17 +94,21 @@ def _suffix(n: int) -> Column:
 
 
 def _ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Log ratios (key, value, weight) of seen 6-grams and of contexts."""
+    """Log ratios (key, value, weight) of seen 6-grams and of contexts.
+
+    Every order is written before the next one reads it: one plan over all orders would hold
+    dozens of shuffles at once on the driver.
+    """
     below = {ORDER: grams.select("g")}
     for n in range(ORDER - 1, 0, -1):  # continuations: distinct left extensions
-        below[n] = below[n + 1].groupBy(_suffix(n).alias("g")).agg(F.count("*").alias("k"))
+        below[n] = settle(below[n + 1].groupBy(_suffix(n).alias("g")).agg(F.count("*").alias("k")), "continuations")
     total = below[1].agg(F.sum("k").alias("all"))
     p = below[1].join(F.broadcast(total)).select("g", (F.col("k") / F.col("all")).alias("p"))  # 256 rows at most
     for n in range(2, ORDER):
         rows = below[n].withColumn("h", F.shiftright("g", 8)).withColumn("s", _suffix(n - 1))
         context = rows.groupBy("h").agg(F.sum("k").alias("all"), F.count("*").alias("kinds"))
-        p = (rows.join(context, "h").join(p.withColumnRenamed("g", "s"), "s")
-             .select("g", ((F.greatest(F.col("k") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("p")) / F.col("all")).alias("p")))
+        p = settle(rows.join(context, "h").join(p.withColumnRenamed("g", "s"), "s")
+                   .select("g", ((F.greatest(F.col("k") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("p")) / F.col("all")).alias("p")), "backoff")
     rows = grams.withColumn("h", F.shiftright("g", 8)).withColumn("s", _suffix(ORDER - 1))
     context = rows.groupBy("h").agg(*[x for c in "to" for x in (F.sum(c).alias(f"all_{c}"), F.sum((F.col(c) > 0).cast("long")).alias(f"kinds_{c}"))])
 
