@@ -1,18 +1,23 @@
 """Main text of web pages by wrapper induction.
 
-A few reference pages of each host are parsed and their DOM trees aligned by simple tree
-matching. Nodes that carry the same words on all aligned pages are the host's template, nodes
-whose words vary are its slots. The wrapper of a host is the set of its template nodes, known
-by place and text, and the place of its content: where the text of the slots is. Applied to a
-page, everything but the content slots falls away: template nodes outside the content, and
-inside it what is marked as no part of an article (menus, notices, adverts, comments).
+Pages of a host meet in runs, in which each DOM tree is aligned by simple tree matching with the
+first tree of the same layout. Every aligned node votes for its place (the labels from the root
+on) and for its place with its words, and Spark counts the votes of all pages of the host. Words
+that stand at a place on most of the pages which have that place are the host's template;
+nodes whose words vary are its slots. Applied to a page, template nodes fall away wherever they
+stand, inside the article too, and the slots that are left choose the content: elements that call
+themselves an article, if they hold a fair part of the slots' text, or else the deepest container
+that holds nearly all of it. Menus, forms, adverts and comments that are marked as such by
+element, role or class go as well; class words weigh less inside an article.
+
+Nothing recurses, so the depth of a page does not matter.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,9 +27,10 @@ from cohortspark.llm.dom import BLOCKS, RAW, Node, parse
 from cohortspark.llm.textops import arrow_limits
 from cohortspark.sources.stored import settle
 
-REFERENCES = 8  # pages of a host that its wrapper is induced from
-_HELD_BYTES = 32 << 20  # reference pages a task keeps before it passes them on
-_ALIGNED = 400  # children of a node that are aligned; longer lists repeat one kind of item
+RUN = 512  # pages of a host that are aligned in one run, about
+SEGMENT = 32  # children aligned at a time between anchors
+VOICES = 3  # different pages that must agree before words are template
+SHARE = 0.75  # of the pages that have a place hold the same words there
 _SPACE = re.compile(r"\s+")
 
 #: elements and marks that are no part of an article
@@ -35,6 +41,13 @@ _OUT_WORDS = frozenset(
     "breadcrumbs header masthead topbar footer sidebar aside widget widgets cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies respond "
     "pagination pager toolbar search searchbox copyright disclaimer skip".split())
+#: of these, one is enough inside an article
+_OUT_ANYWHERE = frozenset("ad ads advert adverts advertisement advertising adsense sponsored promo comment comments disqus cookie newsletter".split())
+#: words that say nothing about what a box holds
+_PLAIN_WORDS = frozenset(
+    "box block bar button buttons icon icons link links list item items container wrapper wrap inner outer top bottom left right area unit section group row col "
+    "posts articles stories user reader site page form slot".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt".split())
 _MAIN_WORDS = frozenset("article content story post entry body main text".split())
 _CONTAINERS = frozenset("html body div section main article td tr tbody table center".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -45,163 +58,226 @@ def _marks(node: Node) -> set[str]:
     return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower())) if len(text) > 1 else set()
 
 
-def _headline(node: Node) -> bool:
-    return any(isinstance(c, Node) and (c.tag in _HEADINGS or _headline(c)) for c in node.children)
-
-
-def _unwanted(node: Node, inside: bool) -> bool:
-    """No part of an article; ``inside``: of a known article, whose own header may stay."""
+def _unwanted(node: Node, inside: bool, headline: bool) -> bool:
+    """No part of an article. ``inside`` a known article its own header may stay, prose goes only by
+    the plainest marks, and a box only if nothing in its name speaks for it."""
     if node.tag in _OUT_TAGS or node.attrs.get("role", "").lower() in _OUT_ROLES or "hidden" in node.attrs:
         return True
     if node.attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", node.attrs.get("style", "")):
         return True
-    if node.tag in ("html", "body", "main", "article") and not {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo"} & _marks(node):
+    marks = _marks(node)
+    if node.tag in ("html", "body", "main", "article") and not {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo"} & marks:
         return False
-    if node.tag == "header" or "header" in _marks(node):
-        return not (inside and _headline(node))
-    return bool(_OUT_WORDS & _marks(node))
-
-
-def _text(node: Node) -> str:
-    """All words below a node."""
-    out: list[str] = []
-
-    def walk(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                out.append(c)
-            elif c.tag not in RAW:
-                walk(c)
-                if c.tag in BLOCKS:
-                    out.append(" ")
-
-    walk(node)
-    return _SPACE.sub(" ", "".join(out)).strip()
-
-
-def _key(path: str, text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode(), digest_size=8).digest(), "big", signed=True)
-
-
-def _elements(node: Node) -> list[Node]:
-    return [c for c in node.children if isinstance(c, Node)][:_ALIGNED]
-
-
-def _match(a: Node, b: Node, memo: dict) -> int:
-    """Size of the largest common top-down alignment of two trees (simple tree matching)."""
-    if a.label() != b.label():
-        return 0
-    found = memo.get((id(a), id(b)))
-    if found is None:
-        found = memo[id(a), id(b)] = 1 + _grid(_elements(a), _elements(b), memo)[-1][-1]
-    return found
-
-
-def _grid(x: list[Node], y: list[Node], memo: dict) -> list[list[int]]:
-    grid = [[0] * (len(y) + 1)]
-    for a in x:
-        last, row = grid[-1], [0]
-        for j, b in enumerate(y):
-            row.append(max(row[j], last[j + 1], last[j] + _match(a, b, memo)))
-        grid.append(row)
-    return grid
-
-
-def _aligned(a: Node, b: Node, memo: dict, out: list) -> None:
-    """Pairs of aligned nodes, from the matching's own choices."""
-    out.append((a, b))
-    x, y = _elements(a), _elements(b)
-    grid, i, j = _grid(x, y, memo), len(x), len(y)
-    while i and j:
-        gain = _match(x[i - 1], y[j - 1], memo)
-        if gain and grid[i][j] == grid[i - 1][j - 1] + gain:
-            _aligned(x[i - 1], y[j - 1], memo, out)
-            i, j = i - 1, j - 1
-        elif grid[i][j] == grid[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-
-
-def _placed(node: Node, path: str, out: list) -> None:
-    """(node, path) top down; a path names labels, not positions."""
-    here = f"{path}/{node.label()}"
-    out.append((node, here))
-    for c in node.children:
-        if isinstance(c, Node) and c.tag not in RAW:
-            _placed(c, here, out)
-
-
-def induce(pages: list[str]) -> tuple[list[int], str]:
-    """(template keys, path of the content) of a host from its reference pages.
-
-    A single page has no template. The content is the deepest container that holds nine tenths
-    of the text of the slots, so that a paragraph which all pages share stays with its article.
+    if node.tag == "header" or "header" in marks:
+        return not (inside and headline)
+    if not inside or not marks & _OUT_WORDS:
+        return bool(marks & _OUT_WORDS)
+    if node.tag in _PROSE:
+        return marks <= _OUT_ANYWHERE | _PLAIN_WORDS
+    return bool(marks & _OUT_ANYWHERE) or marks <= _OUT_WORDS | _PLAIN_WORDS
+
+
+def _digest(*parts) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+class Tree:
+    """A page's elements top down, as columns; inline elements belong to the words of their block."""
+
+    def __init__(self, page: str):
+        self.nodes, self.parent = [], []
+        stack = [(parse(page), -1)]
+        while stack:
+            node, parent = stack.pop()
+            i = len(self.nodes)
+            self.nodes.append(node)
+            self.parent.append(parent)
+            stack += [(c, i) for c in reversed(node.children) if isinstance(c, Node) and c.tag not in RAW]
+        n = len(self.nodes)
+        self.block = [node.tag in BLOCKS or i == 0 for i, node in enumerate(self.nodes)]
+        self.headline, self.chars, self.size = [False] * n, [0] * n, [1] * n
+        self.digest, self.children = [0] * n, [[] for _ in range(n)]
+        own = {id(node): i for i, node in enumerate(self.nodes)}
+        for i in range(n - 1, -1, -1):  # children come after their parents
+            words = []
+            for c in self.nodes[i].children:
+                if isinstance(c, str):
+                    if text := " ".join(c.split()):
+                        words.append(text)
+                        self.chars[i] += len(text)
+                elif (j := own.get(id(c))) is not None and self.digest[j]:
+                    words.append(self.digest[j])
+                    if not self.block[j]:
+                        self.chars[i] += self.chars[j]
+            if words:
+                self.digest[i] = _digest(*words)
+            if (p := self.parent[i]) >= 0:
+                self.headline[p] |= self.headline[i] or self.nodes[i].tag in _HEADINGS
+                self.block[p] |= self.block[i]
+                if self.block[i]:
+                    self.size[p] += self.size[i]
+                    self.children[p].append(i)
+        self.label = [node.label() if b else "" for node, b in zip(self.nodes, self.block)]
+        self.path, self.key = [0] * n, [0] * n
+        for i in range(n):
+            self.children[i].reverse()
+            if self.block[i]:
+                self.path[i] = _digest(self.path[self.parent[i]] if i else "", self.label[i])
+                self.key[i] = _digest(self.path[i], self.digest[i]) if self.digest[i] else 0
+
+    def layout(self) -> int:
+        """Pages of one layout have the same kinds of elements near the root."""
+        depth, kinds = [0] * len(self.nodes), set()
+        for i in range(1, len(self.nodes)):
+            depth[i] = depth[self.parent[i]] + 1
+            if self.block[i] and depth[i] <= 3:
+                kinds.add(self.path[i])
+        return _digest(*sorted(kinds))
+
+    def voice(self) -> int:
+        """The three longest blocks of words: pages that agree in them are copies and vote once."""
+        blocks = {self.digest[i]: self.chars[i] for i in range(len(self.nodes)) if self.block[i] and self.chars[i]}
+        return _digest(*sorted(blocks, key=lambda d: (-blocks[d], d))[:3])
+
+
+def _segments(a: Tree, x: list[int], b: Tree, y: list[int]):
+    """Pieces of two lists of children that may be aligned: cut where both hold the same words
+    once, longest ascending run of such anchors, and long pieces in proportion."""
+    def cut(x, y):
+        parts = max(-(-len(x) // SEGMENT), -(-len(y) // SEGMENT))
+        for k in range(parts):
+            yield x[k * len(x) // parts : (k + 1) * len(x) // parts], y[k * len(y) // parts : (k + 1) * len(y) // parts]
+
+    if len(x) <= SEGMENT and len(y) <= SEGMENT:
+        yield x, y
+        return
+    places: list[dict] = []
+    for tree, z in ((a, x), (b, y)):
+        once: dict = {}
+        for at, i in enumerate(z):
+            name = tree.label[i], tree.digest[i]
+            once[name] = -1 if name in once else at
+        places.append({k: v for k, v in once.items() if v >= 0})
+    pairs = [(at, places[1][k]) for k, at in places[0].items() if k in places[1]]
+    ends, tails, before = [], [], [-1] * len(pairs)
+    for i, (_, at) in enumerate(pairs):
+        k = bisect_left(ends, at)
+        ends[k : k + 1], tails[k : k + 1] = [at], [i]
+        before[i] = tails[k - 1] if k else -1
+    chain, i = [], tails[-1] if tails else -1
+    while i >= 0:
+        chain.append(pairs[i])
+        i = before[i]
+    p = q = 0
+    for i, j in [*reversed(chain), (len(x), len(y))]:
+        yield from cut(x[p:i], y[q:j])
+        if i < len(x):
+            yield [x[i]], [y[j]]
+        p, q = i + 1, j + 1
+
+
+def aligned(a: Tree, b: Tree) -> list[tuple[int, int]]:
+    """Simple tree matching: the largest common top-down, ordered alignment of two trees' blocks.
+
+    Pairs of equally labelled children of pairs are listed level by level, weighed from the
+    deepest level up, and the best ones followed from the root down.
     """
-    distinct = list(dict.fromkeys(pages))
-    if len(distinct) < 2:
-        return [], ""
-    trees = [parse(p) for p in distinct]
-    base = trees[0]
-    same, met = Counter(), Counter()
-    for other in trees[1:]:
-        pairs: list = []
-        _aligned(base, other, {}, pairs)
-        for a, b in pairs:
-            met[id(a)] += 1
-            same[id(a)] += _text(a) == _text(b)
-    places: list = []
-    _placed(base, "", places)
-    fixed = {i for i, n in met.items() if n == len(trees) - 1 == same[i]}
-    keys = [_key(path, text) for node, path in places if id(node) in fixed and (text := _text(node))]
-    free: dict[int, int] = {}  # characters of slots below each node
-
-    def slots(n: Node) -> int:
-        if id(n) in fixed or n.tag in RAW or _unwanted(n, False):
-            free[id(n)] = 0
-        else:
-            free[id(n)] = sum(len(c.strip()) if isinstance(c, str) else slots(c) for c in n.children)
-        return free[id(n)]
-
-    whole = slots(base)
-    content = max((p for n, p in places if whole and n.tag in _CONTAINERS and 10 * free.get(id(n), 0) >= 9 * whole), key=len, default="")
-    return sorted(set(keys)), content
-
-
-def _main(node: Node, content: str) -> Node | None:
-    """The article of a page: by element, by mark, or at the wrapper's place."""
-    best: dict[int, tuple[int, Node]] = {}
-
-    def offer(rank: int, n: Node) -> None:
-        size = len(_text(n))
-        if size > best.get(rank, (0, None))[0]:
-            best[rank] = size, n
-
-    def walk(n: Node, path: str) -> None:
-        here = f"{path}/{n.label()}"
-        for c in n.children:
-            if not isinstance(c, Node) or _unwanted(c, False):
-                continue
-            if c.tag == "article" or c.attrs.get("itemprop", "").lower() == "articlebody":
-                offer(0, c)
+    if a.label[0] != b.label[0]:
+        return []
+    levels = [[(0, 0)]]
+    pieces: dict = {}
+    while levels[-1]:
+        below = []
+        for i, j in levels[-1]:
+            if a.digest[i] == b.digest[j] and a.size[i] == b.size[j]:
+                continue  # equal: aligned node by node below
+            pieces[i, j] = list(_segments(a, a.children[i], b, b.children[j]))
+            below += [(u, v) for x, y in pieces[i, j] for u in x for v in y if a.label[u] == b.label[v]]
+        levels.append(below)
+    weight: dict = {}
+    grids: dict = {}
+    for level in reversed(levels):
+        for pair in level:
+            if pair not in pieces:
+                weight[pair] = a.size[pair[0]]
                 continue
-            if c.tag == "main" or c.attrs.get("role", "").lower() == "main":
-                offer(1, c)
-            elif content and f"{here}/{c.label()}" == content:
-                offer(2, c)
-            elif c.tag in ("div", "section", "td") and _MAIN_WORDS & _marks(c):
-                offer(3, c)
-            walk(c, here)
-
-    walk(node, "")
-    for rank in range(4):
-        if rank in best and (rank < 3 or 2 * best[rank][0] >= len(_text(node))):
-            return best[rank][1]
-    return None
-
-
-def _blocks(root: Node, template: frozenset[int], inside: bool, path: str) -> list[str]:
-    lines: list[str] = []
+            total, grids[pair] = 1, []
+            for x, y in pieces[pair]:
+                grid = [[0] * (len(y) + 1)]
+                for u in x:
+                    last, row = grid[-1], [0]
+                    for k, v in enumerate(y):
+                        row.append(max(row[k], last[k + 1], last[k] + weight.get((u, v), 0)))
+                    grid.append(row)
+                total += grid[-1][-1]
+                grids[pair].append(grid)
+            weight[pair] = total
+    out, todo = [], [(0, 0)]
+    while todo:
+        pair = todo.pop()
+        out.append(pair)
+        if pair not in pieces:
+            x, y = a.children[pair[0]], b.children[pair[1]]
+            todo += [(u, v) for u, v in zip(x, y) if a.label[u] == b.label[v] and a.digest[u] == b.digest[v] and a.size[u] == b.size[v]]
+            continue
+        for (x, y), grid in zip(pieces[pair], grids[pair]):
+            i, j = len(x), len(y)
+            while i and j:
+                gain = weight.get((x[i - 1], y[j - 1]), 0)
+                if gain and grid[i][j] == grid[i - 1][j - 1] + gain:
+                    i, j = i - 1, j - 1
+                    todo.append((x[i], y[j]))
+                elif grid[i][j] == grid[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+    return out
+
+
+def votes(reference: Tree, tree: Tree) -> list[tuple[int, int | None]]:
+    """(place, None) and (place with its words, place) of the nodes aligned with the reference."""
+    found = {j for _, j in aligned(reference, tree)}
+    return list({v for j in found if tree.key[j] and tree.nodes[j].tag not in ("#root", "html", "body")
+                 for v in ((tree.path[j], None), (tree.key[j], tree.path[j]))})
+
+
+def _roots(tree: Tree, template: frozenset[int]) -> list[int] | None:
+    """Where the content is; ``[]`` for the whole page, ``None`` if no text is left."""
+    n = len(tree.nodes)
+    gone, slots = [False] * n, [0] * n
+    for i, node in enumerate(tree.nodes):
+        gone[i] = i > 0 and (gone[tree.parent[i]] or (tree.block[i] and tree.key[i] in template) or _unwanted(node, False, tree.headline[i]))
+    for i in range(n - 1, -1, -1):
+        if not gone[i]:
+            slots[i] += tree.chars[i] if tree.block[i] else 0
+            if i:
+                slots[tree.parent[i]] += slots[i]
+    whole = slots[0]
+    if not whole:
+        return None
+    kinds = [
+        lambda node: node.tag == "article" or node.attrs.get("itemprop", "").lower() == "articlebody",
+        lambda node: node.tag == "main" or node.attrs.get("role", "").lower() == "main",
+    ]
+    for kind in kinds:
+        held, roots = [False] * n, []
+        for i, node in enumerate(tree.nodes):
+            held[i] = i > 0 and held[tree.parent[i]]
+            if not held[i] and not gone[i] and kind(node):
+                held[i] = True
+                roots.append(i)
+        if 4 * sum(slots[i] for i in roots) >= whole:
+            return roots
+    named = [i for i, node in enumerate(tree.nodes) if not gone[i] and node.tag in ("div", "section", "td") and _MAIN_WORDS & _marks(node)]
+    best = max(named, key=lambda i: slots[i], default=0)
+    if best and 2 * slots[best] >= whole:
+        return [best]
+    if template:
+        return [max(i for i, node in enumerate(tree.nodes) if i == 0 or (node.tag in _CONTAINERS and 10 * slots[i] >= 9 * whole))]
+    return []
+
+
+def _blocks(tree: Tree, root: int, template: frozenset[int], inside: bool, lines: list[str]) -> None:
     run: list[str] = []
 
     def flush() -> None:
@@ -210,69 +286,75 @@ def _blocks(root: Node, template: frozenset[int], inside: bool, path: str) -> li
         if text:
             lines.append(text)
 
-    def walk(n: Node, path: str) -> None:
-        here = f"{path}/{n.label()}"
-        for c in n.children:
-            if isinstance(c, str):
-                run.append(c)
-                continue
-            if c.tag == "br":
-                run.append(" ")
-                continue
-            block = c.tag in BLOCKS
-            if block:
+    number = {id(node): i for i, node in enumerate(tree.nodes)}
+    stack: list = [(tree.nodes[root], 0)]
+    while stack:
+        node, at = stack.pop()
+        if at == len(node.children):
+            if node.tag in BLOCKS:
                 flush()
-            if not _unwanted(c, inside) and not (template and not inside and block and c.tag not in ("html", "body")
-                                                 and _key(f"{here}/{c.label()}", _text(c)) in template):
-                walk(c, here)
-            if block:
+            continue
+        stack.append((node, at + 1))
+        c = node.children[at]
+        if isinstance(c, str):
+            run.append(c)
+        elif c.tag == "br":
+            run.append(" ")
+        else:
+            if c.tag in BLOCKS:
                 flush()
-
-    walk(root, path)
+            i = number.get(id(c))
+            if i is not None and not _unwanted(c, inside, tree.headline[i]) and not (tree.block[i] and tree.key[i] in template):
+                stack.append((c, 0))
     flush()
-    return lines
 
 
-def extract(page: str, template: frozenset[int] = frozenset(), content: str = "") -> str:
-    """The main text of one page under its host's wrapper."""
-    tree = parse(page)
-    article = _main(tree, content)
-    return "\n".join(_blocks(tree, template, False, "") if article is None else _blocks(article, template, True, ""))
+def extract(page: str, template: frozenset[int] = frozenset()) -> str:
+    """The main text of one page under its host's wrapper; a page that is all template has none."""
+    tree = Tree(page)
+    roots = _roots(tree, template)
+    if roots is None and template:
+        template = frozenset()
+        roots = _roots(tree, template)
+    lines: list[str] = []
+    for root in roots or [0]:
+        _blocks(tree, root, template, bool(roots), lines)
+    return "\n".join(lines)
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def _references(pages: DataFrame) -> DataFrame:
-    """(host, part, rank, html): for each host and part of the hash space its first page."""
-
-    def run(batches):
-        held: dict[tuple, tuple] = {}
-        size = 0
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, template) of pages (host, html), from the votes of all pages with a host.
 
-        def flush():
-            rows = [(*k, *v) for k, v in held.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.string()))],
-                                              ["host", "part", "rank", "html"])
+    A big host is cut into runs of about ``RUN`` pages by a hash of the page, and each run has
+    references of its own, so no host fills a task and no single odd page decides.
+    """
+    pages = pages.filter("html is not null and html <> '' and host <> ''").select("host", "html", F.xxhash64("html").alias("h"))
+    sizes = pages.groupBy("host").agg(F.ceil(F.count("*") / RUN).alias("runs")).filter("runs > 1")
+    placed = pages.join(sizes, "host", "left").withColumn("run", F.pmod("h", F.coalesce("runs", F.lit(1))))
 
+    def vote(batches):
+        run, references = None, {}
         for batch in batches:
-            hosts, ranks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (host, rank) in enumerate(zip(hosts, ranks)):
-                key = host, rank % REFERENCES
-                if key not in held or rank < held[key][0]:
-                    page = batch.column(2)[i].as_py()
-                    size += len(page) - (len(held[key][1]) if key in held else 0)
-                    held[key] = rank, page
-            if size > _HELD_BYTES:
-                yield flush()
-                held, size = {}, 0
-        if held:
-            yield flush()
-
-    some = pages.filter("html is not null and host <> ''").select("host", F.xxhash64("page", "html").alias("rank"), "html")
-    firsts = some.mapInArrow(run, "host string, part int, rank bigint, html string")
-    return firsts.groupBy("host", "part").agg(F.min(F.struct("rank", "html")).alias("r")).select("host", "part", "r.*")
+            out = []
+            for host, number, page in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2)):
+                if (host, number) != run:
+                    run, references = (host, number), {}
+                tree = Tree(page.as_py())
+                voice = tree.voice()
+                out += [(host, key, place, voice) for key, place in votes(references.setdefault(tree.layout(), tree), tree)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "key", "place", "voice"])
+
+    cast = placed.repartition("host", "run").sortWithinPartitions("host", "run", "h").select("host", "run", "html").mapInArrow(
+        vote, "host string, key long, place long, voice long")
+    counts = settle(cast.distinct().groupBy("host", "key", "place").agg(F.count("*").alias("n")).filter(F.col("n") >= VOICES), "votes")
+    places = counts.filter("place is null").select("host", F.col("key").alias("place"), F.col("n").alias("pages"))
+    template = counts.filter("place is not null").join(places, ["host", "place"]).filter(F.col("n") >= SHARE * F.col("pages"))
+    return settle(template.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("template")), "wrappers")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -280,43 +362,26 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     The text has one line per block of the article, white space inside a block made one
     space, character references decoded. A null page, and one without text outside menus and
-    the like, has an empty text. Pages without a host in their url have no wrapper; repeated
-    rows are extracted alike; other columns are ignored.
+    the like, has an empty text. Pages without a host in their url, and hosts with fewer than
+    ``VOICES`` different pages, have no wrapper. Repeated rows and copies of a page vote once
+    and are extracted alike; other columns are ignored; an empty table gives an empty result.
     """
     arrow_limits(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col).cast("string")).alias("host"))
 
-    def learn(batches):
-        host, held = None, []
-        out = []
-        for batch in batches:
-            for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if h != host:
-                    if held:
-                        out.append((host, *induce(held)))
-                    host, held = h, []
-                held.append(page)
-        if held:
-            out.append((host, *induce(held)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.list_(pa.int64()), pa.string()))], ["host", "template", "content"])
-
-    wrappers = settle(_references(rows).repartition("host").sortWithinPartitions("host", "part").select("host", "html").mapInArrow(
-        learn, "host string, template array<bigint>, content string"), "wrappers")
-
     def apply(batches):
         known: dict = {}
         for batch in batches:
             out = []
-            hosts, templates, contents = (batch.column(i).to_pylist() if i != 1 else batch.column(i) for i in range(3))
-            for i, page in enumerate(batch.column(3).to_pylist()):
+            hosts = batch.column(0).to_pylist()
+            for i, page in enumerate(batch.column(2)):
                 if hosts[i] not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[hosts[i]] = frozenset(templates[i].as_py() or ())
-                out.append(extract(page, known[hosts[i]], contents[i] or "") if page else "")
-            yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(5), pa.array(out, pa.string())], ["page", "url", "text"])
+                    known[hosts[i]] = frozenset(batch.column(1)[i].as_py() or ())
+                out.append(extract(text, known[hosts[i]]) if (text := page.as_py()) else "")
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), pa.array(out, pa.string())], ["page", "url", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    joined = rows.join(wrappers, "host", "left").select("host", "template", "content", "html", "page", "url")
+    joined = rows.join(wrappers(rows), "host", "left").select("host", "template", "html", "page", "url")
     return joined.mapInArrow(apply, f"page {kinds['page']}, url {kinds['url']}, text string").toDF(id_col, url_col, "text")

@@ -238,11 +238,11 @@ def test_main_text(spark):
     assert extraction.main_texts(df).count() == len(rows) and extraction.main_texts(df.limit(0)).count() == 0
 
 
-def test_wrapper_finds_slots_without_marks():
+def test_wrapper_finds_slots_without_marks(spark):
     page = "<body><div><p>Our shop since 1990, open daily</p></div><div><div><p>%s</p><p>%s</p></div></div><div><p>Imprint and contact</p></div></body>"
     pages = [page % (f"story {i} about something long enough to matter", f"and it goes on for a while in part {i}") for i in range(4)]
-    keys, content = extraction.induce(pages)
-    got = extraction.extract(pages[2], frozenset(keys), content)
+    keys = extraction.wrappers(spark.createDataFrame([("h", p) for p in pages], "host string, html string")).first()["template"]
+    got = extraction.extract(pages[2], frozenset(keys))
     assert got == "story 2 about something long enough to matter\nand it goes on for a while in part 2"
 
 
@@ -310,3 +310,73 @@ def test_toxicity_of_odd_tables(spark, docs):
     assert kept.columns == docs([]).columns + ["s"]
     assert toxicity.rated(docs([]), labels).count() == 0
     assert {r["score"] for r in toxicity.rated(docs(rows), labels.limit(0)).collect()} == {0.5}
+
+
+def host_page(i, notice="<div class='x1'>Join our club today and never miss a thing.</div>"):
+    return (f"<html><body><div class='top'>Our site</div><article><h1>Title {i}</h1><p>First {i} words.</p>{notice}<p class='skip'>Second {i} words.</p>"
+            f"<section class='social history'><p>Third {i}.</p></section><div id='related-work'>Fourth {i}</div></article>"
+            f"<article><p>Another part {i}.</p></article><div class='end'>All rights</div></body></html>")
+
+
+def host_text(i):
+    return f"Title {i}\nFirst {i} words.\nSecond {i} words.\nThird {i}.\nFourth {i}\nAnother part {i}."
+
+
+def test_wrapper_inside_the_article(spark):
+    """Host-constant blocks go inside the article too, other layouts and copies do not stop that, all parts stay in order."""
+    rows = [(i, f"http://h.example/{i}", host_page(i)) for i in range(12)] + [(100 + i, f"http://h.example/odd{i}", f"<div><p>Odd {i} page</p></div>") for i in range(3)]
+    rows += [(200 + i, "http://copies.example/", host_page(7)) for i in range(5)] + [(300 + i, f"http://two.example/{i}", host_page(i)) for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in extraction.main_texts(df).collect()}
+    assert all(got[i] == host_text(i) for i in range(12))
+    assert all(got[100 + i] == f"Odd {i} page" for i in range(3))
+    club = host_text(7).replace("Second", "Join our club today and never miss a thing.\nSecond")
+    assert {got[200 + i] for i in range(5)} == {club}  # copies are one voice
+    assert "Join our club" in got[300] and "Join our club" in got[301]  # two voices are not enough
+
+
+def test_wrapper_votes_by_brute_force(spark):
+    """On pages whose nodes all align, the template is what most pages with a place hold there."""
+    pages = [host_page(i, f"<div class='x1'>Notice {i % 10 // 9}</div>") for i in range(20)]
+    trees = [extraction.Tree(p) for p in pages]
+    want = set()
+    for place in {p for t in trees for p in t.path if p}:
+        with_it = [{t.key[i] for i, p in enumerate(t.path) if p == place and t.key[i] and t.nodes[i].tag not in ("#root", "html", "body")} for t in trees]
+        for key in set().union(*with_it):
+            n, of = sum(key in w for w in with_it), sum(bool(w) for w in with_it)
+            if n >= extraction.VOICES and n >= extraction.SHARE * of:
+                want.add(key)
+    df = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
+    assert set(extraction.wrappers(df).first()["template"]) == want and len(want) == 3
+
+
+def test_matching_is_the_largest():
+    """Simple tree matching against its recursive definition."""
+    rng = random.Random(5)
+
+    def page(depth):
+        return "".join(f"<{t}>{page(depth - 1) if depth else rng.choice('abc')}</{t}>" for t in rng.choices(["div", "section", "ul"], k=rng.randint(0, 3)))
+
+    def best(a, i, b, j):
+        if a.label[i] != b.label[j]:
+            return 0
+        grid = [[0] * (len(b.children[j]) + 1)]
+        for u in a.children[i]:
+            row = [0]
+            for k, v in enumerate(b.children[j]):
+                row.append(max(row[k], grid[-1][k + 1], grid[-1][k] + best(a, u, b, v)))
+            grid.append(row)
+        return 1 + grid[-1][-1]
+
+    for _ in range(150):
+        a, b = extraction.Tree(page(3)), extraction.Tree(page(3))
+        pairs = extraction.aligned(a, b)
+        assert len(pairs) == len(set(pairs)) == best(a, 0, b, 0)
+        assert all(a.path[i] == b.path[j] for i, j in pairs)
+
+
+def test_deep_and_long_pages():
+    assert extraction.extract("<b>" * 5000 + "x") == "x"
+    assert extraction.extract("<div>" * 5000 + "<p>hi") == "hi"
+    a, b = (extraction.Tree("".join(f"<p>word {i}</p>" for i in range(3000)) + f"<div>{x}<i>x</i></div><p>last</p>") for x in "ab")
+    assert len(extraction.aligned(a, b)) == 3003
