@@ -19,6 +19,7 @@ import hashlib
 import re
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,17 +100,21 @@ class Tree:
         self.digest, self.children = [0] * n, [[] for _ in range(n)]
         own = {id(node): i for i, node in enumerate(self.nodes)}
         for i in range(n - 1, -1, -1):  # children come after their parents
-            words = []
+            words, some = [], False
             for c in self.nodes[i].children:
                 if isinstance(c, str):
                     if text := " ".join(c.split()):
                         words.append(text)
+                        some = True
                         self.chars[i] += len(text)
-                elif (j := own.get(id(c))) is not None and self.digest[j]:
-                    words.append(self.digest[j])
-                    if not self.block[j]:
+                elif (j := own.get(id(c))) is not None:
+                    some |= self.digest[j] != 0
+                    if self.block[j]:
+                        words.append((c.label(), self.size[j], self.digest[j]))
+                    elif self.digest[j]:
+                        words.append(self.digest[j])
                         self.chars[i] += self.chars[j]
-            if words:
+            if some:
                 self.digest[i] = _digest(*words)
             if (p := self.parent[i]) >= 0:
                 self.headline[p] |= self.headline[i] or self.nodes[i].tag in _HEADINGS
@@ -123,7 +128,15 @@ class Tree:
             self.children[i].reverse()
             if self.block[i]:
                 self.path[i] = _digest(self.path[self.parent[i]] if i else "", self.label[i])
-                self.key[i] = _digest(self.path[i], self.digest[i]) if self.digest[i] else 0
+                if self.digest[i] and self.nodes[i].tag not in ("#root", "html", "body"):
+                    self.key[i] = _digest(self.path[i], self.digest[i])
+
+    def shape(self) -> bytes:
+        """What :class:`Shape` needs of the blocks: 32 bytes each, however long their words."""
+        blocks = [i for i in range(len(self.nodes)) if self.block[i]]
+        number = {i: k for k, i in enumerate(blocks)} | {-1: -1}
+        columns = ([self.path[i] for i in blocks], [self.digest[i] for i in blocks], [self.key[i] for i in blocks], [number[self.parent[i]] for i in blocks])
+        return np.array(columns, np.int64).tobytes()
 
     def layout(self) -> int:
         """Pages of one layout have the same kinds of elements near the root."""
@@ -140,7 +153,19 @@ class Tree:
         return _digest(*sorted(blocks, key=lambda d: (-blocks[d], d))[:3])
 
 
-def _segments(a: Tree, x: list[int], b: Tree, y: list[int]):
+class Shape:
+    """The blocks of a page without their words, top down."""
+
+    def __init__(self, shape: bytes):
+        self.path, self.digest, self.key, parent = np.frombuffer(shape, np.int64).reshape(4, -1).tolist()
+        self.size, self.children = [1] * len(parent), [[] for _ in parent]
+        for i in range(len(parent) - 1, 0, -1):
+            self.size[parent[i]] += self.size[i]
+        for i in range(1, len(parent)):
+            self.children[parent[i]].append(i)
+
+
+def _segments(a: Shape, x: list[int], b: Shape, y: list[int]):
     """Pieces of two lists of children that may be aligned: cut where both hold the same words
     once, longest ascending run of such anchors, and long pieces in proportion."""
     def cut(x, y):
@@ -155,7 +180,7 @@ def _segments(a: Tree, x: list[int], b: Tree, y: list[int]):
     for tree, z in ((a, x), (b, y)):
         once: dict = {}
         for at, i in enumerate(z):
-            name = tree.label[i], tree.digest[i]
+            name = tree.path[i], tree.digest[i]
             once[name] = -1 if name in once else at
         places.append({k: v for k, v in once.items() if v >= 0})
     pairs = [(at, places[1][k]) for k, at in places[0].items() if k in places[1]]
@@ -176,23 +201,22 @@ def _segments(a: Tree, x: list[int], b: Tree, y: list[int]):
         p, q = i + 1, j + 1
 
 
-def aligned(a: Tree, b: Tree) -> list[tuple[int, int]]:
+def aligned(a: Shape | Tree, b: Shape | Tree) -> list[tuple[int, int]]:
     """Simple tree matching: the largest common top-down, ordered alignment of two trees' blocks.
 
     Pairs of equally labelled children of pairs are listed level by level, weighed from the
-    deepest level up, and the best ones followed from the root down.
+    deepest level up, and the best ones followed from the root down. Below a pair, equal paths
+    are equal labels.
     """
-    if a.label[0] != b.label[0]:
-        return []
     levels = [[(0, 0)]]
     pieces: dict = {}
     while levels[-1]:
         below = []
         for i, j in levels[-1]:
-            if a.digest[i] == b.digest[j] and a.size[i] == b.size[j]:
+            if a.digest[i] and a.digest[i] == b.digest[j] and a.size[i] == b.size[j]:
                 continue  # equal: aligned node by node below
             pieces[i, j] = list(_segments(a, a.children[i], b, b.children[j]))
-            below += [(u, v) for x, y in pieces[i, j] for u in x for v in y if a.label[u] == b.label[v]]
+            below += [(u, v) for x, y in pieces[i, j] for u in x for v in y if a.path[u] == b.path[v]]
         levels.append(below)
     weight: dict = {}
     grids: dict = {}
@@ -218,7 +242,7 @@ def aligned(a: Tree, b: Tree) -> list[tuple[int, int]]:
         out.append(pair)
         if pair not in pieces:
             x, y = a.children[pair[0]], b.children[pair[1]]
-            todo += [(u, v) for u, v in zip(x, y) if a.label[u] == b.label[v] and a.digest[u] == b.digest[v] and a.size[u] == b.size[v]]
+            todo += [(u, v) for u, v in zip(x, y) if a.path[u] == b.path[v]]
             continue
         for (x, y), grid in zip(pieces[pair], grids[pair]):
             i, j = len(x), len(y)
@@ -234,11 +258,10 @@ def aligned(a: Tree, b: Tree) -> list[tuple[int, int]]:
     return out
 
 
-def votes(reference: Tree, tree: Tree) -> list[tuple[int, int | None]]:
-    """(place, None) and (place with its words, place) of the nodes aligned with the reference."""
-    found = {j for _, j in aligned(reference, tree)}
-    return list({v for j in found if tree.key[j] and tree.nodes[j].tag not in ("#root", "html", "body")
-                 for v in ((tree.path[j], None), (tree.key[j], tree.path[j]))})
+def votes(reference: Shape | Tree, page: Shape | Tree) -> set[tuple[int, int | None]]:
+    """(place, None) and (place with its words, place) of the page's nodes aligned with the reference."""
+    found = [j for _, j in aligned(reference, page) if page.key[j]]
+    return {(page.path[j], None) for j in found} | {(page.key[j], page.path[j]) for j in found}
 
 
 def _roots(tree: Tree, template: frozenset[int]) -> list[int] | None:
@@ -330,26 +353,34 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """(host, template) of pages (host, html), from the votes of all pages with a host.
 
     A big host is cut into runs of about ``RUN`` pages by a hash of the page, and each run has
-    references of its own, so no host fills a task and no single odd page decides.
+    references of its own, so no host fills a task and no single odd page decides. Only shapes
+    are shuffled.
     """
     pages = pages.filter("html is not null and html <> '' and host <> ''").select("host", "html", F.xxhash64("html").alias("h"))
-    sizes = pages.groupBy("host").agg(F.ceil(F.count("*") / RUN).alias("runs")).filter("runs > 1")
-    placed = pages.join(sizes, "host", "left").withColumn("run", F.pmod("h", F.coalesce("runs", F.lit(1))))
+    sizes = settle(pages.groupBy("host").agg(F.ceil(F.count("*") / RUN).alias("runs")).filter("runs > 1"), "hosts")
+
+    def outline(batches):
+        for batch in batches:
+            trees = [Tree(page.as_py()) for page in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array([t.layout() for t in trees], pa.int64()), pa.array([t.voice() for t in trees], pa.int64()),
+                 pa.array([t.shape() for t in trees], pa.binary())], ["host", "h", "layout", "voice", "shape"])
 
     def vote(batches):
         run, references = None, {}
         for batch in batches:
             out = []
-            for host, number, page in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2)):
+            for host, number, layout, voice, shape in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
                 if (host, number) != run:
                     run, references = (host, number), {}
-                tree = Tree(page.as_py())
-                voice = tree.voice()
-                out += [(host, key, place, voice) for key, place in votes(references.setdefault(tree.layout(), tree), tree)]
+                page = Shape(shape.as_py())
+                out += [(host, key, place, voice) for key, place in votes(references.setdefault(layout, page), page)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "key", "place", "voice"])
 
-    cast = placed.repartition("host", "run").sortWithinPartitions("host", "run", "h").select("host", "run", "html").mapInArrow(
+    shapes = pages.mapInArrow(outline, "host string, h long, layout long, voice long, shape binary")
+    placed = shapes.join(sizes, "host", "left").withColumn("run", F.pmod("h", F.coalesce("runs", F.lit(1))))
+    cast = placed.repartition("host", "run").sortWithinPartitions("host", "run", "h").select("host", "run", "layout", "voice", "shape").mapInArrow(
         vote, "host string, key long, place long, voice long")
     counts = settle(cast.distinct().groupBy("host", "key", "place").agg(F.count("*").alias("n")).filter(F.col("n") >= VOICES), "votes")
     places = counts.filter("place is null").select("host", F.col("key").alias("place"), F.col("n").alias("pages"))
