@@ -69,14 +69,14 @@ def _paths(words: Words, width: int) -> tuple[np.ndarray, ...]:
 def path_rows(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, words in each_block(batch.column(1)):
+            for lo, hi, words in each_block(batch.column(2)):
                 m, c, row, at, n = _paths(words, width)
+                anonymous, ids = (batch.column(i).slice(lo, hi - lo).take(pa.array(row)) for i in range(2))
                 yield pa.RecordBatch.from_arrays(
-                    [signed(m), signed(c), ids.slice(lo, hi - lo).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["m", "c", "id", "at", "n"])
+                    [signed(m), signed(c), anonymous, ids, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["m", "c", "anonymous", "id", "at", "n"])
 
-    return docs.mapInArrow(run, "m long, c long, id long, at int, n int")
+    return docs.select("anonymous", "id", "text").mapInArrow(run, "m long, c long, anonymous boolean, id long, at int, n int")
 
 
 def _unroll(docs: DataFrame, sources: DataFrame, width: int) -> DataFrame:
@@ -105,8 +105,8 @@ def _unroll(docs: DataFrame, sources: DataFrame, width: int) -> DataFrame:
                         ["m", "c", "i", "w"])
                     m, c, i, win = [], [], [], []
 
-    listed = sources.groupBy("id").agg(F.collect_list(F.struct("m", "c", "at", "n")).alias("places"))
-    return docs.join(listed, "id").select("id", "text", "places").mapInArrow(run, "m long, c long, i int, w long")
+    listed = sources.groupBy("anonymous", "id").agg(F.collect_list(F.struct("m", "c", "at", "n")).alias("places"))
+    return docs.join(listed, ["anonymous", "id"]).select("id", "text", "places").mapInArrow(run, "m long, c long, i int, w long")
 
 
 def _strip(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -150,24 +150,26 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result.
     """
     arrow_limits(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text, id_ = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    docs = docs.select(id_.isNull().alias("anonymous"), F.coalesce(id_, F.xxhash64(text)).alias("id"), text.alias("text"))
     paths = path_rows(docs, width)
     per = paths.groupBy("m").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("size > 1")
     per = settle(per, "minimisers")  # both sides of the join are plain exchanges then, which Spark can split
     shared = settle(paths.join(per.select("m", (F.col("lo") != F.col("hi")).alias("branching")), "m"), "paths")
     branching = (shared.filter("branching").groupBy("m", "c")
-                 .agg(F.count("*").alias("copies"), F.min(F.struct("id", "at", "n")).alias("s")).select("m", "c", "copies", "s.*"))
+                 .agg(F.count("*").alias("copies"), F.min(F.struct("anonymous", "id", "at", "n")).alias("s")).select("m", "c", "copies", "s.*"))
     branching = settle(branching, "branching")
     windows = settle(_unroll(docs, branching, width), "windows")
     again = windows.groupBy("m", "w").agg(F.count("*").alias("seen")).filter("seen > 1")
-    alone = branching.filter("copies = 1").select("m", "c", "id", "at")  # paths with copies are repeated as they are
+    alone = branching.filter("copies = 1 and not anonymous").select("m", "c", "id", "at")  # paths with copies are repeated as they are
     pieces = (windows.join(again, ["m", "w"], "left_semi").select("m", "c", "i").join(alone, ["m", "c"])
               .select("id", (F.col("at") + F.col("i")).alias("from"), (F.col("at") + F.col("i") + width).alias("to")))
     copied = branching.filter("copies > 1").select("m", "c")
-    full = shared.filter("not branching").select("id", "at", "n").union(
-        shared.filter("branching").join(copied, ["m", "c"], "left_semi").select("id", "at", "n"))
+    named = shared.filter("not anonymous")
+    full = named.filter("not branching").select("id", "at", "n").union(
+        named.filter("branching").join(copied, ["m", "c"], "left_semi").select("id", "at", "n"))
     covered = full.select("id", F.col("at").alias("from"), (F.col("at") + F.col("n") + width - 1).alias("to")).union(pieces)
-    return _strip(docs, covered).withColumnRenamed("id", id_col)
+    return _strip(docs.withColumn("id", F.when(~F.col("anonymous"), F.col("id"))), covered).withColumnRenamed("id", id_col)
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -100,6 +100,12 @@ def test_passages_of_odd_tables(spark, docs):
     assert substrings.without_repeats(docs([])).count() == 0
     long = " ".join(f"a{i}" for i in range(60))
     got = substrings.without_repeats(docs([(1, long), (1, long), (2, None), (None, "b " + long), (5, "c"), (5, long + " d " + long)]))
+    shared = " ".join(f"s{i}" for i in range(60))
+    anon = " ".join(f"p{i}" for i in range(10)) + " " + shared + " " + " ".join(f"q{i}" for i in range(10))
+    with_null = substrings.without_repeats(docs([(1, shared + " x y"), (2, "u v " + shared), (None, anon), (None, anon)]))
+    assert {r["doc_id"]: r["n_removed"] for r in with_null.collect()} == {1: 60, 2: 60, None: 0}
+    only_null = substrings.without_repeats(docs([(1, shared + " x y"), (None, anon), (None, "z " + anon)]))
+    assert {r["doc_id"]: r["n_removed"] for r in only_null.collect()} == {1: 60, None: 0}
     found = {}
     for r in got.collect():
         found.setdefault(r["doc_id"], []).append((r["n_words"], r["n_removed"]))
