@@ -4,8 +4,8 @@ Documents are tokenized once. A pass over the ids counts in how many documents e
 occurs (the vocabulary bounds that table). Documents are laid out in the order of their most
 telling token, cut into shards of bounded size, and each shard builds a BM25 inverted index
 over its documents with the statistics of the whole corpus. A sequence starts with a seed
-document; the index returns the seed's unused neighbours, best first, which fill the window
-greedily. The last one is cut where the window ends and its rest seeds the next window, so
+document; the index returns the seed's unused neighbours, best first and as many as it takes to
+fill the window greedily. A seed asks its own shard only. The last one is cut where the window ends and its rest seeds the next window, so
 only the last sequence of a partition is not full.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ WINDOW = 4096
 SHARD_TOKENS = 1 << 20  # tokens indexed at a time
 PARTITION_TOKENS = 1 << 22  # tokens of a task, about
 QUERY_TERMS = 24  # the seed's tokens of highest BM25 weight ask the index
-NEIGHBOURS = 24  # answers taken from one query; the next query follows when they are used up
+NEIGHBOURS = 24  # answers ranked at first; the others follow if they do not fill the window
 K1, B = 1.2, 0.75
 _VOCABULARY = 1 << 16
 
@@ -106,8 +107,8 @@ class Shard:
         self.at = np.searchsorted(term[order], np.arange(_VOCABULARY + 1))
         self.n = len(docs)
 
-    def neighbours(self, seed: int, unused: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query token with the seed, best first; ties by position."""
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a query token with the seed, best first; ties by position."""
         lo, hi = (self.ends[seed - 1] if seed else 0), self.ends[seed]
         terms, weights = self.terms[lo:hi], self.weights[lo:hi]
         if len(terms) > QUERY_TERMS:
@@ -117,8 +118,11 @@ class Shard:
         score[~unused] = 0
         found = np.flatnonzero(score > 0)
         if len(found) > NEIGHBOURS:
-            found = np.sort(found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]])
-        return found[np.argsort(-score[found], kind="stable")]
+            least = np.partition(score[found], len(found) - NEIGHBOURS)[len(found) - NEIGHBOURS]
+            best = found[score[found] >= least]  # with all ties of the last one
+            yield from best[np.argsort(-score[best], kind="stable")].tolist()
+            found = found[score[found] < least]
+        yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 class _Packer:
@@ -141,26 +145,23 @@ class _Packer:
     def shard(self, names: list[int], docs: list[np.ndarray], stats: Statistics) -> None:
         index = Shard(docs, stats)
         unused = np.ones(len(docs), bool)
-        next_, ranked, k = 0, np.zeros(0, int), 0
+        next_, ranked = 0, iter(())
         while True:
-            while k < len(ranked) and not unused[ranked[k]]:
-                k += 1
-            if k < len(ranked) and self.offset:  # the seed's neighbours fill its window
-                doc = ranked[k]
-            else:  # a new seed: in shard order
+            # the seed's neighbours fill its window; then a new seed, in shard order
+            doc = next((d for d in ranked if unused[d]), None) if self.offset else None
+            seed = doc is None
+            if seed:
                 while next_ < len(docs) and not unused[next_]:
                     next_ += 1
                 if next_ == len(docs):
                     return
-                doc, ranked = next_, None
+                doc = next_
             unused[doc] = False
             at, sequence = 0, self.sequence
             while at < len(docs[doc]):
                 at = self.put(names[doc], docs[doc], at)
-            if self.offset and (ranked is None or self.sequence != sequence):
-                ranked, k = index.neighbours(doc, unused, stats.idf), 0  # it opened the window, or its rest did
-            elif ranked is None:
-                ranked, k = np.zeros(0, int), 0
+            if seed or self.sequence != sequence:  # it opened the window, or its rest did
+                ranked = index.neighbours(doc, unused) if self.offset else iter(())
 
 
 def packed(
