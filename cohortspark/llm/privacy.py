@@ -17,7 +17,7 @@ ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: kind and pattern, tried in this order at each place
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,}+",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -30,6 +30,8 @@ ANY = "|".join(PATTERNS.values())
 #: digits with single spaces or hyphens, 13 or more: cards are looked for in what the patterns leave
 RUN = r"(?<!\d)(?=\d(?:[ -]?\d){12})\d++(?:[ -]\d++)*+"
 _GROUPED = r"^(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1){2,3}\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})$"  # how cards are written
+#: fixed values: telephone country codes of one and two digits; all others have three
+_COUNTRY = r"^\+(?:1|7|20|27|3[0-4]|36|39|4[01]|4[3-9]|5[1-8]|6[0-6]|8[1246]|9[0-5]|98|\d{1,3})"
 _CHUNK = 256  # symbols of one network: its cost grows with their square
 HINT = "[0-9@=:]|AKIA"  # every pattern needs one of these: most texts have none and are passed by quickly
 
@@ -80,6 +82,20 @@ def permuted_text(text: Column, key: str, kind: str | Column) -> Column:
     return F.when(F.length(text) > 0, F.array_join(letters, "")).otherwise(text)
 
 
+def spelled(text: Column, key: str, kind: str | Column) -> Column:
+    """Permute letters and digits without what stands between them: spellings of one value stay linked."""
+    other = "[^A-Za-z0-9]"
+    moved = permuted_text(F.regexp_replace(text, other, ""), key, kind)
+    place = lambda j: F.length(F.regexp_replace(F.substring(text, F.lit(1), j + 1), other, ""))
+    poured = lambda w: F.array_join(F.transform(F.split(text, ""), lambda c, j: F.when(c.rlike(other), c).otherwise(F.substring(w, place(j), F.lit(1)))), "")
+    return F.transform(F.array(moved), poured)[0]  # the network runs once, not for each symbol
+
+
+def _cased(text: Column, lower: Column) -> Column:
+    """The capitals of ``text`` at the same places of ``lower``."""
+    return F.array_join(F.zip_with(F.split(text, ""), F.split(lower, ""), lambda c, n: F.when(F.ascii(c).between(65, 90), F.upper(n)).otherwise(n)), "")
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -98,7 +114,7 @@ def mod97(text: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    body = permuted_text(F.substring(m, F.lit(2), F.length(m) - 2), key, "card")
+    body = spelled(F.substring(m, F.lit(2), F.length(m) - 2), key, "card")
     return F.concat(F.substring(m, 1, 1), body, luhn(F.concat(F.substring(m, 1, 1), _digits(body))))
 
 
@@ -157,7 +173,7 @@ def _iban(m: Column, key: str) -> Column:
         return F.when(F.length(whole).between(15, 34), mod97(F.concat(F.substring(whole, F.lit(5), F.length(whole)), F.substring(whole, 1, 4))) == 1).otherwise(False)
 
     def moved(part: Column) -> Column:
-        body = permuted_text(F.substring(part, F.lit(5), F.length(part)), key, "iban")
+        body = spelled(F.substring(part, F.lit(5), F.length(part)), key, "iban")
         check = 98 - mod97(F.concat(F.regexp_replace(body, " ", ""), F.substring(part, 1, 2), F.lit("00")))
         return F.concat(F.substring(part, 1, 2), F.lpad(check.cast("string"), 2, "0"), body, F.substring(m, F.length(part) + 1, F.length(m)))
 
@@ -197,9 +213,9 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+\d{1,3}", 0)
+    country = F.regexp_extract(m, _COUNTRY, 0)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
-    return F.when(F.length(_digits(m)).between(7, 15), F.concat(country, permuted_text(rest, key, "phone"))).otherwise(m)
+    return F.when(F.length(_digits(m)).between(7, 15), F.concat(country, spelled(rest, key, "phone"))).otherwise(m)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -215,7 +231,8 @@ def _email(m: Column, key: str) -> Column:
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     top = F.substring_index(domain, ".", -1)
     name = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    return F.concat(permuted_text(local, key, "local"), F.lit("@"), permuted_text(name, key, "domain"), F.lit("."), top)
+    folded = lambda x, kind: _cased(x, _after(F.lower(x), "^", key, kind))
+    return F.concat(folded(local, "local"), F.lit("@"), folded(name, "domain"), F.lit("."), top)
 
 
 def _after(m: Column, prefix: str, key: str, kind: str) -> Column:
@@ -247,7 +264,9 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col:
     Found are e-mail addresses (name and domain apart, the top level stays), passwords and
     tokens after their keyword, access keys, IBAN and payment card numbers with right check
     digits, valid dates from 1900 to 2099, valid social security numbers, telephone numbers
-    of 7 to 15 digits (the country code stays) and IPv4 addresses. The rest of the text is
+    of 7 to 15 digits (the country code stays) and IPv4 addresses. Cards, IBANs and telephone
+    numbers are linked however they are spaced, e-mail addresses in capitals or not. IPv6
+    addresses and bare ten-digit numbers are not looked for. The rest of the text is
     unchanged, a null text stays null. ``count_col`` adds the number of values replaced.
     Whoever holds ``key`` can reverse the permutation.
     """
