@@ -31,7 +31,9 @@ from cohortspark.session import arrow_bytes
 from cohortspark.sources.stored import settle
 
 BLOCK = 4096  # samples of a tile
-MARKERS = 128  # variants of a tile, about: they are dealt by hash
+MARKERS = 128  # variants of a full tile, about: they are dealt by hash
+SPARSE = 16  # a tile of which less than one part in so many is known holds its known dosages alone
+PIECE = 1 << 16  # known dosages of a sparse tile multiplied at a time
 
 
 class People:
@@ -114,28 +116,46 @@ def _tile_sums(tiles: DataFrame, samples: DataFrame, people: Sequence[People]) -
     # a block meets many tiles: its copies are spread over as many keys as there are partitions
     copies = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // max(blocks.count(), 1))
     blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    joined = tiles.withColumn("part", (F.col("chunk") % copies).cast("int")).join(blocks, ["block", "part"]).select("markers", "dosages", "people")
-    ranks, size = [p.rank for p in people], BLOCK
+    joined = tiles.withColumn("part", (F.col("chunk") % copies).cast("int")).join(blocks, ["block", "part"]).select("markers", "dosages", "cells", "people")
+    ranks, size, piece = [p.rank for p in people], BLOCK, PIECE
     names = ["n", "sg", "sgg", "sgy", "sy", *[f"{p}_q{j}" for j in range(max(ranks)) for p in ("sg", "s")]]
     inner = tiles.schema["markers"].dataType.elementType.simpleString()
+    one = [sum(r + 2 for r in ranks[:t]) for t in range(len(ranks))]  # a phenotype's first column, that of 1
+
+    def full(g, x):
+        known = ~np.isnan(g)
+        g[~known] = 0.0
+        return g @ x, known.astype(float) @ x, (g * g) @ x[:, one]
+
+    def sparse(values, place, x):
+        """The same sums by variant, some whole variants at a time; their places are sorted."""
+        variant, start = place // size, 0
+        while start < len(place):
+            end = min(start + piece, len(place))
+            if end < len(place):
+                end = int(np.searchsorted(variant, variant[end], "left"))
+                end = end if end > start else int(np.searchsorted(variant, variant[start], "right"))
+            v, first = np.unique(variant[start:end], return_index=True)
+            rows, g = x[place[start:end] % size], values[start:end, None].astype(float)
+            yield v, np.add.reduceat(rows * g, first), np.add.reduceat(rows, first), np.add.reduceat(rows[:, one] * g * g, first)
+            start = end
 
     def products(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for markers, dosages, matrix in zip(batch.column(0), batch.column(1), batch.column(2)):
-                x = np.frombuffer(matrix.as_py(), float).reshape(size, -1)
-                g = np.frombuffer(dosages.as_py(), np.float32).reshape(-1, size).astype(float)
-                known = ~np.isnan(g)
-                g[~known] = 0.0
-                gx, kx, lo = g @ x, known.astype(float) @ x, 0
-                one = [0]
-                for rank in ranks[:-1]:
-                    one.append(one[-1] + rank + 2)
-                ggx = (g * g) @ x[:, one]
-                for t, (lo, rank) in enumerate(zip(one, ranks)):
-                    cols = [kx[:, lo], gx[:, lo], ggx[:, t], gx[:, lo + 1], kx[:, lo + 1]]
-                    for j in range(max(ranks)):
-                        cols += [gx[:, lo + 2 + j], kx[:, lo + 2 + j]] if j < rank else [np.zeros(len(g))] * 2
-                    yield pa.RecordBatch.from_arrays([markers.values, pa.array(np.full(len(g), t, np.int32)), *map(pa.array, cols)], ["marker_id", "t", *names])
+            for markers, dosages, cells, matrix in zip(*batch.columns):
+                x, g = np.frombuffer(matrix.as_py(), float).reshape(size, -1), np.frombuffer(dosages.as_py(), np.float32)
+                if cells.is_valid:
+                    parts = sparse(g, np.frombuffer(cells.as_py(), np.int64), x)
+                else:
+                    parts = [(np.arange(len(markers)), *full(g.reshape(-1, size).astype(float), x))]
+                for v, gx, kx, ggx in parts:
+                    for t, (lo, rank) in enumerate(zip(one, ranks)):
+                        met = np.flatnonzero(kx[:, lo])  # variants known of some of the phenotype's people
+                        cols = [kx[met, lo], gx[met, lo], ggx[met, t], gx[met, lo + 1], kx[met, lo + 1]]
+                        for j in range(max(ranks)):
+                            cols += [gx[met, lo + 2 + j], kx[met, lo + 2 + j]] if j < rank else [np.zeros(len(met))] * 2
+                        ids = markers.values.take(pa.array(v[met]))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(met), t, np.int32)), *map(pa.array, cols)], ["marker_id", "t", *names])
 
     parts = joined.mapInArrow(products, f"marker_id {inner}, t int, " + ", ".join(f"{c} double" for c in names))
     sums = parts.groupBy("marker_id", "t").agg(*[F.sum(c).alias(c) for c in names])
@@ -195,30 +215,42 @@ def linear_traits(tiles: DataFrame, samples: DataFrame, phenotypes: DataFrame, c
 
 
 def pack_dosages(dosages: DataFrame, samples: DataFrame) -> DataFrame:
-    """Tiles (block, chunk, markers ARRAY, dosages BINARY) of known dosages.
+    """Tiles (block, chunk, markers ARRAY, dosages BINARY, cells BINARY) of known dosages.
 
     The layout to store a large matrix in: four bytes a dosage, a row for about MARKERS
-    variants by BLOCK samples, unknown ones as NaN. Variants are dealt to chunks by hash, and
-    a task builds one tile after another from its sorted rows. samples: id, i (from 1).
+    variants by BLOCK samples, unknown ones as NaN. Where few are known, more variants share a
+    tile, so that it holds as many known dosages; those alone are stored then, with their places
+    (variant * BLOCK + sample) in ``cells``, which is null for a full tile. Variants are dealt
+    to chunks by hash, and a task builds one tile after another from its sorted rows. samples:
+    id, i (from 1).
     """
     arrow_bytes(dosages.sparkSession)
     known = dosages.filter(F.col("dosage").isNotNull()).select("marker_id", "id", F.col("dosage").cast("float").alias("dosage"))
-    n = known.agg(F.approx_count_distinct("marker_id")).first()[0]
-    chunk = F.pmod(F.xxhash64("marker_id"), F.lit(max(1, -(-n // MARKERS)))).cast("int")
+    known = settle(known, "known")  # counted, then packed
+    kind, size, most = dosages.schema["marker_id"].dataType.simpleString(), BLOCK, BLOCK * MARKERS
+    n, held = known.agg(F.approx_count_distinct("marker_id"), F.count(F.lit(1))).first()
+    people = samples.agg(F.max("i")).first()[0] or 0
+    chunks = min(-(-n // MARKERS), -(-held // (max(-(-people // size), 1) * most)))
+    chunk = F.pmod(F.xxhash64("marker_id"), F.lit(max(1, chunks))).cast("int")
     at = F.col("i") - 1
     cells = known.join(samples.select("id", "i"), "id").select(
         F.floor(at / BLOCK).cast("int").alias("block"), chunk.alias("chunk"), "marker_id", (at % BLOCK).cast("int").alias("at"), "dosage")
     cells = cells.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "marker_id")
-    kind, size = dosages.schema["marker_id"].dataType.simpleString(), BLOCK
 
-    def tile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(parts)
-        coded = rows["marker_id"].combine_chunks().dictionary_encode()
-        g = np.full((len(coded.dictionary), size), np.nan, np.float32)
-        g[coded.indices.to_numpy(), rows["at"].to_numpy()] = rows["dosage"].to_numpy()
-        markers = pa.ListArray.from_arrays(pa.array([0, len(g)], pa.int32()), coded.dictionary)
-        return pa.RecordBatch.from_arrays([rows["block"].combine_chunks()[:1], rows["chunk"].combine_chunks()[:1], markers, pa.array([g.tobytes()], pa.binary())],
-                                          ["block", "chunk", "markers", "dosages"])
+    def tile(rows: pa.Table) -> pa.RecordBatch:
+        coded = rows["marker_id"].combine_chunks().dictionary_encode("encode")
+        place = coded.indices.to_numpy().astype(np.int64) * size + rows["at"].to_numpy()
+        values, full = rows["dosage"].to_numpy(), len(coded.dictionary) * size
+        if len(place) * SPARSE >= full:
+            g, where = np.full(full, np.nan, np.float32), None
+            g[place] = values
+        else:
+            place, last = np.unique(place[::-1], return_index=True)  # a place holds one dosage, the last one
+            g, where = values[::-1][last], place.tobytes()
+        markers = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        return pa.RecordBatch.from_arrays([
+            rows["block"].combine_chunks()[:1], rows["chunk"].combine_chunks()[:1], markers, pa.array([g.tobytes()], pa.binary()), pa.array([where], pa.binary())],
+            ["block", "chunk", "markers", "dosages", "cells"])
 
     def build(batches: Iterator[pa.RecordBatch]):
         held: list[pa.RecordBatch] = []
@@ -227,13 +259,20 @@ def pack_dosages(dosages: DataFrame, samples: DataFrame) -> DataFrame:
             edges = [0, *(np.flatnonzero(np.diff(block) | np.diff(chunk)) + 1), len(block)]
             for a, b in zip(edges[:-1], edges[1:]):
                 if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (block[a], chunk[a]):
-                    yield tile(held)
+                    yield tile(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(a, b - a))
+                if sum(map(len, held)) >= 2 * most:  # a fuller part of a sparse matrix: the last variant waits for its rest
+                    rows = pa.Table.from_batches(held)
+                    ids = rows["marker_id"].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+                    cut = int(np.searchsorted(ids, ids[-1]))
+                    if cut:
+                        yield tile(rows.slice(0, cut))
+                        held = rows.slice(cut).to_batches()
         if held:
-            yield tile(held)
+            yield tile(pa.Table.from_batches(held))
 
-    return cells.mapInArrow(build, f"block int, chunk int, markers array<{kind}>, dosages binary")
+    return cells.mapInArrow(build, f"block int, chunk int, markers array<{kind}>, dosages binary, cells binary")
 
 
 def _scan_people(phenotype, covariates, names, cohort, target) -> People:

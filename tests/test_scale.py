@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.catalog.registry import Inputs
+from cohortspark.plans import association
 from cohortspark.session import tune
 
 
@@ -28,3 +29,28 @@ def test_unpacked_rows_are_dealt_out(spark, customers):
     ids = spark.read.parquet(f"{customers}/customer.parquet")
     assert len(parts) > 1 and max(parts) < sum(parts) / 2
     assert score.filter("name = 'cvd'").select("id").distinct().count() == ids.distinct().count()
+
+
+def test_sparse_tiles_grow_with_known_dosages(spark, monkeypatch):
+    """Few known dosages a variant: few tiles of known dosages, the same sums as the scan of rows."""
+    monkeypatch.setattr(association, "BLOCK", 64)
+    monkeypatch.setattr(association, "MARKERS", 4)
+    monkeypatch.setattr(association, "PIECE", 50)
+    people = spark.range(640).selectExpr("id", "(id * 37) % 101 / 101D x1", "(id * 53) % 89 / 89D + sin(id) score")
+    rare = spark.range(900).selectExpr("concat('r', id) marker_id", "explode(transform(array(1, 2, 3, 4), k -> (id * 31 + k * 97) % 640)) id").distinct()
+    common = people.selectExpr("'c' marker_id", "id").union(people.filter("id < 64").selectExpr("explode(array('d', 'e')) marker_id", "id"))
+    dosages = rare.union(common).selectExpr("marker_id", "id", "if((id + hash(marker_id)) % 50 = 0, null, cast(pmod(hash(marker_id, id), 3) as double)) dosage")
+    samples = people.selectExpr("id", "id + 1 AS i")
+    tiles = association.pack_dosages(dosages, samples).cache()
+    known = dosages.filter("dosage is not null").count()
+    assert tiles.count() < 64 and tiles.filter("cells is not null").count() > 0
+    assert tiles.selectExpr("sum(length(dosages))").first()[0] <= 4 * 16 * known
+    traits = people.selectExpr("id", "'a' trait", "score").union(people.filter("id % 3 = 0").selectExpr("id", "'b' trait", "x1 * score"))
+    both = association.linear_traits(tiles, samples, traits, people.select("id", "x1"), ["x1"], ["a", "b"]).toPandas()
+    for trait in ("a", "b"):
+        own = traits.filter(F.col("trait") == trait).select("id", "score")
+        want = association.linear(dosages, own, people.select("id", "x1"), ["x1"]).toPandas().sort_values("marker_id")
+        got = both[both.trait == trait].sort_values("marker_id")
+        assert got["marker_id"].tolist() == want["marker_id"].tolist()
+        for c in ("n", "freq", "estim", "std_err"):
+            assert got[c].to_numpy() == pytest.approx(want[c].to_numpy(), rel=1e-9, abs=1e-12)
