@@ -78,10 +78,14 @@ def _basis(m: np.ndarray) -> np.ndarray:
 
 
 def _long_sums(dosages: DataFrame, people: People) -> DataFrame:
-    """Sums over the known dosages of each marker, from (marker_id, id, dosage) rows."""
-    g, y = F.col("dosage"), F.col("y")
-    joined = dosages.filter(g.isNotNull()).select("marker_id", "id", "dosage").join(people.rows, "id")
-    sums = [F.count(F.lit(1)).alias("n"), F.sum(g).alias("sg"), F.sum(g * g).alias("sgg"), F.sum(g * y).alias("sgy"), F.sum(y).alias("sy")]
+    """Sums over the known dosages of each marker, from (marker_id, id, dosage) rows.
+
+    The rows of an id share its dosages, so they are added up before they meet them.
+    """
+    g, y, k = F.col("dosage"), F.col("y"), F.col("_k")
+    each = people.rows.groupBy("id").agg(F.count(F.lit(1)).alias("_k"), *[F.sum(c).alias(c) for c in ("y", *people.columns)])
+    joined = dosages.filter(g.isNotNull()).select("marker_id", "id", "dosage").join(each, "id")
+    sums = [F.sum(k).alias("n"), F.sum(g * k).alias("sg"), F.sum(g * g * k).alias("sgg"), F.sum(g * y).alias("sgy"), F.sum(y).alias("sy")]
     for c in people.columns:
         sums += [F.sum(g * F.col(c)).alias(f"sg_{c}"), F.sum(c).alias(f"s_{c}")]
     return joined.groupBy("marker_id").agg(*sums)
@@ -440,6 +444,8 @@ def cox(dosages: DataFrame, null: CoxNull, keys: Sequence[str] = ("id",), saddle
     ``null`` may hold several rows per id (two parents of one genotype).
     """
     people = People(null.residuals, list(keys), "resid", null.names)
+    if saddlepoint:
+        dosages = settle(dosages.select("marker_id", "id", "dosage").filter("dosage IS NOT NULL"), "dosages")  # summed, then the tails
     per_marker = _complete(_long_sums(dosages, people), people)
     covered = sum((F.col(f"g{i}") * F.lit(float(t)) for i, t in enumerate(people.q_target)), F.lit(0.0))
     variance = (people.yy - people.y_total ** 2 / people.n) / (people.n - 1)

@@ -54,3 +54,18 @@ def test_sparse_tiles_grow_with_known_dosages(spark, monkeypatch):
         assert got["marker_id"].tolist() == want["marker_id"].tolist()
         for c in ("n", "freq", "estim", "std_err"):
             assert got[c].to_numpy() == pytest.approx(want[c].to_numpy(), rel=1e-9, abs=1e-12)
+
+
+def test_rows_of_an_id_meet_its_dosages_once(spark):
+    """Two parents of one genotype: their sums are joined, the results are those of doubled rows."""
+    people = spark.range(120).selectExpr("id", "explode(array('f', 'm')) parent").selectExpr("id", "parent", "sin(id + length(parent) + ascii(parent)) y", "cos(id) x1")
+    dosages = people.selectExpr("concat('r', id % 5) marker_id", "id", "cast(id % 3 as double) dosage").distinct()
+    scan = association.People(people, ["id", "parent"], "y", ["x1"])
+    sums = association._long_sums(dosages, scan)
+    rows = dosages.join(scan.rows, "id").groupBy("marker_id").agg(F.count("*").alias("n"), F.sum(F.col("dosage") * F.col("y")).alias("sgy"), F.sum("q1").alias("s_q1"))
+    got, want = ({r["marker_id"]: r for r in t.collect()} for t in (sums, rows))
+    assert {m: r["n"] for m, r in got.items()} == {m: r["n"] for m, r in want.items()}
+    for m, r in want.items():
+        assert [got[m]["sgy"], got[m]["s_q1"]] == pytest.approx([r["sgy"], r["s_q1"]], abs=1e-9)
+    text = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Aggregate [id") == 1
