@@ -585,5 +585,6 @@ def _saddlepoint(dosages: DataFrame, people: People, candidates: DataFrame, vari
         return pd.DataFrame({"marker_id": [pdf["marker_id"].iloc[0]], "spa": [p]})
 
     kind = dosages.schema["marker_id"].dataType.simpleString()
-    solved = binned.groupBy("marker_id").applyInPandas(solve, schema=f"marker_id {kind}, spa double")
+    parts = int(dosages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes and much work: not merged by size
+    solved = binned.repartition(parts, "marker_id").groupBy("marker_id").applyInPandas(solve, schema=f"marker_id {kind}, spa double")
     return solved.withColumn("spa", F.when(~F.isnan("spa"), F.col("spa")))
