@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.catalog.registry import Inputs
+import __spark_entry__ as entry
+from cohortspark import session
+from cohortspark.catalog.registry import DEALT, Inputs
 from cohortspark.plans import association
 from cohortspark.session import tune
 
@@ -31,6 +33,19 @@ def test_unpacked_rows_are_dealt_out(spark, customers):
     assert score.filter("name = 'cvd'").select("id").distinct().count() == ids.distinct().count()
 
 
+def test_tasks_grow_with_the_input(spark, customers, monkeypatch):
+    """More files, more shuffle partitions than the session asks for; AQE merges the small ones."""
+    monkeypatch.setattr(session, "PIECE", 1 << 10)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = Inputs(spark, customers).size
+    assert size > least << 10 and Inputs(spark, f"{customers}/none").size == 0
+    text = entry.queries()["fold_mean"](spark, customers)._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-size // 1024)}), ENSURE_REQUIREMENTS" in text
+    tune(spark)
+    fx = Inputs(spark, customers)
+    assert fx("score").rdd.getNumPartitions() == -(-60_001 // DEALT) > least
+
+
 def test_sparse_tiles_grow_with_known_dosages(spark, monkeypatch):
     """Few known dosages a variant: few tiles of known dosages, the same sums as the scan of rows."""
     monkeypatch.setattr(association, "BLOCK", 64)
