@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm.components import components
 from cohortspark.llm.textops import U64, arrow_limits, binary_rows, column_bytes, each_block, mix, signed
-from cohortspark.sources.stored import settle
+from cohortspark.sources.stored import last_written, lifetime, settle
 
 TREES, LEVELS = 16, 5
 STAR_TREES = 2  # trees whose nodes are tried first, smallest class against the others
@@ -368,31 +368,35 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    table = settle(sketch(docs, id_col, text_col, width, trees * levels), "sketches")
-    reps = (table.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles")
-            .agg(F.min_by(F.struct("id", "sig"), "id").alias("r")).select("f1", "f2", "n_shingles", "r.id", "r.sig"))
-    classes = settle(reps, "classes")
-    reps = classes.select("id", "n_shingles", "sig")
-    # full sets of the classes that stand beside another one in several trees: a pair of
-    # similarity 0.75 misses a quarter of 16 trees with probability 4e-6
-    paths = _paths(reps, trees, levels, "id").select("id", F.xxhash64("tree", _token(0)).alias("node"), "tree")
-    shared = paths.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    beside = paths.join(shared, "node").groupBy("id").agg(F.count("*").alias("trees")).filter(F.col("trees") >= max(1, trees // 4)).select("id")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = settle(_set_rows(texts.join(beside, "id", "left_semi"), width), "sets")
-    reps = settle(reps.join(sets.select("id"), "id", "left_semi"), "beside")
-    links = None
-    for some in (STAR_TREES, trees):  # most links come from few trees; then what still lies apart
-        parts = None if links is None else components(links)
-        comp = F.col("id") if parts is None else F.coalesce("component", "id")
-        reps_ = (reps if parts is None else reps.join(parts, "id", "left")).withColumn("comp", comp).drop("component")
-        nodes = _paths(reps_, some, levels, "id", "comp").select("id", "comp", F.xxhash64("tree", _token(0)).alias("node"))
-        found = settle(_confirm(settle(_stars(nodes, reps, percent), "stars"), sets, percent), "confirmed")
-        links = found if links is None else links.union(found)
-    branched = reps.join(components(links), "id", "left").select("id", "sig", "n_shingles", F.coalesce("component", "id").alias("comp"))
-    branched = settle(branched.join(sets.select("id", "digest"), "id"), "components")
-    more = _confirm(settle(_branches(branched, trees, levels, percent), "leaves"), sets, percent)
-    final = components(links.union(more))
+    with lifetime(spark) as keep:  # sets, nodes and pairs go when the components are known
+        table = settle(sketch(docs, id_col, text_col, width, trees * levels), "sketches")
+        keep.append(last_written(spark))
+        reps = (table.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles")
+                .agg(F.min_by(F.struct("id", "sig"), "id").alias("r")).select("f1", "f2", "n_shingles", "r.id", "r.sig"))
+        classes = settle(reps, "classes")
+        keep.append(last_written(spark))
+        reps = classes.select("id", "n_shingles", "sig")
+        # full sets of the classes that stand beside another one in several trees: a pair of
+        # similarity 0.75 misses a quarter of 16 trees with probability 4e-6
+        paths = _paths(reps, trees, levels, "id").select("id", F.xxhash64("tree", _token(0)).alias("node"), "tree")
+        shared = paths.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        beside = paths.join(shared, "node").groupBy("id").agg(F.count("*").alias("trees")).filter(F.col("trees") >= max(1, trees // 4)).select("id")
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        sets = settle(_set_rows(texts.join(beside, "id", "left_semi"), width), "sets")
+        reps = settle(reps.join(sets.select("id"), "id", "left_semi"), "beside")
+        links = None
+        for some in (STAR_TREES, trees):  # most links come from few trees; then what still lies apart
+            parts = None if links is None else components(links)
+            comp = F.col("id") if parts is None else F.coalesce("component", "id")
+            reps_ = (reps if parts is None else reps.join(parts, "id", "left")).withColumn("comp", comp).drop("component")
+            nodes = _paths(reps_, some, levels, "id", "comp").select("id", "comp", F.xxhash64("tree", _token(0)).alias("node"))
+            found = settle(_confirm(settle(_stars(nodes, reps, percent), "stars"), sets, percent), "confirmed")
+            links = found if links is None else links.union(found)
+        branched = reps.join(components(links), "id", "left").select("id", "sig", "n_shingles", F.coalesce("component", "id").alias("comp"))
+        branched = settle(branched.join(sets.select("id", "digest"), "id"), "components")
+        more = _confirm(settle(_branches(branched, trees, levels, percent), "leaves"), sets, percent)
+        final = components(links.union(more))
+        keep.append(last_written(spark))
     classes = classes.join(final, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = table.join(classes, ["f1", "f2", "n_shingles"], "left")
     component = F.coalesce("component_id", "id")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.textops import U64, Words, arrow_limits, blocks, column_bytes, mix
-from cohortspark.sources.stored import settle
+from cohortspark.sources.stored import lifetime, settle
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 ORDER = 6
@@ -209,23 +209,24 @@ def scored(
              .agg((F.max(label_col) > 0).cast("int").alias("toxic")).withColumn("fold", fold("id")).filter(F.col("fold") != HELD_OUT)
              .orderBy(F.xxhash64("id"), "id").limit(train_rows))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    labelled = texts.join(F.broadcast(settle(marks, "marks")), "id").select("text", "toxic", "fold")
-    grams = settle(_counts(labelled.filter(F.col("fold") != CALIBRATION)), "grams")
-    known, backed = _ratios(grams)
-    model = spark.sparkContext.broadcast((_table(known), _table(backed)))
-
-    def measure(batches):
-        for batch in batches:
-            total, size = _evidence(batch.column(0), model.value)
-            yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(size.astype(np.int64)), batch.column(1)], ["total", "size", "toxic"])
-
-    seen = labelled.filter(F.col("fold") == CALIBRATION).select("text", "toxic").mapInArrow(measure, "total double, size long, toxic int").toArrow()
-    y = seen["toxic"].to_numpy().astype(float)
-    sums = grams.agg(F.sum("t"), F.sum("o")).first()
-    if 0 < y.sum() < len(y) and sums[0] and sums[1]:
-        weights = _fit(_features(seen["total"].to_numpy(), seen["size"].to_numpy()), y)
-    else:
-        weights = np.array([np.log((y.sum() + 1) / (len(y) - y.sum() + 1)), 0.0, 0.0])
+    with lifetime(spark):  # the model is broadcast: its tables go
+        labelled = texts.join(F.broadcast(settle(marks, "marks")), "id").select("text", "toxic", "fold")
+        grams = settle(_counts(labelled.filter(F.col("fold") != CALIBRATION)), "grams")
+        known, backed = _ratios(grams)
+        model = spark.sparkContext.broadcast((_table(known), _table(backed)))
+
+        def measure(batches):
+            for batch in batches:
+                total, size = _evidence(batch.column(0), model.value)
+                yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(size.astype(np.int64)), batch.column(1)], ["total", "size", "toxic"])
+
+        seen = labelled.filter(F.col("fold") == CALIBRATION).select("text", "toxic").mapInArrow(measure, "total double, size long, toxic int").toArrow()
+        y = seen["toxic"].to_numpy().astype(float)
+        sums = grams.agg(F.sum("t"), F.sum("o")).first()
+        if 0 < y.sum() < len(y) and sums[0] and sums[1]:
+            weights = _fit(_features(seen["total"].to_numpy(), seen["size"].to_numpy()), y)
+        else:
+            weights = np.array([np.log((y.sum() + 1) / (len(y) - y.sum() + 1)), 0.0, 0.0])
     at = docs.columns.index(text_col)
 
     def score(batches):

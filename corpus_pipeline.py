@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import decontaminate, neardup, packing, privacy, toxicity
-from cohortspark.sources.stored import settle
+from cohortspark.sources.stored import last_written, lifetime, settle
 
 KEY = "corpus-pseudonyms"  # a deployment passes its own secret to the operator
 
@@ -62,8 +62,10 @@ ORACLE_SQL = None  # models and tokenizers are beyond SQL: tests/llm has a brute
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
+    """All stages over ``documents``; each stage's rows are written and read again, its own tables dropped."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        with lifetime(spark) as keep:
+            docs = settle(stage(spark, docs, sf_dir), name)
+            keep.append(last_written(spark))
     return docs

@@ -1,13 +1,17 @@
 """What must not come together in the driver or in one task, however small the files are."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cohortspark import session
 from cohortspark.catalog.registry import DEALT, Inputs
+from cohortspark.llm import neardup, toxicity
 from cohortspark.plans import association
 from cohortspark.session import tune
+from cohortspark.sources import stored
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +88,39 @@ def test_rows_of_an_id_meet_its_dosages_once(spark):
         assert [got[m]["sgy"], got[m]["s_q1"]] == pytest.approx([r["sgy"], r["s_q1"]], abs=1e-9)
     text = sums._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Aggregate [id") == 1
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    """They went only when the driver collected garbage, and filled the executors' disks."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.getName() for f in (lambda a: [a.apply(i) for i in range(a.size())])(disk.getAllFiles()) if f.getName().startswith("shuffle")}
+    before = shuffles()
+    setting = spark.conf.get(stored.CLEANED, "false")
+    got = stored.settle(spark.range(4000, numPartitions=8).groupBy((F.col("id") % 700).alias("k")).count(), "counts")
+    deadline = time.time() + 10
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(stored.CLEANED, "false") == setting
+    assert got.count() == 700 and got.agg(F.sum("count")).first()[0] == 4000
+
+
+def _left(spark, make):
+    """A table's rows, and how many written tables its plan leaves behind."""
+    mine = stored._written.setdefault(spark.sparkContext.applicationId, [])
+    start = len(mine)
+    table = make()
+    return table.collect(), len(mine) - start
+
+
+def test_near_duplicates_keep_only_what_they_read(spark):
+    text = "concat_ws(' ', transform(sequence(1, 60), i -> concat('w', (id div 4) * 100 + if(i = 60, id, i))))"
+    docs = spark.range(200).selectExpr("id doc_id", f"{text} text")
+    rows, left = _left(spark, lambda: neardup.near_duplicates(docs))
+    assert left == 3 and {r["component_id"] for r in rows} == set(range(0, 200, 4))
+
+
+def test_toxicity_keeps_no_model_tables(spark):
+    docs = spark.range(300).selectExpr("id doc_id", "if(id % 2 = 0, 'vile awful slur', 'mild kind word') text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) toxic")
+    rows, left = _left(spark, lambda: toxicity.scored(docs, labels, score_col="score"))
+    assert left == 0 and all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in rows)
