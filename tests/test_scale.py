@@ -50,6 +50,19 @@ def test_tasks_grow_with_the_input(spark, customers, monkeypatch):
     assert fx("score").rdd.getNumPartitions() == -(-60_001 // DEALT) > least
 
 
+def test_merged_tasks_stay_small_whatever_the_session_asks(spark):
+    """A session's larger tasks took a task of the score table to 34 MB as shuffled, 772 MB in memory."""
+    before = spark.conf.get(session.TASK, None)
+    try:
+        for asked, got in (("64MB", "8m"), (str(1 << 30), "8m"), ("4m", "4m"), ("2048kb", "2048kb"), ("65536b", "65536b"), ("1024", "1024")):
+            spark.conf.set(session.TASK, asked)
+            assert tune(spark).conf.get(session.TASK) == got
+        spark.conf.unset(session.TASK)
+        assert tune(spark).conf.get(session.TASK) == "8m"
+    finally:
+        spark.conf.unset(session.TASK) if before is None else spark.conf.set(session.TASK, before)
+
+
 def test_sparse_tiles_grow_with_known_dosages(spark, monkeypatch):
     """Few known dosages a variant: few tiles of known dosages, the same sums as the scan of rows."""
     monkeypatch.setattr(association, "BLOCK", 64)
