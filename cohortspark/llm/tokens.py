@@ -2,8 +2,9 @@
 
 The tokenizers used here cut at white space before anything else, so a text's ids are those
 of its white-space separated pieces in order. Every worker remembers the ids of the pieces it
-met lately and encodes only new ones: a batch's new pieces are normalised in one call, cut by
-the file's own pattern, and a pre-token goes through the merges once while it is remembered.
+met lately and encodes only new ones: a new piece is normalised and cut by the file's own
+pattern, unless it holds ASCII letters alone, and a pre-token goes through the merges once while
+it is remembered.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 
-REMEMBERED = 200_000  # pieces in each of two generations
+REMEMBERED = 400_000  # pieces in each of two generations
 
 
 @lru_cache(maxsize=2)
@@ -34,10 +35,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Memory:
+class _Memory(dict):
     """Piece to ids (little-endian 16 bit), in two generations: what is used stays."""
 
     def __init__(self, path: str):
+        super().__init__()
         self.tokenizer = _tokenizer(path)
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
@@ -45,51 +47,65 @@ class _Memory:
         steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
         kinds = [s["type"] for s in steps]
         plain = kinds == ["Split", "ByteLevel"] and steps[0]["invert"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]
-        # the file's pattern, or the space that stands between two pieces
-        self.cut = regex.compile(f"{steps[0]['pattern']['Regex']}| ").findall if plain else None
-        self.lowers = any(n["type"] == "Lowercase" for n in (parts.get("normalizer") or {}).get("normalizers", []))
+        pattern = steps[0]["pattern"]["Regex"] if plain else ""
+        self.cut = regex.compile(pattern).findall if plain else None
+        steps = (parts.get("normalizer") or {}).get("normalizers", [])
+        self.lowers = any(n["type"] == "Lowercase" for n in steps)
+        # printable ASCII without spaces is normalised in its case only
+        self.cases = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} for n in steps)
+        # ASCII letters are one pre-token: what the pattern looks for before a run of letters begins with an apostrophe
+        before, run, _ = f"{pattern}|".partition(r"[\p{L}]+|")
+        self.whole = bool(run) and all(x.startswith("'") for x in before.split("|")[:-1]) and not before.split("|")[-1]
         self.letters = _byte_letters()
-        self.new: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
         self.old: dict[str, bytes] = {}
         self.merged: dict[str, bytes] = {}  # pre-token to ids
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of all the pieces."""
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = []
-        for p in pieces:
-            if p not in new:
-                if p in old:
-                    new[p] = old[p]
-                else:
-                    missing.append(p)
-        if missing:
-            new.update(zip(missing, self._encoded(missing)))
-        return new
-
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        folded = ""
-        if self.cut and not any(s in p for p in pieces if "<" in p for s in self.special):
-            folded = self.tokenizer.normalizer.normalize_str(" ".join(pieces))
-        if folded.count(" ") != len(pieces) - 1:  # a piece that is normalised to several
-            return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def age(self) -> None:
+        """Make room: what is not used until the next time goes."""
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
         if len(self.merged) > REMEMBERED:
             self.merged.clear()
-        merged, out, found = self.merged, [], b""
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self._encoded(piece)
+        self[piece] = ids
+        return ids
+
+    def _merged(self, text: str) -> bytes:
+        """Ids of a pre-token in the model's letters."""
+        return array("H", [t.id for t in self.tokenize(text)]).tobytes()
+
+    def _encoded(self, piece: str) -> bytes:
+        if not piece:
+            return b""
+        special = False
+        for s in self.special:
+            special = special or s in piece
+        if special or not self.cut or not piece.isprintable():  # control characters: patterns differ on which are white space
+            return self._by_tokenizer(piece)
+        if self.cases and piece.isascii():
+            folded = piece.lower() if self.lowers else piece
+            if self.whole and folded.isalpha():
+                return self._merged(folded)
+        else:
+            folded = self.tokenizer.normalizer.normalize_str(piece)
+            if " " in folded:  # a piece that is normalised to several
+                return self._by_tokenizer(piece)
+        merged, found = self.merged, b""
         for token in self.cut(folded):
-            if token == " ":
-                out.append(found)
-                found = b""
-                continue
             ids = merged.get(token)
             if ids is None:
-                text = token if token.isascii() else "".join([self.letters[b] for b in token.encode()])
-                ids = merged[token] = array("H", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+                ids = merged[token] = self._merged(token if token.isascii() else "".join([self.letters[b] for b in token.encode()]))
             found = found + ids if found else ids
-        out.append(found)
-        return out
+        return found
+
+    def _by_tokenizer(self, piece: str) -> bytes:
+        return array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -115,11 +131,8 @@ def _spaced(text: str | None, lowers: bool) -> str:
 
 def encoded(texts: pa.Array, path: str) -> list[bytes]:
     """Per row the ids as little-endian 16-bit bytes; a null text has none."""
-    memory = _memory(path)
-    spaced = [_spaced(t, memory.lowers) for t in texts.to_pylist()]
-    pieces: set[str] = set()
-    for t in spaced:
-        pieces.update(t.split(" "))
-    known = memory.learn(pieces - {""}) if pieces else {}
-    known[""] = b""
-    return [b"".join(map(known.__getitem__, t.split(" "))) for t in spaced]
+    memory, out = _memory(path), []
+    for text in texts.to_pylist():
+        out.append(b"".join(map(memory.__getitem__, _spaced(text, memory.lowers).split(" "))))
+        memory.age()
+    return out

@@ -26,6 +26,19 @@ def test_ids_are_the_tokenizers():
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in ODD]
 
 
+@pytest.mark.parametrize("remembered", [3, 1000])
+def test_ids_of_new_pieces(monkeypatch, remembered):
+    """Pieces one by one, with control characters, and letters that need no pattern; few of them are remembered."""
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(tokens, "_memory", lambda _, memory=tokens._Memory(path): memory)
+    texts = ["a\x00b \x7f", "x\x1cy x\x1f", "Don't DON'T we'll 'sabc", "Abc ABC abc abc", "tail", "\u0130a \u03a3\u03a3", "a\u0301 \u00e1", "<|x <|endoftext|>"]
+    real = Tokenizer.from_file(path)
+    for text in texts * 2:
+        assert list(np.frombuffer(tokens.encoded(pa.array([text]), path)[0], "<u2")) == real.encode(text, add_special_tokens=False).ids, text
+    assert len(tokens._memory(path)) <= remembered + 4
+
+
 def test_packing(spark, docs):
     rng = random.Random(1)
     topics = [[f"topic{t}word{i}" for i in range(30)] for t in range(6)]
