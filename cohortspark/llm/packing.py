@@ -1,6 +1,6 @@
 """Packing by lexical retrieval: related documents share a training sequence.
 
-Documents are tokenized once. A pass over the ids counts in how many documents each token
+Documents are tokenized once; the same pass counts in how many documents each token
 occurs (the vocabulary bounds that table). Documents are laid out in the order of their most
 telling token, cut into shards of bounded size, and each shard builds a BM25 inverted index
 over its documents with the statistics of the whole corpus. A sequence starts with a seed
@@ -33,50 +33,59 @@ QUERY_TERMS = 24  # the seed's tokens of highest BM25 weight ask the index
 NEIGHBOURS = 24  # answers ranked at first; the others follow if they do not fill the window
 K1, B = 1.2, 0.75
 _VOCABULARY = 1 << 16
+_RANKS = np.log1p(np.arange(_VOCABULARY, dtype=np.float32))
 
 
 def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids and how often each occurs."""
-    ids = np.sort(ids)
+    ids = np.sort(ids, kind="stable")  # by radix
     at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     return ids[at], np.diff(np.append(at, len(ids)))
 
 
-def telling(ids: bytes) -> int:
+def telling(terms: np.ndarray, tf: np.ndarray) -> int:
     """The id that tells most about a document: often in it, and rare by its rank.
 
     Merges are numbered from the most frequent on, so the number itself ranks rarity.
     """
-    terms, tf = distinct(np.frombuffer(ids, "<u2"))
-    return int(terms[np.argmax(np.log1p(terms.astype(np.float32)) * tf / (tf + np.float32(K1)))])
+    return int(terms[np.argmax(_RANKS[terms] * tf / (tf + np.float32(K1)))])
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
-    """(id, n, lead, ids): the document's ids and then ``end_id``, 16 bits each, their number and most telling one."""
+    """(id, n, lead, ids, seen): the document's ids and then ``end_id``, 16 bits each, their number and most telling one.
+
+    The last row of a task is no document: ``seen`` counts the task's documents that hold each token.
+    """
     tail = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
+        seen = np.zeros(_VOCABULARY, "<i8")
         for batch in batches:
-            ids = [x + tail for x in encoded(batch.column(1), tokenizer)]
+            ids, lead = [x + tail for x in encoded(batch.column(1), tokenizer)], []
+            for x in ids:
+                terms, tf = distinct(np.frombuffer(x, "<u2"))
+                lead.append(telling(terms, tf))
+                seen[terms] += 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([telling(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                ["id", "n", "lead", "ids"])
+                [batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(lead, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, 0, None, None, seen.tobytes()), types)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, lead long, ids binary")
+    names, types = ["id", "n", "lead", "ids", "seen"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, lead long, ids binary, seen binary")
 
 
-def document_frequencies(tokens: DataFrame) -> np.ndarray:
-    """Documents that hold each token: one number per token of the vocabulary."""
+def document_frequencies(seen: DataFrame) -> np.ndarray:
+    """Documents that hold each token, from the counts of all tasks: one number per token of the vocabulary."""
 
     def run(batches):
-        seen = np.zeros(_VOCABULARY, np.int64)
+        total = np.zeros(_VOCABULARY, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                seen[distinct(np.frombuffer(x.as_buffer(), "<u2"))[0]] += 1
-        terms = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(seen[terms])], ["term", "df"])
+                total += np.frombuffer(x.as_buffer(), "<i8")
+        terms = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(total[terms])], ["term", "df"])
 
-    found = tokens.select("ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    found = seen.mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(_VOCABULARY, np.int64)
     df[found["term"].to_numpy()] = found["df"].to_numpy()
     return df
@@ -177,9 +186,10 @@ def packed(
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    tokens = settle(tokenized(docs, id_col, text_col, tokenizer, end_id), "tokens")
+    written = settle(tokenized(docs, id_col, text_col, tokenizer, end_id), "tokens")
+    tokens = written.filter("seen is null")
     n, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    df = document_frequencies(tokens)
+    df = document_frequencies(written.filter("seen is not null").select("seen"))
     stats = Statistics(n, total / max(n, 1), np.log1p((n - df + 0.5) / (df + 0.5)))
     def pack(batches):
         packer, names, held, size = _Packer(TaskContext.get().partitionId(), window), [], [], 0

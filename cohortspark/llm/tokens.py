@@ -17,7 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 
-REMEMBERED = 400_000  # pieces in each of two generations
+REMEMBERED = 600_000  # pieces in each of two generations
 
 
 @lru_cache(maxsize=2)

@@ -39,6 +39,18 @@ def test_ids_of_new_pieces(monkeypatch, remembered):
     assert len(tokens._memory(path)) <= remembered + 4
 
 
+def test_tokens_are_counted_as_they_are_made(spark):
+    """The ids were written, read again and sorted again to count documents."""
+    docs = spark.createDataFrame([(1, "red red fox"), (1, "red"), (None, None), (4, "fox <|endoftext|>")], "doc_id long, text string").repartition(3)
+    rows = packing.tokenized(docs, "doc_id", "text", WORDS, 2).cache()
+    assert rows.filter("seen is null").count() == 4 and rows.filter("seen is not null").agg(F.sum("n")).first()[0] == 0
+    got = packing.document_frequencies(rows.filter("seen is not null").select("seen"))
+    want = np.zeros_like(got)
+    for r in rows.filter("seen is null").collect():
+        want[sorted(set(np.frombuffer(r["ids"], "<u2").tolist()))] += 1
+    assert got.tolist() == want.tolist() and got.sum() > 4 == got[2]
+
+
 def test_packing(spark, docs):
     rng = random.Random(1)
     topics = [[f"topic{t}word{i}" for i in range(30)] for t in range(6)]
