@@ -244,6 +244,29 @@ def test_spellings_stay_linked(spark):
     assert name not in a and a.endswith(".org") and far[:300] not in b and len(b) == 606
 
 
+def test_the_plan_of_pseudonyms_stays_small(spark):
+    """The driver holds every copy of an expression through each step of planning (342,000 letters when nothing was bound)."""
+    rows = privacy.pseudonymised(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "k")
+    assert len(rows._jdf.queryExecution().analyzed().toString()) < 80_000
+
+
+def test_a_bound_value_is_computed_once(spark):
+    rows = spark.createDataFrame([("ab",), (None,), ("",)], "text string")
+    assert [r[0] for r in rows.select(privacy.let(F.upper("text"), lambda t: F.concat(t, t))).collect()] == ["ABAB", None, ""]
+    tree = rows.select(privacy.let(F.upper("text"), lambda t: F.concat(t, t)).alias("out"))._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("upper(") == 1
+
+
+def test_networks_of_odd_length_and_rounds(spark):
+    rows = spark.createDataFrame([([1, 2, 3],), ([4],), (None,), ([],)], "v array<long>")
+    limits = F.transform("v", lambda x: F.lit(10).cast("long"))
+    for rounds in (1, 2, 7, 8):
+        made = [r[0] for r in rows.select(privacy.feistel(F.col("v"), limits, "k", "x", rounds)).collect()]
+        assert made[2] is None and made[3] == [] and [len(made[0]), len(made[1])] == [3, 1] and all(0 <= x < 10 for x in made[0])
+        if rounds == 8:
+            assert made[0] == feistel([1, 2, 3], [10] * 3, "k", "x")
+
+
 def test_one_seed_fills_its_window():
     """A seed with more short relatives than the first answers keeps asking until its window is full."""
     rng = np.random.default_rng(1)
