@@ -333,14 +333,16 @@ def _tiles(large: DataFrame) -> DataFrame:
 
 
 def _branches(reps: DataFrame, trees: int, levels: int, percent: int) -> DataFrame:
-    """Pairs to confirm across components (column ``comp``) from the leaves of all trees."""
+    """Pairs to confirm across components (column ``comp``) from the leaves of all trees.
+
+    Each level's mixed nodes are written: its leaves and the next level read them, and no plan holds all levels.
+    """
     live = _paths(reps, trees, levels, "id", "comp").withColumn("node", F.xxhash64("tree", _token(0)))
     found = None
     for depth in range(1, levels + 1):
-        live = settle(live, "nodes")
         size = (live.groupBy("node", "comp").agg(F.count("*").alias("most")).groupBy("node")
                 .agg(F.sum("most").alias("size"), F.max_by("comp", "most").alias("main"), F.max("most").alias("most")))
-        mixed = live.join(size.filter("most < size"), "node")
+        mixed = settle(live.join(size.filter("most < size"), "node"), "nodes")
         small = F.col("size") <= SMALL
         ends = small | (F.col("size") - F.col("most") <= TILE) | F.lit(depth == levels)
         leaf = mixed.filter(small).select("node", F.lit(0).alias("side"), "id")

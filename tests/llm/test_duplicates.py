@@ -1,6 +1,7 @@
 """Near duplicates, repeated passages and similar vectors against brute force."""
 
 import hashlib
+import importlib
 import random
 from collections import Counter
 
@@ -157,6 +158,24 @@ def test_components(spark):
     assert got == {i: want[i] for i in linked}
 
 
+def test_no_plan_holds_all_levels_or_rounds(spark, docs, monkeypatch):
+    """The driver plans one level or half round at a time (eleven joins in the leaves when it did not)."""
+    held = []
+
+    def planned(df, name, settle=neardup.settle):
+        held.append((df._jdf.queryExecution().optimizedPlan().toString().count("Join "), name))
+        return settle(df, name)
+
+    monkeypatch.setattr(neardup, "settle", planned)
+    monkeypatch.setattr(importlib.import_module("cohortspark.llm.components"), "settle", planned)
+    texts = [f"{i} a b c d e f g h i j k l m n o p q r s t" for i in range(8)] + ["quite another text of nine words or so here", None, ""]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(list(enumerate(texts)))).collect()}
+    assert got == {i: 0 if i < 8 else i for i in range(11)}
+    assert max(held)[0] <= 5, held
+    assert max(n for n, name in held if name in ("halves", "parts")) == 1, held
+    assert {name for _, name in held} >= {"links", "halves", "parts", "nodes", "leaves"}
+
+
 def test_signatures_lose_no_pair_at_the_threshold():
     rng = np.random.default_rng(1)
     n, whole = 20_000, 80
