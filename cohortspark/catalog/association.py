@@ -10,7 +10,7 @@ from cohortspark.catalog.scores import DISEASE, DISEASES, LONGEVITY
 from cohortspark.functions.nulls import rounded
 from cohortspark.operators.sampling import row_numbers
 from cohortspark.plans import association, scores
-from cohortspark.sources.stored import settle
+from cohortspark.sources.stored import last_written, lifetime, settle
 
 
 def _scan_sql(people: str, xs: list[str]) -> str:
@@ -94,7 +94,9 @@ def gwas_diseases(fx):
     phenotypes = rows.select("id", F.col("disease").alias("trait"), F.col("score_norm").alias("score"))
     covar = rows.select("id", F.col("disease").alias("trait"), "age", "sex").join(fx("covar").select("id", "pc1", "pc2"), "id")
     samples = row_numbers(fx("patient").select("id"), F.col("id").cast("double"), ["id"], name="i").select("id", "i")
-    tiles = association.pack_dosages(fx("dosage"), samples)
+    with lifetime(fx.spark) as keep:  # the rows and shuffle files that tiles are made of go when they are written
+        tiles = settle(association.pack_dosages(fx("dosage"), samples), "tiles")
+        keep.append(last_written(fx.spark))
     found = association.linear_traits(tiles, samples, phenotypes, covar, ["pc1", "pc2", "age", "sex"], DISEASES)
     cols = {c: rounded(F.col(c)) for c in ("freq", "estim", "std_err", "score")}
     return found.withColumns(cols).select("trait", "marker_id", "n", *cols)

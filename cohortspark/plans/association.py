@@ -9,11 +9,14 @@ added in closed form afterwards.
 A matrix that is scanned more than once is stored in tiles: some variants by a block of
 samples a row. The people become one row a block, with the columns of every phenotype side by
 side; tiles meet them on the block and a task multiplies the two, so one pass over the dosages
-serves all phenotypes, and neither side is gathered anywhere.
+serves all phenotypes, and neither side is gathered anywhere. Phenotypes known of the same people
+with the same covariates share the counts and the covariates' columns and sums, which are most of
+what is shuffled.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 import warnings
 from collections.abc import Iterator, Sequence
@@ -28,45 +31,65 @@ from cohortspark.functions.linear import combine, gram
 from cohortspark.functions.numeric import log10_normal_two_sided, t_log10_pvalue
 from cohortspark.operators.ordered import BOUNDED, quantile_slices, running
 from cohortspark.session import arrow_bytes
-from cohortspark.sources.stored import settle
+from cohortspark.sources.stored import last_written, lifetime, settle, settle_parts
 
 BLOCK = 4096  # samples of a tile
 MARKERS = 128  # variants of a full tile, about: they are dealt by hash
 SPARSE = 16  # a tile of which less than one part in so many is known holds its known dosages alone
 PIECE = 1 << 16  # known dosages of a sparse tile multiplied at a time
+SUMS = 4  # bytes of sums that products of stored tiles hand on at a time, by byte of the tiles
+TARGETS = 16  # phenotypes that share a basis, at most: their sums are columns of one row
 
 
 class People:
-    """The people side of a scan: rows, an orthonormal covariate basis and its totals."""
+    """The people side of a scan: rows, an orthonormal covariate basis and its totals.
 
-    def __init__(self, table: DataFrame, keys: Sequence[str], target: str, covariates: Sequence[str]):
-        rows = table.select(*keys, target, *covariates).dropna("any", subset=[target, *covariates])
+    Several targets of the same people share all but their own columns and totals; those read
+    are the first target's, ``of`` gives another's.
+    """
+
+    def __init__(self, table: DataFrame, keys: Sequence[str], target: str | Sequence[str], covariates: Sequence[str]):
+        targets = [target] if isinstance(target, str) else list(target)
+        rows = table.select(*keys, *targets, *covariates).dropna("any", subset=[*targets, *covariates])
         rows = settle(rows, "people")  # read for the sums below and by each scan
         means = rows.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(covariates)], F.count(F.lit(1))).first()
         # centred, so that covariates far from zero do not look like the intercept
         design = [F.lit(1.0), *[F.col(c).cast("double") - F.lit(float(u or 0.0)) for c, u in zip(covariates, means)]]
-        y = F.col(target).cast("double")
-        m = gram(rows, [*design, y])
+        values = [F.col(t).cast("double") for t in targets]
+        m = gram(rows, [*design, *values])
         k = len(design)
         basis = _basis(m[:k, :k])  # columns of weights on the design
         if basis.shape[1] < k and m[0, 0]:
-            warnings.warn(f"{k - basis.shape[1]} of {len(covariates)} covariates of {target} depend on the others", stacklevel=3)
+            warnings.warn(f"{k - basis.shape[1]} of {len(covariates)} covariates of {', '.join(targets)} depend on the others", stacklevel=3)
         self.n = int(round(m[0, 0]))
         self.rank = basis.shape[1]
         self.q_total = basis.T @ m[:k, 0]  # sums of each basis column
-        self.q_target = basis.T @ m[:k, k]
-        self.y_total, self.yy = float(m[0, k]), float(m[k, k])
+        self.at = 0
+        self.q_targets = basis.T @ m[:k, k:]
+        self.y_totals, self.yys = m[0, k:], np.diag(m)[k:]
+        self.ys = ["y", *[f"y{i}" for i in range(1, len(targets))]]
         self.columns = [f"q{j}" for j in range(self.rank)]
         self.rows = rows.select(
-            *keys, y.alias("y"), *[combine(design, w).alias(c) for c, w in zip(self.columns, basis.T)])
+            *keys, *[v.alias(y) for v, y in zip(values, self.ys)], *[combine(design, w).alias(c) for c, w in zip(self.columns, basis.T)])
+
+    y = property(lambda self: self.ys[self.at])
+    y_total = property(lambda self: float(self.y_totals[self.at]))
+    yy = property(lambda self: float(self.yys[self.at]))
+    q_target = property(lambda self: self.q_targets[:, self.at])
+
+    def of(self, at: int) -> "People":
+        """The same people, read for another target."""
+        other = copy.copy(self)
+        other.at = at
+        return other
 
     def residual(self) -> "People":
-        """Replace the target by what the covariates leave of it."""
-        left = F.col("y") - combine([F.col(c) for c in self.columns], self.q_target)
-        self.rows = self.rows.withColumn("y", left)
-        self.yy -= float(self.q_target @ self.q_target)
-        self.y_total -= float(self.q_target @ self.q_total)
-        self.q_target = np.zeros(self.rank)
+        """Replace the targets by what the covariates leave of them."""
+        basis = [F.col(c) for c in self.columns]
+        self.rows = self.rows.withColumns({y: F.col(y) - combine(basis, q) for y, q in zip(self.ys, self.q_targets.T)})
+        self.yys = self.yys - np.sum(self.q_targets ** 2, axis=0)
+        self.y_totals = self.y_totals - self.q_total @ self.q_targets
+        self.q_targets = np.zeros_like(self.q_targets)
         return self
 
 
@@ -91,15 +114,19 @@ def _long_sums(dosages: DataFrame, people: People) -> DataFrame:
     return joined.groupBy("marker_id").agg(*sums)
 
 
+def _width(people: People) -> int:
+    return 1 + len(people.ys) + people.rank
+
+
 def _people_blocks(people: Sequence[People], samples: DataFrame) -> DataFrame:
-    """(block, people): per block of samples the columns 1, y and basis of each phenotype, side by side."""
-    width, parts, lo = sum(p.rank + 2 for p in people), None, 0
+    """(block, people): per block of samples the columns 1, targets and basis of each of ``people``, side by side."""
+    width, parts, lo = sum(_width(p) for p in people), None, 0
     for p in people:
-        values = F.array(F.lit(1.0), "y", *p.columns)
+        values = F.array(F.lit(1.0), *p.ys, *p.columns)
         rows = p.rows.join(samples.select("id", (F.col("i") - 1).alias("_at")), "id").select(
             F.floor(F.col("_at") / BLOCK).cast("int").alias("block"), (F.col("_at") % BLOCK).cast("int").alias("at"), F.lit(lo).alias("lo"), values.alias("x"))
         parts = rows if parts is None else parts.unionByName(rows)
-        lo += p.rank + 2
+        lo += _width(p)
     size = BLOCK
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -113,18 +140,41 @@ def _people_blocks(people: Sequence[People], samples: DataFrame) -> DataFrame:
 
 
 def _tile_sums(tiles: DataFrame, samples: DataFrame, people: Sequence[People]) -> DataFrame:
-    """(marker_id, trait number, sums as in ``_long_sums``) of every phenotype, from one pass over the tiles."""
+    """(marker_id, number t in ``people``, sums as in ``_long_sums``, of each target), from one pass over the tiles."""
+    return _products(tiles, settle(_people_blocks(people, samples), "people-blocks"), people)
+
+
+def _sum_names(people: Sequence[People]) -> list[str]:
+    ys, rank = max((p.ys for p in people), key=len), max(p.rank for p in people)
+    return ["n", "sg", "sgg", *[f"{s}{y}" for y in ys for s in ("sg", "s")], *[f"{s}_q{j}" for j in range(rank) for s in ("sg", "s")]]
+
+
+def _rounds(tiles: DataFrame, people: Sequence[People]) -> int:
+    """In how many parts the variants are multiplied, so that the sums of one are a few times the tiles.
+
+    Tiles with one dosage of each variant hand on many times their bytes: a row of sums a variant and block.
+    """
+    rows, size = tiles.agg(F.sum(F.size("markers")), F.sum(
+        F.length("dosages") + F.coalesce(F.length("cells"), F.lit(0)) + 8 * F.size("markers"))).first()
+    return max(1, math.ceil((rows or 0) * len(people) * len(_sum_names(people)) * 8 / (SUMS * (size or 1))))
+
+
+def _products(tiles: DataFrame, blocks: DataFrame, people: Sequence[People], part: int = 0, parts: int = 1) -> DataFrame:
+    """The sums of tiles and ``_people_blocks``, for one of several parts of the variants, dealt by hash."""
     spark = tiles.sparkSession
     arrow_bytes(spark)
-    blocks = settle(_people_blocks(people, samples), "people-blocks")
     # a block meets many tiles: its copies are spread over as many keys as there are partitions
     copies = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // max(blocks.count(), 1))
     blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    joined = tiles.withColumn("part", (F.col("chunk") % copies).cast("int")).join(blocks, ["block", "part"]).select("markers", "dosages", "cells", "people")
-    ranks, size, piece = [p.rank for p in people], BLOCK, PIECE
-    names = ["n", "sg", "sgg", "sgy", "sy", *[f"{p}_q{j}" for j in range(max(ranks)) for p in ("sg", "s")]]
+    joined = tiles.withColumn("part", (F.col("chunk") % copies).cast("int")).join(blocks, ["block", "part"])
+    # a null says that all variants are multiplied
+    wanted = F.transform("markers", lambda m: F.pmod(F.xxhash64(m), F.lit(parts)) == part) if parts > 1 else F.lit(None).cast("array<boolean>")
+    joined = joined.select("markers", "dosages", "cells", "people", wanted.alias("wanted"))
+    size, piece = BLOCK, PIECE
+    own, ranks = [len(p.ys) for p in people], [p.rank for p in people]
+    names = _sum_names(people)
     inner = tiles.schema["markers"].dataType.elementType.simpleString()
-    one = [sum(r + 2 for r in ranks[:t]) for t in range(len(ranks))]  # a phenotype's first column, that of 1
+    one = [sum(map(_width, people[:t])) for t in range(len(people))]  # the first column of its people, that of 1
 
     def full(g, x):
         known = ~np.isnan(g)
@@ -146,23 +196,27 @@ def _tile_sums(tiles: DataFrame, samples: DataFrame, people: Sequence[People]) -
 
     def products(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for markers, dosages, cells, matrix in zip(*batch.columns):
+            for markers, dosages, cells, matrix, wanted in zip(*batch.columns):
                 x, g = np.frombuffer(matrix.as_py(), float).reshape(size, -1), np.frombuffer(dosages.as_py(), np.float32)
+                mine = wanted.values.to_numpy(zero_copy_only=False) if wanted.is_valid else np.ones(len(markers), bool)
                 if cells.is_valid:
-                    parts = sparse(g, np.frombuffer(cells.as_py(), np.int64), x)
+                    place = np.frombuffer(cells.as_py(), np.int64)
+                    keep = mine[place // size]
+                    found = sparse(g[keep], place[keep], x)
                 else:
-                    parts = [(np.arange(len(markers)), *full(g.reshape(-1, size).astype(float), x))]
-                for v, gx, kx, ggx in parts:
-                    for t, (lo, rank) in enumerate(zip(one, ranks)):
-                        met = np.flatnonzero(kx[:, lo])  # variants known of some of the phenotype's people
-                        cols = [kx[met, lo], gx[met, lo], ggx[met, t], gx[met, lo + 1], kx[met, lo + 1]]
-                        for j in range(max(ranks)):
-                            cols += [gx[met, lo + 2 + j], kx[met, lo + 2 + j]] if j < rank else [np.zeros(len(met))] * 2
+                    found = [(np.flatnonzero(mine), *full(g.reshape(-1, size)[mine].astype(float), x))]
+                for v, gx, kx, ggx in found:
+                    for t, (lo, ys, rank) in enumerate(zip(one, own, ranks)):
+                        met = np.flatnonzero(kx[:, lo])  # variants known of some of these people
+                        cols = [kx[met, lo], gx[met, lo], ggx[met, t]]
+                        for first, has, most in ((lo + 1, ys, max(own)), (lo + 1 + ys, rank, max(ranks))):
+                            for j in range(most):
+                                cols += [gx[met, first + j], kx[met, first + j]] if j < has else [np.zeros(len(met))] * 2
                         ids = markers.values.take(pa.array(v[met]))
                         yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(met), t, np.int32)), *map(pa.array, cols)], ["marker_id", "t", *names])
 
-    parts = joined.mapInArrow(products, f"marker_id {inner}, t int, " + ", ".join(f"{c} double" for c in names))
-    sums = parts.groupBy("marker_id", "t").agg(*[F.sum(c).alias(c) for c in names])
+    each = joined.mapInArrow(products, f"marker_id {inner}, t int, " + ", ".join(f"{c} double" for c in names))
+    sums = each.groupBy("marker_id", "t").agg(*[F.sum(c).alias(c) for c in names])
     return sums.withColumn("n", F.col("n").cast("long")).filter("n > 0")
 
 
@@ -172,7 +226,7 @@ def _complete(per_marker: DataFrame, people: People) -> DataFrame:
     filled = per_marker.select(
         "marker_id", "n", (mean / 2).alias("freq"), mean.alias("_mean"),
         (F.col("sgg") + missing * mean * mean).alias("gg"),
-        (F.col("sgy") + mean * (F.lit(people.y_total) - F.col("sy"))).alias("gy"),
+        (F.col(f"sg{people.y}") + mean * (F.lit(people.y_total) - F.col(f"s{people.y}"))).alias("gy"),
         *[(F.col(f"sg_{c}") + mean * (F.lit(float(t)) - F.col(f"s_{c}"))).alias(f"g{i}")
           for i, (c, t) in enumerate(zip(people.columns, people.q_total))])
     explained = sum((F.col(f"g{i}") * F.col(f"g{i}") for i in range(people.rank)), F.lit(0.0))
@@ -200,24 +254,75 @@ def linear_packed(tiles: DataFrame, samples: DataFrame, phenotype: DataFrame, co
 
 def linear_traits(tiles: DataFrame, samples: DataFrame, phenotypes: DataFrame, covariates: DataFrame, names: Sequence[str],
                   traits: Sequence[str], cohort: DataFrame | None = None, trait_col: str = "trait", target: str = "score") -> DataFrame:
-    """One pass over the tiles for several phenotypes, each with its own people.
+    """One scan of stored tiles for several phenotypes, each with its own people.
 
+    Each dosage is multiplied once for all of them; where few are known, in parts of the variants
+    (see ``_rounds``), each of which reads the tiles.
     phenotypes: id, trait, target; covariates: id, names and, where they differ by trait, the
     trait. Output as of ``linear`` with the trait in front.
     """
-    own = trait_col in covariates.columns
-    people = []
-    for t in traits:
-        mine = covariates.filter(F.col(trait_col) == t) if own else covariates
-        people.append(_scan_people(phenotypes.filter(F.col(trait_col) == t), mine, names, cohort, target))
-    sums = settle(_tile_sums(tiles, samples, people), "sums")  # a row a variant and trait, read once for each trait
+    table = _trait_rows(phenotypes, covariates, names, cohort, trait_col, target).filter(F.col(trait_col).isin(list(traits)))
+    with lifetime(tiles.sparkSession) as keep:  # the sums hold all that is read in the end
+        people, found = _shared_people(table, names, list(dict.fromkeys(traits)), trait_col, target)
+        blocks, parts = settle(_people_blocks(people, samples), "people-blocks"), _rounds(tiles, people)
+        # a row a variant and its people, read once for each trait; the shuffle files of one part go before the next
+        sums = settle_parts((_products(tiles, blocks, people, part, parts) for part in range(parts)), "sums")
+        keep.append(last_written(tiles.sparkSession))
     out = None
-    for i, (t, p) in enumerate(zip(traits, people)):
+    for t in traits:
+        i, at = found[t]
+        p = people[i].of(at)
         part = _estimates(_complete(sums.filter(F.col("t") == i), p), p).withColumn(trait_col, F.lit(t))
         out = part if out is None else out.unionByName(part)
     return out.select(trait_col, *[c for c in out.columns if c != trait_col])
 
 
+def _trait_rows(phenotypes, covariates, names, cohort, trait_col, target) -> DataFrame:
+    """(trait, id, target, names): the people of each trait, without missing values."""
+    if cohort is not None:
+        phenotypes = phenotypes.join(cohort.select("id"), "id", "left_semi")
+    on = ["id", trait_col] if trait_col in covariates.columns else ["id"]
+    rows = phenotypes.select("id", trait_col, target).join(covariates.select(*on, *names), on)
+    return rows.select(trait_col, "id", target, *names).dropna("any", subset=[target, *names])
+
+
+def _shared_people(table: DataFrame, names: Sequence[str], traits: Sequence[str], trait_col: str,
+                   target: str) -> tuple[list[People], dict[str, tuple[int, int]]]:
+    """The people of all traits, and where each trait stands: which of them, which of their targets.
+
+    Traits share a basis where they are known of the same people, as often and with the same
+    covariates. That is found from one row per person and covariates: the sum of its 64-bit hashes
+    over a trait's people. A trait with several values in such a row keeps its own rows.
+    """
+    of = [F.col(trait_col) == t for t in traits]
+    wide = settle(table.groupBy("id", *names).agg(*[
+        c for i, mine in enumerate(of) for c in (F.count_if(mine).alias(f"n{i}"), F.min(F.when(mine, F.col(target))).alias(f"lo{i}"),
+                                                 F.max(F.when(mine, F.col(target))).alias(f"hi{i}"))]), "traits")
+    marks = wide.agg(*[
+        c for i in range(len(traits)) for c in (F.sum(F.when(F.col(f"n{i}") > 0, F.xxhash64("id", *names, f"n{i}").cast("decimal(38,0)"))),
+                                                F.coalesce(F.bool_or(F.col(f"lo{i}") != F.col(f"hi{i}")), F.lit(False)))]).first()
+    groups: dict[tuple, list[list[int]]] = {}
+    for i in range(len(traits)):
+        mark, several = marks[2 * i : 2 * i + 2]
+        alike = groups.setdefault((mark, i if several else None), [[]])
+        if len(alike[-1]) == TARGETS:
+            alike.append([])
+        alike[-1].append(i)
+    people, found = [], {}
+    for (_, several), alike in groups.items():
+        for members in alike:
+            if several is None:
+                rows = wide.filter(F.col(f"n{members[0]}") > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col(f"n{members[0]}").cast("int"))))
+                targets = [f"_{target}{i}" for i in members]
+                rows = rows.select("id", *names, *[F.col(f"hi{i}").alias(t) for i, t in zip(members, targets)])
+            else:
+                rows, targets = table.filter(of[several]), [target]
+            for at, i in enumerate(members):
+                found[traits[i]] = len(people), at
+            people.append(People(rows, ["id"], targets, names).residual())
+    return people, found
+
+
 def pack_dosages(dosages: DataFrame, samples: DataFrame) -> DataFrame:
     """Tiles (block, chunk, markers ARRAY, dosages BINARY, cells BINARY) of known dosages.
 

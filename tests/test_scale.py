@@ -1,5 +1,6 @@
 """What must not come together in the driver or in one task, however small the files are."""
 
+import re
 import time
 
 import pytest
@@ -88,6 +89,61 @@ def test_sparse_tiles_grow_with_known_dosages(spark, monkeypatch):
             assert got[c].to_numpy() == pytest.approx(want[c].to_numpy(), rel=1e-9, abs=1e-12)
 
 
+def test_traits_of_the_same_people_share_their_sums(spark, monkeypatch):
+    """The sums of five traits went through the shuffle five times, at once, and filled the disk."""
+    monkeypatch.setattr(association, "BLOCK", 64)
+    people = spark.range(640).selectExpr("id", "(id * 37) % 101 / 101D x1", "(id * 53) % 89 / 89D + sin(id) score")
+    rare = spark.range(900).selectExpr("concat('r', id) marker_id", "explode(transform(array(1, 2, 3, 4), k -> (id * 31 + k * 97) % 640)) id").distinct()
+    dosages = rare.union(people.selectExpr("'c' marker_id", "id")).selectExpr("marker_id", "id", "cast(pmod(hash(marker_id, id), 3) as double) dosage")
+    samples, covar = people.selectExpr("id", "id + 1 AS i"), people.select("id", "x1")
+    traits = people.selectExpr("id", "'a' trait", "score").union(people.selectExpr("id", "'b.2' trait", "cos(id) + x1"))
+    traits = traits.union(people.filter("id <> 5").selectExpr("id", "'c' trait", "score")).union(people.selectExpr("id", "'d' trait", "-score * x1"))
+    known = traits.selectExpr("id", "trait", "if(trait = 'd' and id = 7, null, score) score")
+    tiles = stored.settle(association.pack_dosages(dosages, samples), "tiles")
+    mine = stored._written[spark.sparkContext.applicationId]
+    for limit, most, ways in ((1e9, association.TARGETS, 3), (0.25, 1, 4)):
+        monkeypatch.setattr(association, "SUMS", limit)
+        monkeypatch.setattr(association, "TARGETS", most)
+        start = len(mine)
+        got = association.linear_traits(tiles, samples, known, covar, ["x1"], ["a", "b.2", "c", "d"])
+        assert len(mine) == start + 1  # the sums; what they are made of is gone
+        sums = spark.read.parquet(mine[-1])
+        assert sums.filter("t = 0").count() == sums.filter("t = 0").select("marker_id").distinct().count() == 901
+        assert sums.select("t").distinct().count() == ways
+        written = {re.search(r"part-\d+-(.{36})", f).group(1) for f in sums.inputFiles()}
+        assert (len(written) > 1) == (most == 1)  # a job for each part of the variants
+        got = got.toPandas()
+        for trait in ("a", "b.2", "c", "d"):
+            own = known.filter(F.col("trait") == trait).select("id", "score")
+            want = association.linear(dosages, own, covar, ["x1"]).toPandas().sort_values("marker_id")
+            part = got[got.trait == trait].sort_values("marker_id")
+            assert part["marker_id"].tolist() == want["marker_id"].tolist()
+            for c in ("n", "freq", "estim", "std_err"):
+                assert part[c].to_numpy() == pytest.approx(want[c].to_numpy(), rel=1e-9, abs=1e-12)
+
+
+def test_repeated_people_share_only_equal_rows(spark):
+    """Rows that come twice count twice; a trait with two values in a row keeps its rows to itself."""
+    rows = spark.range(50).selectExpr("id", "cos(id) x1", "explode(array('a', 'b', 'c', 'd')) trait")
+    rows = rows.selectExpr("trait", "id", "sin(id + ascii(trait)) score", "x1")
+    rows = rows.union(rows.filter("id < 9 and trait <> 'd'")).union(rows.filter("id = 3 and trait = 'c'").selectExpr("trait", "id", "score + 1", "x1"))
+    people, found = association._shared_people(rows, ["x1"], ["a", "b", "c", "d"], "trait", "score")
+    assert found["a"] == (0, 0) and found["b"] == (0, 1) and len({i for i, _ in found.values()}) == 3
+    for trait, (i, at) in found.items():
+        want = association.People(rows.filter(F.col("trait") == trait), ["id"], "score", ["x1"]).residual()
+        got = people[i].of(at)
+        assert (got.n, got.rank) == (want.n, want.rank) and got.rows.count() == want.n
+        assert [got.yy, got.y_total] == pytest.approx([want.yy, want.y_total], abs=1e-9)
+
+
+def test_disease_scan_keeps_its_tiles_and_sums_alone(spark, folder):
+    """The long dosages stayed on disk while the tiles were multiplied."""
+    before = set(stored._written.get(spark.sparkContext.applicationId, ()))
+    entry.queries()["gwas_diseases"](spark, folder)
+    left = [path.rsplit("/", 1)[-1].rsplit("-", 1)[0] for path in stored._written[spark.sparkContext.applicationId] if path not in before]
+    assert left.count("tiles") == left.count("sums") == 1 and not {"known", "people", "people-blocks", "traits"} & set(left)
+
+
 def test_rows_of_an_id_meet_its_dosages_once(spark):
     """Two parents of one genotype: their sums are joined, the results are those of doubled rows."""
     people = spark.range(120).selectExpr("id", "explode(array('f', 'm')) parent").selectExpr("id", "parent", "sin(id + length(parent) + ascii(parent)) y", "cos(id) x1")
